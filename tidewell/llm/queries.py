@@ -125,3 +125,32 @@ SELECT doc_id, unit, start::BIGINT AS start, length(line)::BIGINT AS length, kep
 
 QUERIES |= {"op4_mixing": op4_mixing, "op7_line_dedup": op7_line_dedup, "op8_unit_dedup": op8_unit_dedup, "op9_sharding": op9_sharding}
 ORACLES |= {"op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_unit_dedup": OP8_SQL}
+
+from .packing import pack  # noqa: E402
+from .quality import quality_report  # noqa: E402
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(read(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path(), length=4096, end_id=2)
+
+
+QUERIES |= {"op2_quality_rules": op2_quality_rules, "op5_packing": op5_packing}
+
+from .htmltext import extract  # noqa: E402
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op3_html_extraction": op3_html_extraction}
