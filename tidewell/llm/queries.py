@@ -154,3 +154,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_html_extraction": op3_html_extraction}
+
+from .jaccard import near_duplicates  # noqa: E402
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
+QUERIES |= {"op10_jaccard_join": op10_jaccard_join}
