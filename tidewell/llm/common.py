@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,3 +156,13 @@ def row_sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(mask) + 1, np.int64)
     np.cumsum(mask, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder as Parquet and read again; gone when the session ends."""
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

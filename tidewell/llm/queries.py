@@ -163,3 +163,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_jaccard_join": op10_jaccard_join}
+
+from .suffix import substring_dedup  # noqa: E402
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"), length=200)
+
+
+QUERIES |= {"op6_suffix_dedup": op6_suffix_dedup}
