@@ -68,18 +68,24 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.high = [1]
+        self.high = np.array([1])
 
-    def of(self, size: np.ndarray) -> np.ndarray:
-        while self.high[-1] < (size.max() if len(size) else 0):
-            self.high.append(max(self.high[-1] + 1, self.high[-1] * 100 // self.percent))
-        return np.searchsorted(np.array(self.high), size)
+    def _reach(self, more) -> None:
+        high = self.high.tolist()
+        while more(high):
+            high.append(max(high[-1] + 1, high[-1] * 100 // self.percent))
+        self.high = np.array(high)
+
+    def of(self, size: int) -> int:
+        if self.high[-1] < size:
+            self._reach(lambda high: high[-1] < size)
+        return int(np.searchsorted(self.high, size))
 
     def top(self, band: int) -> int:
-        self.of(np.array([self.high[-1] + 1]))
-        while len(self.high) <= band + 1:
-            self.of(np.array([self.high[-1] + 1]))
-        return self.high[band]
+        """The largest size in the band."""
+        if len(self.high) <= band:
+            self._reach(lambda high: len(high) <= band)
+        return int(self.high[band])
 
     def difference(self, both: int) -> int:
         """The largest symmetric difference of linked sets whose sizes sum to ``both``."""
@@ -91,7 +97,7 @@ def signatures(tokens: np.ndarray, bands: Bands, slack: float = 1.25) -> np.ndar
     n = len(tokens)
     if not n:
         return np.zeros(0, np.uint64)
-    out, own = [], int(bands.of(np.array([n]))[0])
+    out, own = [], bands.of(n)
     inner = mix(tokens + _U(0x9E6C63D0876A9A47))
     for band in (own, own + 1):
         top = bands.top(band)
@@ -248,23 +254,46 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     placed = open_groups.join(roots, "node", "left").join(nodes.select("node", "n", "sk"), "node").select("g", "node", F.coalesce("root", "node").alias("root"), "n", "sk")
     apart_groups = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
 
-    def cross(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        node, root, n = pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy()
-        sk = np.frombuffer(b"".join(pdf["sk"]), np.uint64).reshape(len(pdf), -1)
-        found = []
-        for i in range(len(pdf)):
-            end = np.searchsorted(n, n[i] * 100 // percent, side="right")
-            j = np.arange(i + 1, end)
+    def apart(node: np.ndarray, root: np.ndarray, n: np.ndarray, sk: np.ndarray) -> np.ndarray:
+        order = np.argsort(n, kind="stable")
+        node, root, n, sk = node[order], root[order], n[order], sk[order]
+        ends = np.searchsorted(n, n * 100 // percent, side="right")
+        found = [np.zeros((0, 2), np.int64)]
+        for i in range(len(node) - 1):
+            j = np.arange(i + 1, ends[i])
             j = j[root[j] != root[i]]
             if len(j):
-                dist = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1)
-                j = j[dist <= (n[j] + n[i]) * (100 - percent) // (100 + percent)]
+                j = j[np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1) <= (n[j] + n[i]) * (100 - percent) // (100 + percent)]
                 found.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), axis=1))
-        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+        return np.concatenate(found)
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve(last: bool) -> pa.RecordBatch | None:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            g, node, root, n = (table.column(k).to_numpy() for k in range(4))
+            sk = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(len(g), -1)
+            cut = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
+            stop = len(cut) - 1 if last else len(cut) - 2
+            out = [apart(node[p:q], root[p:q], n[p:q], sk[p:q]) for p, q in zip(cut[:stop], cut[1 : stop + 1], strict=True)]
+            if not last:
+                held.extend(table.slice(cut[stop]).to_batches())
+            if out and len(pairs := np.unique(np.concatenate(out), axis=0)):
+                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            return None
 
-    more = placed.join(apart_groups, "g").groupBy("g").applyInPandas(cross, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            if batch.column(0)[len(batch) - 1] != held[0].column(0)[0] and (got := solve(False)) is not None:
+                yield got
+        if held and (got := solve(True)) is not None:
+            yield got
+
+    more = placed.join(apart_groups, "g").repartition("g").sortWithinPartitions("g").mapInArrow(cross, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
     if not more.isEmpty():
         links = links.union(checked(more).where("ok").select("a", "b")).checkpoint()
         roots = components(links).checkpoint()
