@@ -20,8 +20,8 @@ def repeated_line_spans(docs: DataFrame, text_col: str = "text", id_col: str = "
         lines.select("id", "h", F.expr(
             f"filter(transform(if(size(l) < {window}, array(), sequence(0, size(l) - {window})), i -> if(trim({blank}) = '', null, "
             f"struct(i as i, xxhash64({hashed}) as a, xxhash64('#', {mirrored}) as b))), x -> x is not null)"
-        ).alias("w")).select("id", "h", F.explode("w").alias("w")).select("id", "h", "w.i", "w.a", "w.b")
-    )
+        ).alias("w")).select("id", "h", F.explode_outer("w").alias("w")).where("w is not null").select("id", "h", "w.i", "w.a", "w.b")
+    )  # fmt: skip  # an outer explode, as for an inner one a filter with the whole expression is inferred and put before the split
     later = later_occurrences(units, ["a", "b"], ["id", "h", "i"]).select("id", "h", "i").distinct()
     doc = Window.partitionBy("id", "h")
     starts = later.withColumn("new", (F.col("i") > F.coalesce(F.lag("i").over(doc.orderBy("i")), F.lit(-9)) + window).cast("int"))
