@@ -32,6 +32,8 @@ _U = np.uint64
 SKETCH_BITS = 1024
 #: Signatures a map task gathers before it writes them out by bucket, and that a bucket holds.
 FLUSH, PER_BUCKET = 1_500_000, 3_000_000
+#: Up to so many (id, hash) pairs, 12 MB, of the texts to verify are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +238,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         both = pairs.join(end("a"), "a").join(end("b"), "b")
         fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_hamming("sa", "sb") <= F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent)))
         both = both.where(fits).select("a", "b", "da", "ta", "db", "tb").checkpoint()
-        wanted = both.select(F.col("da").alias("d"), F.col("ta").alias("k")).union(both.select("db", "tb")).distinct()
+        wanted = both.select(F.col("da").alias("d"), F.col("ta").alias("k")).union(both.select("db", "tb")).distinct().checkpoint()
+        # few wanted texts are picked where they lie; more than the bound meet the table in a shuffle
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         texts = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("k"))).dropDuplicates(["d", "k"]).select("d", "k", "t")
         left = texts.select(F.col("d").alias("da"), F.col("k").alias("ta"), F.col("t").alias("xa"))
         right = texts.select(F.col("d").alias("db"), F.col("k").alias("tb"), F.col("t").alias("xb"))
