@@ -10,8 +10,9 @@ of two shingles or more then counts twice), or, failing that, its single shingle
 under a signature are candidates, and are verified on their whole texts.
 
 A group of sets that meet is first linked to its least member. Only where such a pair fails are
-the group's other pairs looked at, and of those only the ones between different components that
-sizes and parity sketches (Hamming distance never above the symmetric difference) can't rule out.
+the group's other pairs looked at, nearest first, and of those only the ones between components
+that are still apart and that sizes and parity sketches (their Hamming distance is never above the
+symmetric difference) can't rule out.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ SKETCH_BITS = 1024
 FLUSH, PER_BUCKET = 1_500_000, 3_000_000
 #: Up to so many (id, hash) pairs, 12 MB, of the texts to verify are broadcast.
 BROADCAST_ROWS = 500_000
+PAIR = ("a", "b", "da", "ta", "db", "tb")
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +62,18 @@ def set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    bit = (mix(tokens + _U(0x2545F4914F6CDD1D)) >> _U(54)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """Parities of the set's hashes over a power of two of bits, at least as many as it has shingles."""
+    bits = max(SKETCH_BITS, 1 << max(0, (len(tokens) - 1).bit_length()))
+    bit = (mix(tokens + _U(0x2545F4914F6CDD1D)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A sketch as words, folded to ``size`` bytes (halves by exclusive or: the same set's shorter sketch)."""
+    out = np.frombuffer(raw, np.uint64)
+    while 8 * len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
 
 
 class Bands:
@@ -232,12 +244,21 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             ok = [_linked(one(x, tx), one(y, ty), percent) for x, y, tx, ty in zip(a, b, ta, tb, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, sa, sb = (batch.column(k).to_pylist() for k in range(6, 10))
+            keep = [False] * len(batch)
+            for r, (m, n, x, y) in enumerate(zip(na, nb, sa, sb, strict=True)):
+                size = min(len(x), len(y))
+                keep[r] = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= (m + n) * (100 - percent) // (100 + percent)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(list(PAIR))
+
     def checked(pairs: DataFrame) -> DataFrame:
         """(a, b, ok) for distinct pairs of nodes; those that sizes or sketches rule out come as not ok."""
         end = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("doc_id").alias(f"d{x}"), F.col("tk").alias(f"t{x}"), F.col("sk").alias(f"s{x}"))
         both = pairs.join(end("a"), "a").join(end("b"), "b")
-        fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_hamming("sa", "sb") <= F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent)))
-        both = both.where(fits).select("a", "b", "da", "ta", "db", "tb").checkpoint()
+        both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select(*PAIR, "na", "nb", "sa", "sb")
+        both = both.mapInArrow(near, ", ".join(f"{c} long" for c in PAIR)).checkpoint()
         wanted = both.select(F.col("da").alias("d"), F.col("ta").alias("k")).union(both.select("db", "tb")).distinct().checkpoint()
         # few wanted texts are picked where they lie; more than the bound meet the table in a shuffle
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -253,63 +274,78 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     roots = components(links).checkpoint()
     failed = stars.join(links, ["a", "b"], "left_anti").select("a").distinct()
 
-    # groups with a failed pair whose members are still apart: their pairs between components
-    open_groups = met.where(F.size("others") > 1).join(failed, "a", "left_semi").select(F.xxhash64("a", "others").alias("g"), F.explode(F.concat(F.array("a"), "others")).alias("node"))
-    placed = open_groups.join(roots, "node", "left").join(nodes.select("node", "n", "sk"), "node").select("g", "node", F.coalesce("root", "node").alias("root"), "n", "sk")
-    apart_groups = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-
-    def apart(node: np.ndarray, root: np.ndarray, n: np.ndarray, sk: np.ndarray) -> np.ndarray:
+    def apart(node: np.ndarray, root: np.ndarray, n: np.ndarray, sk: list[bytes], first: int, last: int) -> np.ndarray:
+        """Pairs of unlike roots, of each node the ``first`` to ``last`` nearest; (-1, -1) if there are more."""
         order = np.argsort(n, kind="stable")
-        node, root, n, sk = node[order], root[order], n[order], sk[order]
-        ends = np.searchsorted(n, n * 100 // percent, side="right")
-        found = [np.zeros((0, 2), np.int64)]
-        for i in range(len(node) - 1):
-            j = np.arange(i + 1, ends[i])
-            j = j[root[j] != root[i]]
-            if len(j):
-                j = j[np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1) <= (n[j] + n[i]) * (100 - percent) // (100 + percent)]
+        node, root, n, sk = node[order], root[order], n[order], [sk[k] for k in order]
+        size = min(map(len, sk))
+        bits = np.stack([folded(x, size) for x in sk])
+        least, most = np.searchsorted(n, -(-n * percent // 100)), np.searchsorted(n, n * 100 // percent, side="right")
+        found, more = [np.zeros((0, 2), np.int64)], False
+        for i in range(len(node)):
+            j = np.arange(least[i], most[i])
+            dist = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+            near = (dist <= (n[j] + n[i]) * (100 - percent) // (100 + percent)) & (j != i)
+            j, dist = j[near], dist[near]
+            if len(j) > first:
+                j = j[np.lexsort((node[j], dist))]
+                more = more or bool((root[j[last:]] != root[i]).any())
+                j = j[first:last]
+                j = j[root[j] != root[i]]
                 found.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), axis=1))
-        return np.concatenate(found)
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def solve(last: bool) -> pa.RecordBatch | None:
-            table = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            g, node, root, n = (table.column(k).to_numpy() for k in range(4))
-            sk = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(len(g), -1)
-            cut = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
-            stop = len(cut) - 1 if last else len(cut) - 2
-            out = [apart(node[p:q], root[p:q], n[p:q], sk[p:q]) for p, q in zip(cut[:stop], cut[1 : stop + 1], strict=True)]
-            if not last:
-                held.extend(table.slice(cut[stop]).to_batches())
-            if out and len(pairs := np.unique(np.concatenate(out), axis=0)):
-                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            return None
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            if batch.column(0)[len(batch) - 1] != held[0].column(0)[0] and (got := solve(False)) is not None:
+        return np.concatenate((*found, np.full((int(more), 2), -1)))
+
+    def cross(first: int, last: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+
+            def solve(end: bool) -> pa.RecordBatch | None:
+                table = pa.Table.from_batches(held).combine_chunks()
+                held.clear()
+                g, node, root, n = (table.column(k).to_numpy() for k in range(4))
+                sk = table.column(4).to_pylist()
+                cut = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
+                stop = len(cut) - 1 if end else len(cut) - 2
+                out = [apart(node[p:q], root[p:q], n[p:q], sk[p:q], first, last) for p, q in zip(cut[:stop], cut[1 : stop + 1], strict=True)]
+                if not end:
+                    held.extend(table.slice(cut[stop]).to_batches())
+                if out and len(pairs := np.unique(np.concatenate(out), axis=0)):
+                    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                return None
+
+            for batch in batches:
+                if not len(batch):
+                    continue
+                held.append(batch)
+                if batch.column(0)[len(batch) - 1] != held[0].column(0)[0] and (got := solve(False)) is not None:
+                    yield got
+            if held and (got := solve(True)) is not None:
                 yield got
-        if held and (got := solve(True)) is not None:
-            yield got
 
-    more = placed.join(apart_groups, "g").repartition("g").sortWithinPartitions("g").mapInArrow(cross, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
-    if not more.isEmpty():
-        links = links.union(checked(more).where("ok").select("a", "b")).checkpoint()
-        roots = components(links).checkpoint()
+        return run
+
+    # groups with a failed pair whose members are still apart: each set's nearest eight by sketch, then
+    # all others, as far as they lie in another component by then. The ranks are fixed, so each pair
+    # comes up in one of the two rounds, and most have been joined before the second.
+    members = met.where(F.size("others") > 1).join(failed, "a", "left_semi").select(F.xxhash64("a", "others").alias("g"), F.explode(F.concat(F.array("a"), "others")).alias("node"))
+    members = members.join(nodes.select("node", "n", "sk"), "node")
+    first, step = 0, 8
+    while True:
+        placed = members.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"), "n", "sk")
+        apart_groups = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+        found = placed.join(apart_groups, "g").repartition("g").sortWithinPartitions("g").mapInArrow(cross(first, first + step), "a long, b long").distinct().checkpoint()
+        more = found.where("a <> b").join(stars, ["a", "b"], "left_anti").checkpoint()
+        if not more.isEmpty():
+            fresh = checked(more).where("ok").select("a", "b").checkpoint()
+            if not fresh.isEmpty():
+                links = links.union(fresh)
+                roots = components(links).checkpoint()
+        if found.where("a = b").isEmpty():
+            break
+        first, step = first + step, 1 << 40
 
     placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = placed.join(least, "root").select("node", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, short).alias("node")).join(of_node, "node", "left")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _hamming(a: str, b: str):
-    """Bits that differ between two sketches, on the JVM side."""
-    word = lambda s, k: f"cast(conv(hex(substring({s}, {8 * k + 1}, 8)), 16, -10) as bigint)"
-    return F.expr(" + ".join(f"bit_count({word(a, k)} ^ {word(b, k)})" for k in range(SKETCH_BITS // 64)))
