@@ -112,7 +112,8 @@ def test_mixing_meets_budgets(docs):
     out = mix(docs, weights, budget_share=0.5, max_epochs=2).select("record.doc_id", "domain", "lang", "source", "n_tokens", "epoch").collect()
     total = sum(len(WORD.findall(r.text or "")) for r in docs.collect())
     assert 0 < sum(r.n_tokens for r in out) <= total // 2 and max(r.epoch for r in out) <= 2
-    assert out == mix(docs, weights, budget_share=0.5, max_epochs=2).select("record.doc_id", "domain", "lang", "source", "n_tokens", "epoch").collect() or True
+    again = mix(docs, weights, budget_share=0.5, max_epochs=2).select("record.doc_id", "domain", "lang", "source", "n_tokens", "epoch").collect()
+    assert Counter(out) == Counter(again)
     whole = mix(docs, {"domain": "supply", "lang": "supply", "source": "supply"}, budget_share=1.0, max_epochs=1)
     assert whole.where("n_tokens > 0").count() == sum(1 for r in docs.collect() if WORD.search(r.text or ""))
 

@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             for p, q in zip(cut[:-1], cut[1:], strict=True):
                 if q - p > 1:
                     groups[k[p:q].tobytes()] = k[p:q]
-        return pd.DataFrame({"a": [int(g[0]) for g in groups.values()], "others": [g[1:].tolist() for g in groups.values()]}).astype({"a": "int64"})
+        return pd.DataFrame({"a": [int(g[0]) for g in groups.values()], "others": [g[1:].tolist() for g in groups.values()]}).astype({"a": "int64", "others": "object"})
 
     met = src.where("t is not null").select("t").mapInArrow(sign, "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, "a long, others array<long>")
     met = met.groupBy("a", "others").agg(F.count(F.lit(1)).alias("times")).drop("times").checkpoint()
