@@ -9,6 +9,7 @@ the sequences' free capacities.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import buffers, prepare
 
 #: A worker's table of words it has met is emptied at this size.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _ENCODERS: dict = {}
 
 
@@ -39,12 +40,22 @@ class WordEncoder:
         self.seen: dict[str, bytes] = {"": b""}
 
     def missing(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        # letters and the mark that ends them are always apart; A-Z reads as a-z
+        if word[-1] in ".," and word[:-1].isalpha():
+            ids = self.part(word[:-1]) + self.part(word[-1])
+        elif word.isascii() and not word.islower() and word.isalpha():
+            ids = self.part(word.lower())
+        else:
+            ids = struct.pack(f"<{len(found := self.encode(word, add_special_tokens=False).ids)}I", *found)
         if len(self.seen) >= CACHE_WORDS:
             self.seen = {"": b""}
         self.seen[word] = ids
         return ids
 
+    def part(self, word: str) -> bytes:
+        ids = self.seen.get(word)
+        return self.missing(word) if ids is None else ids
+
     def __call__(self, text: str) -> bytes:
         get, missing = self.seen.get, self.missing
         out = []
