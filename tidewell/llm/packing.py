@@ -26,43 +26,37 @@ CACHE_WORDS = 1_000_000
 _ENCODERS: dict = {}
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """A text's token ids as little-endian unsigned 32-bit bytes, word by word.
 
     Only for tokenizers that drop white space and never join text across it: there a text's ids
-    are those of its parts between spaces, so a part is encoded once and looked up from then on.
+    are those of its parts between spaces, so a part is encoded once and looked up from then on
+    (the dictionary's keys are the parts met so far).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.encode = Tokenizer.from_file(path).encode
-        self.seen: dict[str, bytes] = {"": b""}
 
-    def missing(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         # letters and the mark that ends them are always apart; A-Z reads as a-z
         if word[-1] in ".," and word[:-1].isalpha():
-            ids = self.part(word[:-1]) + self.part(word[-1])
+            ids = self[word[:-1]] + self[word[-1]]
         elif word.isascii() and not word.islower() and word.isalpha():
-            ids = self.part(word.lower())
+            ids = self[word.lower()]
         else:
-            ids = struct.pack(f"<{len(found := self.encode(word, add_special_tokens=False).ids)}I", *found)
-        if len(self.seen) >= CACHE_WORDS:
-            self.seen = {"": b""}
-        self.seen[word] = ids
+            found = self.encode(word, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+            self[""] = b""
+        self[word] = ids
         return ids
 
-    def part(self, word: str) -> bytes:
-        ids = self.seen.get(word)
-        return self.missing(word) if ids is None else ids
-
     def __call__(self, text: str) -> bytes:
-        get, missing = self.seen.get, self.missing
-        out = []
-        for w in text.replace("\n", " ").split(" "):
-            ids = get(w)
-            out.append(missing(w) if ids is None else ids)
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> WordEncoder:
