@@ -224,9 +224,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     met = met.groupBy("a", "others").agg(F.count(F.lit(1)).alias("times")).drop("times").checkpoint()
 
     # one row of the table for each set: the least (id, text), and how to find it
-    short = F.col("key").bitwiseAND(F.lit((1 << 48) - 1))
+    # signatures carry a key's low 48 bits alone: sets that share those are told apart from here on
+    short = lambda c: F.col(c).bitwiseAND(F.lit((1 << 48) - 1))
     nodes = rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk")).alias("at"), F.min("sk").alias("sk"))
-    nodes = nodes.select(short.alias("node"), "n", "least", F.col("at.doc_id").alias("doc_id"), F.col("at.tk").alias("tk"), "sk")
+    nodes = nodes.select(F.col("key").alias("node"), short("key").alias("short"), "n", "least", F.col("at.doc_id").alias("doc_id"), F.col("at.tk").alias("tk"), "sk")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -253,10 +254,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 keep[r] = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= (m + n) * (100 - percent) // (100 + percent)
             yield batch.filter(pa.array(keep, pa.bool_())).select(list(PAIR))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """(a, b, ok) for distinct pairs of nodes; those that sizes or sketches rule out come as not ok."""
-        end = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("doc_id").alias(f"d{x}"), F.col("tk").alias(f"t{x}"), F.col("sk").alias(f"s{x}"))
-        both = pairs.join(end("a"), "a").join(end("b"), "b")
+    def checked(pairs: DataFrame, by: str = "node") -> DataFrame:
+        """(a, b, ok) for distinct pairs of nodes, given by ``by``; those that sizes or sketches rule out don't come."""
+        end = lambda x: nodes.select(F.col(by).alias(f"by{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("doc_id").alias(f"d{x}"), F.col("tk").alias(f"t{x}"), F.col("sk").alias(f"s{x}"))
+        both = pairs.select(F.col("a").alias("bya"), F.col("b").alias("byb")).join(end("a"), "bya").join(end("b"), "byb")
         both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select(*PAIR, "na", "nb", "sa", "sb")
         both = both.mapInArrow(near, ", ".join(f"{c} long" for c in PAIR)).checkpoint()
         wanted = both.select(F.col("da").alias("d"), F.col("ta").alias("k")).union(both.select("db", "tb")).distinct().checkpoint()
@@ -270,9 +271,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         return full.mapInArrow(verify, "a long, b long, ok boolean")
 
     stars = met.select("a", F.explode("others").alias("b")).distinct().checkpoint()
-    links = checked(stars).where("ok").select("a", "b").checkpoint()
+    ends = F.least(short("a"), short("b")).alias("a"), F.greatest(short("a"), short("b")).alias("b")
+    links = checked(stars, "short").where("ok").select("a", "b").checkpoint()
     roots = components(links).checkpoint()
-    failed = stars.join(links, ["a", "b"], "left_anti").select("a").distinct()
+    failed = stars.join(links.select(*ends), ["a", "b"], "left_anti").select("a").distinct()
 
     def apart(node: np.ndarray, root: np.ndarray, n: np.ndarray, sk: list[bytes], first: int, last: int) -> np.ndarray:
         """Pairs of unlike roots, of each node the ``first`` to ``last`` nearest; (-1, -1) if there are more."""
@@ -327,14 +329,15 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     # groups with a failed pair whose members are still apart: each set's nearest eight by sketch, then
     # all others, as far as they lie in another component by then. The ranks are fixed, so each pair
     # comes up in one of the two rounds, and most have been joined before the second.
-    members = met.where(F.size("others") > 1).join(failed, "a", "left_semi").select(F.xxhash64("a", "others").alias("g"), F.explode(F.concat(F.array("a"), "others")).alias("node"))
-    members = members.join(nodes.select("node", "n", "sk"), "node")
+    members = met.where(F.size("others") > 1).join(failed, "a", "left_semi").select(F.xxhash64("a", "others").alias("g"), F.explode(F.concat(F.array("a"), "others")).alias("short"))
+    members = members.join(nodes.select("short", "node", "n", "sk"), "short").drop("short")
     first, step = 0, 8
     while True:
         placed = members.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"), "n", "sk")
         apart_groups = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
         found = placed.join(apart_groups, "g").repartition("g").sortWithinPartitions("g").mapInArrow(cross(first, first + step), "a long, b long").distinct().checkpoint()
-        more = found.where("a <> b").join(stars, ["a", "b"], "left_anti").checkpoint()
+        more = found.where("a <> b").select("a", "b", *(c.alias(f"s{k}") for k, c in enumerate(ends)))
+        more = more.join(stars.toDF("s0", "s1"), ["s0", "s1"], "left_anti").select("a", "b").checkpoint()
         if not more.isEmpty():
             fresh = checked(more).where("ok").select("a", "b").checkpoint()
             if not fresh.isEmpty():
@@ -347,5 +350,5 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = placed.join(least, "root").select("node", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, short).alias("node")).join(of_node, "node", "left")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("node")).join(of_node, "node", "left")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
