@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, prepare
+from .common import buffers, prepare, tidy
 
-#: A worker's table of words it has met is emptied at this size.
-CACHE_WORDS = 1_000_000
+#: A worker's table of words it has met is set aside at this size, in place of the one set aside before.
+CACHE_WORDS = 200_000
 _ENCODERS: dict = {}
 
 
@@ -31,18 +31,22 @@ class WordEncoder(dict):
 
     Only for tokenizers that drop white space and never join text across it: there a text's ids
     are those of its parts between spaces, so a part is encoded once and looked up from then on
-    (the dictionary's keys are the parts met so far).
+    (the dictionary's keys are the parts met so far). A full table is set aside as ``before``, from
+    which parts that are met again come back; those that aren't go with the next one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
+        self.before: dict[str, bytes] = {}
         self.encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, word: str) -> bytes:
         # letters and the mark that ends them are always apart; A-Z reads as a-z
-        if word[-1] in ".," and word[:-1].isalpha():
+        if word in self.before:
+            ids = self.before[word]
+        elif word[-1] in ".," and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         elif word.isascii() and not word.islower() and word.isalpha():
             ids = self[word.lower()]
@@ -50,6 +54,7 @@ class WordEncoder(dict):
             found = self.encode(word, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
         if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
             self.clear()
             self[""] = b""
         self[word] = ids
@@ -128,5 +133,5 @@ def pack(
         return pdf.drop(columns="g").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
     group = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.length(text_col)), F.lit(groups))
-    pieces = docs.select(F.col(id_col).cast("long"), text_col, group.alias("g")).mapInArrow(cut, "doc_id long, g long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = docs.select(F.col(id_col).cast("long"), text_col, group.alias("g")).mapInArrow(tidy(cut), "doc_id long, g long, start long, length long, ids_crc32 long, doc_tokens long")
     return pieces.groupBy("g").applyInPandas(fit, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
