@@ -7,16 +7,19 @@ text and not the batch.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 _U = np.uint64
 _P, _P_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -37,7 +40,8 @@ def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and see that checkpoint() has a folder.
 
     The cluster names the shared folder in ``spark.checkpoint.dir``; only where it is unset, as in
-    tests on one machine, a temporary folder is taken.
+    tests on one machine, a temporary folder is taken. Batches for Python end at BATCH_BYTES unless
+    the session has a size of its own.
     """
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -46,6 +50,27 @@ def prepare(spark: SparkSession) -> None:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-"))
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: idle workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``work`` on Arrow batches, which gives memory back at the end of its partition."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, Words, buffers, mix, prepare, slices, window_hash
+from .common import LOWER, SpanHash, Words, buffers, give_back, mix, prepare, slices, tidy, window_hash
 from .graph import components
 
 _U = np.uint64
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                     names=["doc_id", "tk", "n", "key", "sk"],
                 )
 
-    rows = src.mapInArrow(profile, "doc_id long, tk long, n long, key long, sk binary").checkpoint()
+    rows = src.mapInArrow(tidy(profile), "doc_id long, tk long, n long, key long, sk binary").checkpoint()
     total = int(rows.agg(F.sum("n")).first()[0] or 0)
     buckets = max(1, math.ceil(0.65 * total / PER_BUCKET))
 
@@ -197,6 +197,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             yield flush()
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         raw = np.frombuffer(b"".join(pdf["blob"]), np.uint8).reshape(-1, 11)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :5] = raw[:, :5]
@@ -220,7 +221,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                     groups[k[p:q].tobytes()] = k[p:q]
         return pd.DataFrame({"a": [int(g[0]) for g in groups.values()], "others": [g[1:].tolist() for g in groups.values()]}).astype({"a": "int64", "others": "object"})
 
-    met = src.where("t is not null").select("t").mapInArrow(sign, "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, "a long, others array<long>")
+    met = src.where("t is not null").select("t").mapInArrow(tidy(sign), "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, "a long, others array<long>")
     met = met.groupBy("a", "others").agg(F.count(F.lit(1)).alias("times")).drop("times").checkpoint()
 
     # one row of the table for each set: the least (id, text), and how to find it
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         end = lambda x: nodes.select(F.col(by).alias(f"by{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("doc_id").alias(f"d{x}"), F.col("tk").alias(f"t{x}"), F.col("sk").alias(f"s{x}"))
         both = pairs.select(F.col("a").alias("bya"), F.col("b").alias("byb")).join(end("a"), "bya").join(end("b"), "byb")
         both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select(*PAIR, "na", "nb", "sa", "sb")
-        both = both.mapInArrow(near, ", ".join(f"{c} long" for c in PAIR)).checkpoint()
+        both = both.mapInArrow(tidy(near), ", ".join(f"{c} long" for c in PAIR)).checkpoint()
         wanted = both.select(F.col("da").alias("d"), F.col("ta").alias("k")).union(both.select("db", "tb")).distinct().checkpoint()
         # few wanted texts are picked where they lie; more than the bound meet the table in a shuffle
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -268,7 +269,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         right = texts.select(F.col("d").alias("db"), F.col("k").alias("tb"), F.col("t").alias("xb"))
         with_a = both.join(left, both["da"].eqNullSafe(left["da"]) & (both["ta"] == left["ta"])).select("a", "b", "db", "tb", "xa")
         full = with_a.join(right, with_a["db"].eqNullSafe(right["db"]) & (with_a["tb"] == right["tb"])).select("a", "b", "xa", "xb")
-        return full.mapInArrow(verify, "a long, b long, ok boolean")
+        return full.mapInArrow(tidy(verify), "a long, b long, ok boolean")
 
     stars = met.select("a", F.explode("others").alias("b")).distinct().checkpoint()
     ends = F.least(short("a"), short("b")).alias("a"), F.greatest(short("a"), short("b")).alias("b")
@@ -335,7 +336,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     while True:
         placed = members.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"), "n", "sk")
         apart_groups = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-        found = placed.join(apart_groups, "g").repartition("g").sortWithinPartitions("g").mapInArrow(cross(first, first + step), "a long, b long").distinct().checkpoint()
+        found = placed.join(apart_groups, "g").repartition("g").sortWithinPartitions("g").mapInArrow(tidy(cross(first, first + step)), "a long, b long").distinct().checkpoint()
         more = found.where("a <> b").select("a", "b", *(c.alias(f"s{k}") for k, c in enumerate(ends)))
         more = more.join(stars.toDF("s0", "s1"), ["s0", "s1"], "left_anti").select("a", "b").checkpoint()
         if not more.isEmpty():

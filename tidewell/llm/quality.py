@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, Words, buffers, mix, prepare, row_sums, slices, window_hash
+from .common import SpanHash, Words, buffers, mix, prepare, row_sums, slices, tidy, window_hash
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -199,7 +199,7 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: s
             if kept:
                 yield batch.take(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 MEASURES = ("n_words", "n_word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -230,4 +230,4 @@ def quality_report(docs: DataFrame, more: tuple[Rule, ...] = MORE, text_col: str
                 )
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), schema)
