@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -62,6 +63,16 @@ def give_back() -> None:
         trim(0)
 
 
+def clean(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that no table in use needs.
+
+    It does so when the driver's garbage is collected, which an iterative job can't leave to chance:
+    until then the files of all its rounds stay on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """``work`` on Arrow batches, which gives memory back at the end of its partition."""
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, Words, buffers, give_back, mix, prepare, slices, tidy, window_hash
+from .common import LOWER, SpanHash, Words, buffers, clean, give_back, mix, prepare, slices, tidy, window_hash
 from .graph import components
 
 _U = np.uint64
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     met = src.where("t is not null").select("t").mapInArrow(tidy(sign), "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, "a long, others array<long>")
     met = met.groupBy("a", "others").agg(F.count(F.lit(1)).alias("times")).drop("times").checkpoint()
+    clean(spark)
 
     # one row of the table for each set: the least (id, text), and how to find it
     # signatures carry a key's low 48 bits alone: sets that share those are told apart from here on
@@ -274,6 +275,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     stars = met.select("a", F.explode("others").alias("b")).distinct().checkpoint()
     ends = F.least(short("a"), short("b")).alias("a"), F.greatest(short("a"), short("b")).alias("b")
     links = checked(stars, "short").where("ok").select("a", "b").checkpoint()
+    clean(spark)
     roots = components(links).checkpoint()
     failed = stars.join(links.select(*ends), ["a", "b"], "left_anti").select("a").distinct()
 
@@ -339,11 +341,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         found = placed.join(apart_groups, "g").repartition("g").sortWithinPartitions("g").mapInArrow(tidy(cross(first, first + step)), "a long, b long").distinct().checkpoint()
         more = found.where("a <> b").select("a", "b", *(c.alias(f"s{k}") for k, c in enumerate(ends)))
         more = more.join(stars.toDF("s0", "s1"), ["s0", "s1"], "left_anti").select("a", "b").checkpoint()
+        clean(spark)
         if not more.isEmpty():
             fresh = checked(more).where("ok").select("a", "b").checkpoint()
             if not fresh.isEmpty():
                 links = links.union(fresh)
                 roots = components(links).checkpoint()
+        clean(spark)
         if found.where("a = b").isEmpty():
             break
         first, step = first + step, 1 << 40
