@@ -239,3 +239,16 @@ def test_pipeline(spark, docs, tmp_path):
             near = near_duplicates(left).collect()
             assert len({r.component_id for r in near}) == len(near) > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == left.count() > 0
+
+
+def test_word_table_generations(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tidewell.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 7)
+    encode, plain = packing.WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    text = " ".join(f"Word{k % 5}, naïve été{k % 11}. plain" + " x" * (k % 3) for k in range(60)) + "\nEnd\n"
+    for _ in range(3):
+        assert encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(encode) <= 8 and len(encode.before) <= 8
