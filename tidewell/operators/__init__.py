@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +150,84 @@ def ordered_list(value: str, *order: str) -> Column:
 def pivot_metrics(df: DataFrame, by: list[str], name: str, value: str, names: list[str]) -> DataFrame:
     """Long metrics to one column each (the names are given, so no extra pass finds them)."""
     return df.groupBy(*by).agg(*[F.max(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names])
+
+
+def _block_pairs(vectors: DataFrame, rows_per_block: int) -> DataFrame:
+    """Every pair of blocks of (vec_id, label, embedding), each side as bytes; null ids take no part."""
+    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
+    blocks = max(1, math.ceil(rows.count() / rows_per_block))
+
+    def build(key, pdf):
+        dims = max((len(x) for x in pdf["x"] if x is not None), default=0)
+        m = np.full((len(pdf), dims), np.nan)
+        for k, x in enumerate(pdf["x"]):
+            if x is not None and len(x) == dims:
+                m[k] = np.asarray(x, float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return pd.DataFrame([{"b": key[0], "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "labels": pdf["label"].to_numpy(float).tobytes(), "m": m.tobytes()}])
+
+    built = rows.withColumn("b", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)).cast("int")).groupBy("b").applyInPandas(build, "b int, ids binary, labels binary, m binary")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = built.select(F.col("b").alias("i"), *[F.col(c).alias(f"{c}_a") for c in ("ids", "labels", "m")]).withColumn("j", every)
+    right = built.select(F.col("b").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("ids", "labels", "m")]).withColumn("i", every)
+    return left.join(right, ["i", "j"])
+
+
+def _on_similarities(work, schema):
+    """``work`` on (ids, labels) of both sides and their cosines to five places, NaN where there is none, 256 rows of the left at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, lab, m = ({s: np.frombuffer(r[f"{c}_{s}"], t) for s in "ab"} for c, t in (("ids", np.int64), ("labels", float), ("m", float)))
+                a, b = (m[s].reshape(len(ids[s]), -1) for s in "ab")
+                for k in range(0, len(a), 256):
+                    sim = a[k : k + 256] @ b.T if a.shape[1] == b.shape[1] else np.full((len(a[k : k + 256]), len(b)), np.nan)
+                    sim = np.sign(sim) * np.floor(np.abs(sim) * 1e5 + 0.5) / 1e5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(work(ids["a"][k : k + 256], lab["a"][k : k + 256], ids["b"], lab["b"], sim), schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def nearest(vectors: DataFrame, k: int, rows_per_block: int = 2048) -> DataFrame:
+    """The ``k`` rows nearest by cosine (to five places, ties to the smaller id) to each row of
+    (vec_id, label, embedding), itself left out: vec_id, label, neighbour, neighbour_label, sim.
+
+    Every block of rows meets every block. Vectors that are null, hold a null, or are all zero have
+    a null similarity, which comes last, and so have pairs of unlike length.
+    """
+    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.float64()), ("neighbour", pa.int64()), ("neighbour_label", pa.float64()), ("sim", pa.float64())])
+
+    def best(a, la, b, lb, sim):
+        rows = []
+        for q in range(len(a)):
+            other = np.flatnonzero(b != a[q])
+            order = other[np.lexsort((b[other], -sim[q, other]))[:k]]
+            rows.append((np.full(len(order), q), order))
+        q, o = (np.concatenate(x) for x in zip(*rows, strict=True))
+        return a[q], la[q], b[o], lb[o], sim[q, o]
+
+    near = _block_pairs(vectors, rows_per_block).mapInArrow(_on_similarities(best, schema), "vec_id long, label double, neighbour long, neighbour_label double, sim double")
+    return dedupe_rank(near, ["vec_id"], [F.desc_nulls_last("sim"), F.asc("neighbour")], k)
+
+
+def dedupe_rank(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows a key in ``order``."""
+    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= k).drop("__rn")
+
+
+def pair_units(vectors: DataFrame, rows_per_block: int = 2048) -> DataFrame:
+    """Partial sums over all pairs of rows a < b: same_label, n, sim_units (cosine in 1/100,000)."""
+    schema = pa.schema([("same_label", pa.bool_()), ("n", pa.int64()), ("sim_units", pa.int64())])
+
+    def sums(a, la, b, lb, sim):
+        less = a[:, None] < b[None, :]
+        known = ~np.isnan(la)[:, None] & ~np.isnan(lb)[None, :]
+        same = la[:, None] == lb[None, :]
+        units = np.where(np.isnan(sim), 0, np.rint(sim * 1e5)).astype(np.int64)
+        groups = [(True, less & known & same), (False, less & known & ~same), (None, less & ~known)]
+        found = [(v, int(m.sum()), int(units[m].sum()) if (m & ~np.isnan(sim)).any() else None) for v, m in groups if m.any()]
+        return tuple(zip(*found, strict=True)) or ((), (), ())
+
+    return _block_pairs(vectors, rows_per_block).mapInArrow(_on_similarities(sums, schema), "same_label boolean, n long, sim_units long")

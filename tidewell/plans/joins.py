@@ -30,6 +30,16 @@ def asof_daily_rate(spark, sf_dir):
     return op.as_of_join(events, r, "ts", "day", [], ["total"], how="inner").select("event_id", "total")
 
 
+@query("asof_daily_rate_all", """
+WITH r AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT e.event_id, r.total FROM events e ASOF JOIN r ON e.ts >= r.day""")
+def asof_daily_rate_all(spark, sf_dir):
+    """The daily series of all view events."""
+    (events,) = tables(spark, sf_dir, "events")
+    r = events.where("event_type = 'view'").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.sum(fn.cents("value")).alias("total"))
+    return op.as_of_join(events, r, "ts", "day", [], ["total"], how="inner").select("event_id", "total")
+
+
 _VERSIONS = """
 v AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS price, DATE '1900-01-01' AS valid_from, CASE WHEN p_partkey % 10 = 0 THEN DATE '1998-01-01' ELSE DATE '9999-12-31' END AS valid_to FROM part
   UNION ALL SELECT p_partkey, CAST(round(p_retailprice * 115) AS BIGINT), DATE '1998-01-01', DATE '9999-12-31' FROM part WHERE p_partkey % 10 = 0)"""
@@ -121,7 +131,7 @@ def _pairs(spark, sf_dir):
 
 @query("knn_cosine", _NEAR + "SELECT a AS vec_id, b AS neighbour, sim FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 3")
 def knn_cosine(spark, sf_dir):
-    """Three nearest neighbours among a labelled set of bounded size (120 anchors)."""
+    """Three nearest neighbours among the 120 anchors of its SQL; ``knn_cosine_all`` has all rows."""
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     return _pairs(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 3").select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "sim")
 
@@ -138,3 +148,28 @@ def nn_classifier(spark, sf_dir):
 def pair_similarity(spark, sf_dir):
     p = _pairs(spark, sf_dir).where("a < b")
     return p.groupBy((F.col("la") == F.col("lb")).alias("same_label")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("sim") * 100000).cast("long")).alias("sim_units"))
+
+
+_NEAR_ALL = """
+WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"""
+
+
+@query("knn_cosine_all", _NEAR_ALL + "SELECT a AS vec_id, b AS neighbour, sim FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 3")
+def knn_cosine_all(spark, sf_dir):
+    """Three nearest neighbours of every row among all rows."""
+    (emb,) = tables(spark, sf_dir, "embeddings")
+    return op.nearest(emb, 3).select("vec_id", "neighbour", "sim")
+
+
+@query("nn_classifier_all", _NEAR_ALL + """, q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) = 1)
+SELECT CAST(la AS INTEGER) AS label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN la = lb THEN 1 ELSE 0 END) AS BIGINT) AS right_ones FROM q GROUP BY 1""")
+def nn_classifier_all(spark, sf_dir):
+    """1-NN by cosine over all rows, leave one out."""
+    (emb,) = tables(spark, sf_dir, "embeddings")
+    return op.nearest(emb, 1).groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("neighbour_label")).alias("right_ones"))
+
+
+@query("pair_similarity_all", _NEAR_ALL + "SELECT la = lb AS same_label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round(sim * 100000) AS BIGINT)) AS BIGINT) AS sim_units FROM p WHERE a < b GROUP BY 1")
+def pair_similarity_all(spark, sf_dir):
+    (emb,) = tables(spark, sf_dir, "embeddings")
+    return op.pair_units(emb).groupBy("same_label").agg(F.sum("n").alias("n"), F.sum("sim_units").alias("sim_units"))
