@@ -1,10 +1,12 @@
 """What the registered queries must not leave out: whole tables against brute force."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
 from tidewell import operators as op
+from tidewell.llm import queries as corpus
 
 
 @pytest.fixture(scope="session")
@@ -36,3 +38,13 @@ def test_nearest_sees_all_rows(spark):
             pairs[k] = (n + 1, s + round(sim[i, j] * 1e5))
     got = op.pair_units(df.where("vec_id < 900"), rows_per_block=64).groupBy("same_label").sum("n", "sim_units").collect()
     assert {k: (n, s) for k, n, s in got} == pairs
+
+
+def test_short_lines_are_deduplicated(spark, tmp_path):
+    lines = ["Same two", "words of their own here 1", "same  TWO", "x", "", "words of their own here 2", "x"]
+    docs = [(1, "\n".join(lines[:4])), (2, "\n".join(lines[3:])), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in corpus.QUERIES["op8_unit_dedup_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(1, 2, 35, 9, 1, 0), (2, 0, 0, 1, 1, 3), (2, 3, 29, 1, 1, 3)]
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got) == sorted(duckdb.sql(corpus.ORACLES["op8_unit_dedup_all"]).fetchall())

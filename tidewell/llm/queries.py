@@ -56,6 +56,11 @@ def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(read(spark, sf_dir, "documents"), unit="line", min_words=OP8_WORDS).drop("text_key")
 
 
+def op8_unit_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines of any length."""
+    return repeated_units(read(spark, sf_dir, "documents"), unit="line").drop("text_key")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shuffled(read(spark, sf_dir, "documents"), shards=8, seed=7, columns=["doc_id"])
     return out.select("record.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -123,8 +128,10 @@ f AS (SELECT *, row_number() OVER g AS r, first_value(doc_id) OVER g AS kept_doc
 SELECT doc_id, unit, start::BIGINT AS start, length(line)::BIGINT AS length, kept_doc_id, kept_unit FROM f WHERE r > 1
 """
 
-QUERIES |= {"op4_mixing": op4_mixing, "op7_line_dedup": op7_line_dedup, "op8_unit_dedup": op8_unit_dedup, "op9_sharding": op9_sharding}
-ORACLES |= {"op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_unit_dedup": OP8_SQL}
+OP8_ALL_SQL = OP8_SQL.replace(f">= {OP8_WORDS})", ">= 1)")
+
+QUERIES |= {"op4_mixing": op4_mixing, "op7_line_dedup": op7_line_dedup, "op8_unit_dedup": op8_unit_dedup, "op8_unit_dedup_all": op8_unit_dedup_all, "op9_sharding": op9_sharding}
+ORACLES |= {"op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_unit_dedup": OP8_SQL, "op8_unit_dedup_all": OP8_ALL_SQL}
 
 from .packing import pack  # noqa: E402
 from .quality import quality_report  # noqa: E402
