@@ -1,11 +1,16 @@
 """What the registered queries must not leave out: whole tables against brute force."""
 
+import hashlib
+import math
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
+from tidewell import functions as fn
 from tidewell import operators as op
+from tidewell import plans, registry  # noqa: F401
 from tidewell.llm import queries as corpus
 
 
@@ -48,3 +53,22 @@ def test_short_lines_are_deduplicated(spark, tmp_path):
     assert sorted(got) == [(1, 2, 35, 9, 1, 0), (2, 0, 0, 1, 1, 3), (2, 3, 29, 1, 1, 3)]
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(got) == sorted(duckdb.sql(corpus.ORACLES["op8_unit_dedup_all"]).fetchall())
+
+
+def test_hash_vector_of_words_and_pairs(spark):
+    docs = [("Late order, LATE rider", "en"), ("commande en retard", None), ("a 1 !", "fr"), ("", "de"), (None, "en")]
+    got = [r.v for r in spark.createDataFrame(docs, "text string, lang string").coalesce(1).select(fn.hash_vector("text").alias("v")).collect()]
+    grams = [["late", "order", "late", "rider", "late_order", "order_late", "late_rider"], ["commande", "en", "retard", "commande_en", "en_retard"], [], [], []]
+    for v, g in zip(got, grams, strict=True):
+        want = [0.0] * 256
+        for x in g:
+            h = int(hashlib.md5(x.encode()).hexdigest()[:16], 16)
+            want[h % 256] += 1 if (h >> 32) & 1 else -1
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert v == pytest.approx([x / norm for x in want])
+
+
+def test_hash_vector_takes_every_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = registry.QUERIES["hash_vector_text"](spark, "/root/testdata/sf0.001")
+    assert got.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() and got.count() == 256 * docs.count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,6 +99,31 @@ def hash_slot(token: Column | str) -> Column:
     return F.struct(slot.alias("slot"), F.when(odd == 1, 1).otherwise(-1).alias("sign"))
 
 
+def hash_vector(c: Column | str) -> Column:
+    """Text to 256 doubles: words and word pairs hashed with a sign (as :func:`hash_slot`), L2-normalised; all zero without words."""
+
+    @F.pandas_udf("array<double>")
+    def vec(texts: pd.Series) -> pd.Series:
+        import hashlib
+        import math
+        import re
+
+        token = re.compile("[a-z]{2,}")
+
+        def one(text: str | None) -> list[float]:
+            words = token.findall((text or "").lower())
+            v = [0.0] * 256
+            for gram in words + [f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)]:
+                h = int(hashlib.md5(gram.encode(), usedforsecurity=False).hexdigest()[:16], 16)
+                v[h % 256] += 1.0 if h >> 32 & 1 else -1.0
+            norm = math.sqrt(sum(x * x for x in v))
+            return [x / norm for x in v] if norm else v
+
+        return texts.map(one)
+
+    return vec(col(c))
+
+
 def hits(words: Column, lexicon: list[str]) -> Column:
     """How many of the words the lexicon has."""
     return F.size(F.filter(words, lambda w: w.isin(lexicon)))

@@ -137,13 +137,26 @@ WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) A
 s AS (SELECT doc_id, ('0x' || substr(md5(tok), 15, 2))::INTEGER AS slot, CASE WHEN ('0x' || substr(md5(tok), 8, 1))::INTEGER % 2 = 1 THEN 1 ELSE -1 END AS sign FROM t)
 SELECT doc_id, slot, CAST(sum(sign) AS BIGINT) AS weight FROM s GROUP BY doc_id, slot HAVING sum(sign) <> 0""")
 def hash_vector_tokens(spark, sf_dir):
-    """Signed hashing of words to 256 slots (sparse)."""
+    """Signed hashing of words to 256 slots (sparse), of the English documents of its SQL; ``hash_vector_text`` has all."""
     (docs,) = tables(spark, sf_dir, "documents")
     t = docs.where("lang = 'en'").select("doc_id", fn.tokens("text").alias("toks")).select("doc_id", F.explode_outer("toks").alias("tok")).where("tok is not null")
     t = t.select("doc_id", fn.hash_slot("tok").alias("h")).select("doc_id", "h.*")
     return t.groupBy("doc_id", "slot").agg(F.sum("sign").alias("weight")).where("weight <> 0")
 
 
+@query("hash_vector_text", """
+WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[a-z]{2,}'), []) AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS gram FROM t),
+s AS (SELECT doc_id, ('0x' || substr(md5(gram), 15, 2))::INTEGER AS slot, sum(CASE WHEN ('0x' || substr(md5(gram), 8, 1))::INTEGER % 2 = 1 THEN 1 ELSE -1 END) AS n FROM g GROUP BY ALL),
+m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM s GROUP BY ALL),
+d AS (SELECT doc_id, unnest(range(0, 256)) AS slot FROM documents)
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(coalesce(n / nullif(norm, 0), 0), 9) + 0.0 AS weight FROM d LEFT JOIN s USING (doc_id, slot) LEFT JOIN m USING (doc_id)""")
+def hash_vector_text(spark, sf_dir):
+    """The 256 components of every document's hash vector."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(fn.hash_vector("text")).alias("slot", "weight")).select("doc_id", "slot", (F.round("weight", 9) + F.lit(0.0)).alias("weight"))
+
+
 STRONG, ESCALATE = ["stupid", "worthless", "pathetic", "idiot"], ["never", "refund", "legal"]
 
 
