@@ -72,3 +72,12 @@ def test_hash_vector_takes_every_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = registry.QUERIES["hash_vector_text"](spark, "/root/testdata/sf0.001")
     assert got.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() and got.count() == 256 * docs.count()
+
+
+def test_containment_of_many_short_items(spark, tmp_path):
+    items = [(i, f"w{i}") for i in range(10_500)] + [(20_000 + i, f"a{i} b c") for i in range(20)] + [(30_000, "b c d e"), (30_001, "in\tner  x y z"), (30_002, ""), (30_003, None), (30_004, "ner one"), (30_005, "ner one two thr")]
+    docs = [(0, " ".join(f"w{i}" for i in range(0, 10_500, 2))), (1, " ".join(f"w{i}" for i in range(1, 10_500, 2))), (2, "za5 b c d ef in\tner  x y zz"), (3, None), (4, "inner one two three"), (5, "")]
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["containment_join"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, d) for i, n in items for d, t in docs if n is not None and t is not None and n in t) and len(got) > 10_500

@@ -104,15 +104,23 @@ def interval_overlap(spark, sf_dir):
 
 @query("containment_join", "SELECT CAST(b.item_id AS BIGINT) AS item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def containment_join(spark, sf_dir):
-    """Texts that contain a given string: the strings' first five words are looked up in the texts' five-word windows, then the whole is checked."""
+    """Texts that contain a given string: words inside the strings are looked up in the texts' windows of as many words, then the whole is checked.
+
+    The first and last word of a string may be parts of words in a text, so the key is the second to
+    fifth word, or what lies between the ends of a shorter string. Strings of one or two words have no
+    key and meet every text.
+    """
     benchmark, docs = tables(spark, sf_dir, "benchmark", "documents")
     words = lambda c: F.split(F.trim(F.regexp_replace(c, "\\s+", " ")), " ")
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("needle"), words("text").alias("w"))
-    b = b.select("item_id", "needle", F.when(F.size("w") >= 6, F.concat_ws(" ", F.slice("w", 2, 4))).alias("key"))
-    d = docs.select("doc_id", "text", words("text").alias("w")).select("doc_id", F.explode_outer(F.array_distinct(F.expr("transform(if(size(w) < 4, array(), sequence(1, size(w) - 3)), i -> concat_ws(' ', slice(w, i, 4)))"))).alias("key"))
-    near = d.join(b.where("key is not null"), "key").select("doc_id", "item_id", "needle").distinct()
+    b = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("needle"), words("text").alias("w"))
+    b = b.select("item_id", "needle", F.least(F.size("w") - 2, F.lit(4)).alias("n"), "w")
+    b = b.select("item_id", "needle", "n", F.when(F.col("n") > 0, F.concat_ws(" ", F.expr("slice(w, 2, greatest(n, 0))"))).alias("key"))
+    sizes = sorted(r.n for r in b.where("n > 0").select("n").distinct().collect()) or [4]
+    d = docs.select("doc_id", "text", words("text").alias("w"), F.explode(F.array(*map(F.lit, sizes))).alias("n"))
+    d = d.select("doc_id", "n", F.explode(F.array_distinct(F.expr("transform(if(size(w) < n, array(), sequence(1, size(w) - n + 1)), i -> concat_ws(' ', slice(w, i, n)))"))).alias("key"))
+    near = d.join(b.where("key is not null"), ["n", "key"]).select("doc_id", "item_id", "needle").distinct()
     hits = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "needle")).select("item_id", "doc_id")
-    short = docs.crossJoin(F.broadcast(b.where("key is null").limit(10_000))).where(F.contains("text", "needle")).select("item_id", "doc_id")
+    short = docs.crossJoin(b.where("key is null")).where(F.contains("text", "needle")).select("item_id", "doc_id")
     return hits.unionByName(short)
 
 
