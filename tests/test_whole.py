@@ -2,16 +2,19 @@
 
 import hashlib
 import math
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tidewell import functions as fn
 from tidewell import operators as op
 from tidewell import plans, registry  # noqa: F401
 from tidewell.llm import queries as corpus
+from tidewell.llm import sharding
 
 
 @pytest.fixture(scope="session")
@@ -81,3 +84,16 @@ def test_containment_of_many_short_items(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in registry.QUERIES["containment_join"](spark, str(tmp_path)).collect())
     assert got == sorted((i, d) for i, n in items for d, t in docs if n is not None and t is not None and n in t) and len(got) > 10_500
+
+
+def test_sharding_reports_what_was_written(spark, tmp_path, monkeypatch):
+    docs = [(i, f"text {i} é" * (i % 4) if i % 9 else None, "s") for i in range(100)] + [(None, "no id", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in corpus.QUERIES["op9_sharding"](spark, str(tmp_path)).collect()]
+    want = lambda lost: sorted(((i or -1), len((t or "").replace(lost, "").encode()) + 1, zlib.crc32((t or "").replace(lost, "").encode())) for i, t, _ in docs)
+    key = lambda rows: sorted((r[0] or -1, *r[1:3]) for r in rows)
+    got = run()
+    assert key(got) == want("\0") and all(sorted(r[4] for r in got if r[3] == k) == list(range(sum(r[3] == k for r in got))) for k in range(8))
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, *a, **o: write(df.withColumn("text", F.replace("text", F.lit("é"), F.lit(""))), *a, **o))
+    assert key(run()) == want("é")  # a text changed on the way shows

@@ -32,7 +32,7 @@ QUERIES = {"op1_top_k_search": op1_top_k_search}
 ORACLES = {"op1_top_k_search": OP1_SQL}
 from .linedup import line_dedup
 from .mixing import mix
-from .sharding import shuffled
+from .sharding import written_shards
 from .unitdup import repeated_units
 
 #: Production parameters of op4: weights by level (sources equal), of 60 % of all tokens, in 3 epochs at most.
@@ -62,7 +62,7 @@ def op8_unit_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shuffled(read(spark, sf_dir, "documents"), shards=8, seed=7, columns=["doc_id"])
+    out = written_shards(read(spark, sf_dir, "documents"), shards=8, seed=7)
     return out.select("record.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -9,9 +9,11 @@ most one (law ``rows``).
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import prepare
 
@@ -47,3 +49,19 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 7, **o
     """The shards as folders ``shard=k`` of Parquet files, each in slot order."""
     out = shuffled(docs, shards, seed, **options)
     out.select("shard", "slot", "record").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def written_shards(docs: DataFrame, shards: int = 8, seed: int = 7, text_col: str = "text", **options) -> DataFrame:
+    """Every record as :func:`write_shards` left it in the shared folder, with the columns of
+    :func:`shuffled`: shard and slot as stored, size and CRC of the text that was read back. The
+    files go when the session ends."""
+    spark = docs.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    write_shards(docs, path, shards, seed, text_col=text_col, **options)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    columns = options.get("columns") or docs.columns
+    schema = StructType([StructField("slot", LongType()), StructField("record", docs.select(*[F.col(f"`{c}`") for c in columns]).schema), StructField("shard", IntegerType())])
+    text = F.coalesce(F.col("record").getField(text_col), F.lit(""))
+    return spark.read.schema(schema).parquet(path).select("record", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "shard", "slot")
