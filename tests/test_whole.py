@@ -15,6 +15,7 @@ from tidewell import operators as op
 from tidewell import plans, registry  # noqa: F401
 from tidewell.llm import queries as corpus
 from tidewell.llm import sharding
+from tidewell.llm.topk import top_k
 
 
 @pytest.fixture(scope="session")
@@ -97,3 +98,25 @@ def test_sharding_reports_what_was_written(spark, tmp_path, monkeypatch):
     write = sharding.write_shards
     monkeypatch.setattr(sharding, "write_shards", lambda df, *a, **o: write(df.withColumn("text", F.replace("text", F.lit("é"), F.lit(""))), *a, **o))
     assert key(run()) == want("é")  # a text changed on the way shows
+
+
+@pytest.mark.parametrize("top", [5e5, 4e7, 3e9])
+def test_top_k_keeps_large_components(spark, top):
+    r = np.random.default_rng(2)
+    x = r.normal(0, 1, (60, 5))
+    x[10:20] *= top / 100 / np.abs(x[10:20]).max()
+    x[20] = [top, 0, 0, 0, 0]
+    x[21] = [-1, 0, 0, 0, top]
+    data = [(i, [float(e) for e in v]) for i, v in enumerate(x)] + [(20, [top * 2, 0.0, 0.0, 0.0, 0.0]), (70, [float("inf")] * 5), (71, None)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    whole = {i: tuple(math.floor(256 * e) for e in v) for i, v in reversed(data[:61])}
+    want = set()
+    for q in (0, 5, 15, 20, 21):
+        s = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:4]
+        want |= {(q, n + 1, i, -x) for n, (x, i) in enumerate(s)}
+    if max(abs(x) for *_, x in want) < 1 << 63:
+        got = top_k(df, df.where("vec_id in (0, 5, 15, 20, 21)"), k=4, rows_per_block=16, queries_per_block=2)
+        assert {tuple(r) for r in got.collect()} == want
+    else:
+        with pytest.raises(Exception, match="64 bits"):
+            top_k(df, df.where("vec_id in (0, 5, 15, 20, 21)"), k=4).collect()

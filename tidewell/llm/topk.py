@@ -11,7 +11,10 @@ are the boundary, and get their exact score. The bounds are proven, so nothing i
 
 from __future__ import annotations
 
+import heapq
 import math
+import pickle
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -21,22 +24,59 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-#: Vectors with a component of this size or more take no part: their scores may leave 64 bits.
-LARGEST = 131072.0
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, for the vectors that take part."""
+def finite(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
+    """(vec_id, x, size): the vectors that take part, and their largest |scale * component|."""
     x = F.col(vec_col).cast("array<double>")
-    ok = F.forall(x, lambda e: F.coalesce(F.abs(e) < LARGEST, F.lit(False)))
+    ok = F.forall(x, lambda e: F.coalesce(F.abs(e) < float("inf"), F.lit(False)))
     return (
         df.select(F.col(id_col).cast("long").alias("vec_id"), F.when(ok, x).alias("x"))
         .where("vec_id is not null and x is not null")
-        .select("vec_id", F.transform("x", lambda e: F.floor(e * F.lit(float(scale)))).alias("v"))
+        .withColumn("size", F.coalesce(F.array_max(F.transform("x", lambda e: F.abs(e) * F.lit(float(scale)))), F.lit(0.0)))
     )
 
 
+def quantised(vectors: DataFrame, scale: int) -> DataFrame:
+    """(vec_id, v): floor(scale * x) of each component."""
+    return vectors.select("vec_id", F.transform("x", lambda e: F.floor(e * F.lit(float(scale)))).alias("v"))
+
+
+def _whole(x: list[float], scale: int) -> tuple[int, ...]:
+    return tuple(math.floor(e * scale) if math.isfinite(e * scale) else math.floor(Fraction(e) * scale) for e in x)
+
+
+def _exact_block(scale: int):
+    """The rows of a block, once each and with whole components of any size, as a pickled list."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = {}
+        for i, x in zip(pdf["vec_id"], pdf["x"], strict=True):
+            v = _whole([float(e) for e in x], scale)
+            rows[int(i)] = min(rows.get(int(i), v), v)
+        return pd.DataFrame([{"b": key[0], "rows": pickle.dumps(sorted(rows.items()))}])
+
+    return run
+
+
+def _exact(k: int):
+    """The best ``k`` of each block pair by whole numbers. Scores under 64 bits are null; one over them is an error."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows, out = pickle.loads(r["rows"]), []
+                for q, w in pickle.loads(r["q"]):
+                    best = heapq.nsmallest(k, ((-sum(a * b for a, b in zip(w, v, strict=False)), i) for i, v in rows if i != q))
+                    if best and -best[0][0] >= 1 << 63:
+                        raise OverflowError(f"the score of query {q} and vector {best[0][1]} does not fit 64 bits: {-best[0][0]}")
+                    out += [(q, i, -s if -s >= -(1 << 63) else None) for s, i in best]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ids in order, once each (of several vectors of an id the least), and the padded vectors."""
     rows = sorted({(int(i), tuple(int(e) for e in v)) for i, v in zip(pdf["vec_id"], pdf["v"], strict=True)})
@@ -174,17 +214,36 @@ def top_k(
     """The ``k`` rows of ``df`` with the highest integer inner product with each row of ``queries``.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Rows that are
-    null, hold a null or non-finite component, or have a null id take no part; components of
-    |x| >= 131072 neither. Vectors of unlike length are compared over the shorter one; an empty
+    null, hold a null or non-finite component, or have a null id take no part. Rows so large that a
+    score could leave 64 bits are scored apart, in whole numbers of any size; a score to be returned
+    that does not fit is an error. Vectors of unlike length are compared over the shorter one; an empty
     vector scores 0. A row does not answer a query of its own id. Of repeated rows one counts; of
     several vectors under one id the least in order counts. Other columns are not looked at. An
     empty table gives an empty result.
     """
     spark = df.sparkSession
     prepare(spark)
-    index, asked = quantised(df, id_col, vec_col, scale), quantised(queries, id_col, vec_col, scale)
-    blocks = max(1, math.ceil(index.count() / rows_per_block))
-    q_blocks = max(1, math.ceil(asked.count() / queries_per_block))
+    index, asked = finite(df, id_col, vec_col, scale), finite(queries, id_col, vec_col, scale)
+    extent = lambda v: v.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0)), F.coalesce(F.max("size"), F.lit(0.0))).first()
+    (n, dims, most), (n_asked, q_dims, q_most) = extent(index), extent(asked)
+    blocks = max(1, math.ceil(n / rows_per_block))
+    q_blocks = max(1, math.ceil(n_asked / queries_per_block))
+    width = max(1, min(dims, q_dims))
+    apart = None
+    # the shifted index and the scores stay under 64 bits if all components stay under these
+    if (max(most, q_most) + 1) > 2.0**61 or width * (most + 1) * (q_most + 1) > 2.0**62:
+        limit = math.sqrt(2.0**62 / width) - 1
+        # all vectors of an id go one way, as the least of them counts
+        large = lambda v: v.where(F.col("size") > limit).select("vec_id").distinct()
+        parts = [(v.join(large(v), "vec_id", "left_anti"), v.join(large(v), "vec_id", "left_semi")) for v in (index, asked)]
+        (few, big), (q_few, q_big) = parts
+        e_blocks, e_asked = max(1, math.ceil(n / 2048)), max(1, math.ceil(n_asked / 128))
+        sized = lambda v, c, m: v.withColumn("b", F.pmod(F.xxhash64(F.lit(13), "vec_id"), F.lit(m)).cast("int")).groupBy("b").applyInPandas(_exact_block(scale), "b int, rows binary").select(F.col("b").alias(f"b_{c}"), F.col("rows").alias(c))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        meet = lambda v, q: sized(v, "rows", e_blocks).withColumn("b_q", every(e_asked)).join(sized(q, "q", e_asked).withColumn("b_rows", every(e_blocks)), ["b_rows", "b_q"]).mapInArrow(_exact(k), "query_id long, vec_id long, score long")
+        apart = meet(index, q_big).unionByName(meet(big, q_few))
+        index, asked = few, q_few
+    index, asked = quantised(index, scale), quantised(asked, scale)
     dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
     built = (
         index.withColumn("b", dealt(blocks, 11)).groupBy("b").applyInPandas(_index_block, "b int, ids binary, dims int, bits int, low long, slices binary")
@@ -205,4 +264,8 @@ def top_k(
 
     near = built.join(asked, ["b", "qb"]).mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    if apart is not None:
+        near = near.unionByName(apart)
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = F.col("score") if apart is None else F.coalesce("score", F.raise_error(F.lit("a score does not fit 64 bits")).cast("long"))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
