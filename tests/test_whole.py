@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from tidewell import functions as fn
 from tidewell import operators as op
 from tidewell import plans, registry  # noqa: F401
+from tidewell.llm import graph
 from tidewell.llm import queries as corpus
 from tidewell.llm import sharding
+from tidewell.llm.common import prepare
 from tidewell.llm.topk import top_k
 
 
@@ -120,3 +122,16 @@ def test_top_k_keeps_large_components(spark, top):
     else:
         with pytest.raises(Exception, match="64 bits"):
             top_k(df, df.where("vec_id in (0, 5, 15, 20, 21)"), k=4).collect()
+
+
+@pytest.mark.parametrize("blind", [False, True])
+def test_components_settle_or_raise(spark, monkeypatch, blind):
+    n = 120
+    order = np.random.default_rng(4).permutation(n).tolist()
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(500, 501), (501, 502)], "a long, b long").coalesce(2)
+    if blind:  # every round looks like the one before by count and sum of hashes
+        monkeypatch.setattr(graph.F, "xxhash64", lambda *c: F.lit(0))
+    prepare(spark)
+    assert {tuple(r) for r in graph.components(edges).collect()} == {(i, 0) for i in range(n)} | {(500, 500), (501, 500), (502, 500)}
+    with pytest.raises(RuntimeError, match="not settled"):
+        graph.components(edges, rounds=1)
