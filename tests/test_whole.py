@@ -135,3 +135,14 @@ def test_components_settle_or_raise(spark, monkeypatch, blind):
     assert {tuple(r) for r in graph.components(edges).collect()} == {(i, 0) for i in range(n)} | {(500, 500), (501, 500), (502, 500)}
     with pytest.raises(RuntimeError, match="not settled"):
         graph.components(edges, rounds=1)
+
+
+def test_models_score_every_labelled_row(spark):
+    data = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{data}/documents.parquet").join(spark.read.parquet(f"{data}/labels.parquet").where("quality is not null"), "doc_id")
+    n, base = rows.agg(F.count(F.lit(1)), F.avg("quality")).first()
+    risk, text = (registry.QUERIES[f"{m}_model_metrics"](spark, data).first() for m in ("risk", "text"))
+    for r in (risk, text):
+        assert r.n == n > 0 and r.base_rate == pytest.approx(base) and 0 <= r.brier < 1 and 0 < r.mean_score < 1
+    assert risk.mean_score == pytest.approx(base, abs=1e-3)  # an unregularised fit meets the base rate
+    assert text.brier < base * (1 - base)

@@ -1,3 +1,3 @@
 """Registered queries over the operators. Importing this package fills the registry."""
 
-from . import aggregates, change, domain, joins, scalars  # noqa: F401
+from . import aggregates, change, domain, joins, models, scalars  # noqa: F401
