@@ -252,3 +252,36 @@ def test_word_table_generations(monkeypatch):
     for _ in range(3):
         assert encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert len(encode) <= 8 and len(encode.before) <= 8
+
+
+def test_paragraphs(docs, rows):
+    norm = lambda x: " ".join(WORD.findall(x)).lower()
+    first, want = {}, set()
+    for i, t in sorted(((i, t) for i, t, *_ in set(rows) if t), key=lambda r: (r[0] is not None, r[0] or 0)):
+        at = 0
+        for k, m in enumerate([*re.finditer("\n[\x20\x09-\x0d]*\n", t), None]):
+            x = t[at : m.start() if m else len(t)]
+            if norm(x) and first.setdefault(norm(x), (i, k)) != (i, k):
+                want.add((i, k, at, len(x), *first[norm(x)]))
+            at = m.end() if m else 0
+    got = repeated_units(docs, unit="paragraph")
+    assert {(r.doc_id, r.unit, r.start, r.length, r.kept_doc_id, r.kept_unit) for r in got.collect()} == want
+
+
+def test_passages_are_caught_at_any_offset(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghé") for _ in range(r.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared = [prose(44) for _ in range(40)]  # span + pick - 1 words
+    data = [(2 * k + side, prose(r.randrange(60)) + " " + s.replace(" ", "\n" if side else " ", 3 * side).upper() + "  " + prose(r.randrange(60)), "x") for k, s in enumerate(shared) for side in (0, 1)]
+    data += [(900, None, ""), (901, "", None), (902, "| " * 200, "y"), (903, prose(400), "z"), (902, "| " * 200, "y"), (904, prose(30), "z")]
+    got = repeated_units(spark.createDataFrame(data, "doc_id long, text string, unit string"), unit="passage").collect()
+    assert {x.doc_id for x in got} == {2 * k + 1 for k in range(40)} | {902} and all(x.kept_doc_id == x.doc_id - 1 for x in got if x.doc_id < 900)
+    text = {i: t for i, t, _ in data}
+    norm = lambda t: " ".join(WORD.findall(t)).lower()
+    for x in got:
+        part = norm(text[x.doc_id][x.start : x.start + x.length])
+        assert len(part.split(" ")) == 25 and part == " ".join(norm(text[x.kept_doc_id]).split(" ")[x.kept_unit : x.kept_unit + 25])
+    df = spark.createDataFrame(data, "doc_id long, text string, unit string")
+    cut = {x.doc_id: x for x in remove_units(df, repeated_units(df, unit="passage")).collect()}
+    assert cut[902].text.split() == ["|"] * 44 and cut[903].text == text[903] and cut[900].text is None

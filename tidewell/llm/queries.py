@@ -48,19 +48,26 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents"), window=3).select("doc_id", "n_lines", "n_removed_lines", "text")
 
 
-#: Lines of fewer words recur by chance or by form (a title, a licence line) and are left.
-OP8_WORDS = 25
+#: op8 removes repeated passages: lines of so many words, and so many words from content-defined points, anywhere in a text.
+#: Shorter lines on their own (a title, a licence line) recur in half of all documents; ``unit_dedup_lines`` has them all.
+OP8_WORDS, OP8_PICK = 25, 20
 
 
 def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(read(spark, sf_dir, "documents"), unit="line", min_words=OP8_WORDS).drop("text_key")
+    """Repeated lines of OP8_WORDS words and more, and repeated passages wherever they begin and end."""
+    return repeated_units(read(spark, sf_dir, "documents"), unit=("line", "passage"), min_words=OP8_WORDS, span=OP8_WORDS, pick=OP8_PICK).drop("text_key")
 
 
-def op8_unit_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unit_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated lines of any length."""
     return repeated_units(read(spark, sf_dir, "documents"), unit="line").drop("text_key")
 
 
+def unit_dedup_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs of any length."""
+    return repeated_units(read(spark, sf_dir, "documents"), unit="paragraph").drop("text_key")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = written_shards(read(spark, sf_dir, "documents"), shards=8, seed=7)
     return out.select("record.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -119,19 +126,37 @@ SELECT x.doc_id, len(l)::BIGINT AS n_lines, len(gone)::BIGINT AS n_removed_lines
 FROM x LEFT JOIN y USING (doc_id)
 """
 
-OP8_SQL = rf"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-u AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS unit FROM d),
-o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS start FROM u),
-n AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM o WHERE len(regexp_extract_all(line, {_W})) >= {OP8_WORDS}),
-f AS (SELECT *, row_number() OVER g AS r, first_value(doc_id) OVER g AS kept_doc_id, first_value(unit) OVER g AS kept_unit FROM n WINDOW g AS (PARTITION BY norm ORDER BY doc_id, unit))
-SELECT doc_id, unit, start::BIGINT AS start, length(line)::BIGINT AS length, kept_doc_id, kept_unit FROM f WHERE r > 1
-"""
-
-OP8_ALL_SQL = OP8_SQL.replace(f">= {OP8_WORDS})", ">= 1)")
 
-QUERIES |= {"op4_mixing": op4_mixing, "op7_line_dedup": op7_line_dedup, "op8_unit_dedup": op8_unit_dedup, "op8_unit_dedup_all": op8_unit_dedup_all, "op9_sharding": op9_sharding}
-ORACLES |= {"op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_unit_dedup": OP8_SQL, "op8_unit_dedup_all": OP8_ALL_SQL}
+def _lines_sql(words: int) -> str:
+    return rf"""
+ld AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+lu AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS unit FROM ld),
+lo AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS start FROM lu),
+ln AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM lo WHERE len(regexp_extract_all(line, {_W})) >= {words}),
+lf AS (SELECT *, row_number() OVER g AS r, first_value(doc_id) OVER g AS kept_doc_id, first_value(unit) OVER g AS kept_unit FROM ln WINDOW g AS (PARTITION BY norm ORDER BY doc_id, unit)),
+lines AS (SELECT doc_id, 'line' AS kind, unit, start::BIGINT AS start, length(line)::BIGINT AS length, kept_doc_id, kept_unit FROM lf WHERE r > 1)"""
+
+
+#: Words with their places; a word's key from its bytes, last to first; the last least key of each OP8_PICK places.
+_PASSAGES_SQL = rf"""
+pd AS (SELECT doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS toks FROM documents WHERE text IS NOT NULL),
+pt AS (SELECT doc_id, len(toks) - {OP8_WORDS} + 1 AS m, unnest(toks) AS tok, unnest(range(0, len(toks))) AS i FROM pd WHERE len(toks) >= {OP8_WORDS}),
+pw AS (SELECT doc_id, m, i, regexp_extract(tok, {_W}) AS word, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM pt),
+dk AS (SELECT word, list_reduce(list_prepend(0::BIGINT, list_transform(range(length(hex(lower(word))) // 2 - 1, -1, -1), lambda j: ('0x' || substr(hex(lower(word)), 2 * j + 1, 2))::BIGINT)),
+  lambda h, b: (h * 2654435761 + b + 1) % 2147483648) AS key FROM (SELECT DISTINCT word FROM pw)),
+pk AS (SELECT pw.*, key FROM pw JOIN dk USING (word)),
+pv AS (SELECT doc_id, i, m, min(key * 4294967296 + 4294967295 - i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {OP8_PICK - 1} FOLLOWING) AS v FROM pk WHERE i < m),
+ps AS (SELECT DISTINCT doc_id, 4294967295 - v % 4294967296 AS unit FROM pv WHERE i <= greatest(0, m - {OP8_PICK})),
+pg AS (SELECT ps.doc_id, ps.unit, string_agg(lower(word), ' ' ORDER BY i) AS norm, min(upto - length(word)) AS start, max(upto) AS stop FROM ps JOIN pk ON pk.doc_id = ps.doc_id AND pk.i BETWEEN ps.unit AND ps.unit + {OP8_WORDS - 1} GROUP BY ALL),
+pf AS (SELECT *, row_number() OVER g AS r, first_value(doc_id) OVER g AS kept_doc_id, first_value(unit) OVER g AS kept_unit FROM pg WINDOW g AS (PARTITION BY norm ORDER BY doc_id, unit)),
+passages AS (SELECT doc_id, 'passage' AS kind, unit::BIGINT AS unit, start::BIGINT AS start, (stop - start)::BIGINT AS length, kept_doc_id, kept_unit::BIGINT AS kept_unit
+  FROM pf WHERE r > 1 AND NOT (doc_id = kept_doc_id AND unit - kept_unit < {OP8_WORDS}))"""
+
+OP8_SQL = f"WITH {_lines_sql(OP8_WORDS)}, {_PASSAGES_SQL} SELECT * FROM lines UNION ALL SELECT * FROM passages"
+LINES_SQL = f"WITH {_lines_sql(1)} SELECT * FROM lines"
+
+QUERIES |= {"op4_mixing": op4_mixing, "op7_line_dedup": op7_line_dedup, "op8_unit_dedup": op8_unit_dedup, "unit_dedup_lines": unit_dedup_lines, "unit_dedup_paragraphs": unit_dedup_paragraphs, "op9_sharding": op9_sharding}
+ORACLES |= {"op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_unit_dedup": OP8_SQL, "unit_dedup_lines": LINES_SQL}
 
 from .packing import pack  # noqa: E402
 from .quality import quality_report  # noqa: E402
