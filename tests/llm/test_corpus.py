@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 
@@ -241,17 +242,32 @@ def test_pipeline(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == left.count() > 0
 
 
-def test_word_table_generations(monkeypatch):
-    from tokenizers import Tokenizer
-
-    from tidewell.llm import packing
-
-    monkeypatch.setattr(packing, "CACHE_WORDS", 7)
-    encode, plain = packing.WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
-    text = " ".join(f"Word{k % 5}, naïve été{k % 11}. plain" + " x" * (k % 3) for k in range(60)) + "\nEnd\n"
-    for _ in range(3):
-        assert encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert len(encode) <= 8 and len(encode.before) <= 8
+def test_token_ids(monkeypatch, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from tidewell.llm import bpe
+    from tidewell.llm.common import buffers
+
+    monkeypatch.setattr(bpe, "TABLE", 5)
+    plain = Tokenizer.from_file(tokenizer_path())
+    r = random.Random(6)
+    odd = "\u0130\u0958\u095f\u09dc\ufb1d\ufb2a\u212aÉßǅµ\u0301'0٣日\u00a0\u1680"
+    cases = [f"{a}{c}{m}" for c in odd for a in ("", "a", "Été") for m in ("", ",", ".a", "!'s")]
+    cases += ["aaaaaaaaa", "x" * 300, "zz" * 90, "we'll've 'S", "<|endoftext|>a <| b", "12ab34", "$$$--..", None, "", " \t\n", "To$$$ \x1f\x0b\x85e"]
+    cases += ["".join(r.choice("abcdé ABC.,'1$\n" + odd) for _ in range(r.randint(1, 80))) for _ in range(400)]
+    data, offs = buffers(pa.array(cases))
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in cases]
+    ids, b = bpe.BatchEncoder(tokenizer_path()).texts(data, offs, 2)
+    assert [ids[x:y].tolist() for x, y in zip(b[:-1], b[1:])] == want
+    encode = bpe.BatchEncoder(tokenizer_path())
+    assert encode.fast
+    encode.fast = False  # as for tokenizers of another shape
+    ids, b = encode.texts(data, offs, 2)
+    assert [ids[x:y].tolist() for x, y in zip(b[:-1], b[1:])] == want
+    other = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "ab": 2}, merges=[("a", "b")]))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.save(f"{tmp_path}/other.json")
+    assert not bpe.BatchEncoder(f"{tmp_path}/other.json").fast
 
 
 def test_paragraphs(docs, rows):

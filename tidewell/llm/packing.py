@@ -9,7 +9,6 @@ the sequences' free capacities.
 from __future__ import annotations
 
 import math
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -19,54 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, prepare, tidy
+from .bpe import BatchEncoder
+from .common import buffers, prepare, slices, tidy
 
-#: A worker's table of words it has met is set aside at this size, in place of the one set aside before.
-CACHE_WORDS = 200_000
+#: Texts are encoded in slices of about so many bytes, in which equal words are looked up once.
+ENCODE_BYTES = 4 << 20
 _ENCODERS: dict = {}
 
 
-class WordEncoder(dict):
-    """A text's token ids as little-endian unsigned 32-bit bytes, word by word.
-
-    Only for tokenizers that drop white space and never join text across it: there a text's ids
-    are those of its parts between spaces, so a part is encoded once and looked up from then on
-    (the dictionary's keys are the parts met so far). A full table is set aside as ``before``, from
-    which parts that are met again come back; those that aren't go with the next one.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__({"": b""})
-        self.before: dict[str, bytes] = {}
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: str) -> bytes:
-        # letters and the mark that ends them are always apart; A-Z reads as a-z
-        if word in self.before:
-            ids = self.before[word]
-        elif word[-1] in ".," and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        elif word.isascii() and not word.islower() and word.isalpha():
-            ids = self[word.lower()]
-        else:
-            found = self.encode(word, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
-        if len(self) >= CACHE_WORDS:
-            self.before = dict(self)
-            self.clear()
-            self[""] = b""
-        self[word] = ids
-        return ids
-
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> BatchEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = BatchEncoder(path)
     return _ENCODERS[path]
 
 
@@ -103,28 +65,28 @@ def pack(
     """One row for each piece: doc_id, start and length in the document's ids (with the end id),
     their CRC-32, the document's number of ids, the sequence and the offset there.
 
-    ``tokenizer`` is a file of the ``tokenizers`` library that drops white space (see
-    :class:`WordEncoder`). A null or empty text is the end id alone. Each row is packed, repeated
+    ``tokenizer`` is a file of the ``tokenizers`` library; those of a known shape are faster (see
+    :mod:`.bpe`). A null or empty text is the end id alone. Each row is packed, repeated
     ones too. Sequences hold rows of one random group, so groups are packed on their own and again
     alike if an executor is lost. Other columns are not looked at.
     """
     prepare(docs.sparkSession)
     groups = max(1, math.ceil(docs.count() / docs_per_group))
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
             data, offs = buffers(batch.column(1))
-            view = memoryview(data)
+            docs, groups = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             out = [[], [], [], [], [], []]
-            for doc, group, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                ids = memoryview(encode(str(view[a:b], "utf-8")) + end)
-                total = len(ids) // 4
-                for start in range(0, total, length):
-                    n = min(length, total - start)
-                    for column, value in zip(out, (doc, group, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), total), strict=True):
-                        column.append(value)
+            for i, j in slices(offs, ENCODE_BYTES):
+                ids, bounds = encode.texts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], end_id)
+                view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                for r, a, b in zip(range(i, j), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    for start in range(a, b, length):
+                        n = min(length, b - start)
+                        for column, value in zip(out, (docs[r], groups[r], start - a, n, zlib.crc32(view[4 * start : 4 * (start + n)]), b - a), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "g", "start", "length", "ids_crc32", "doc_tokens"])
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
