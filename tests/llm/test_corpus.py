@@ -101,11 +101,58 @@ def test_quality(docs, rows):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in report.values() if r.kept for _ in range(2 if r.doc_id == 31 else 1))
 
 
-def test_html():
-    page = "<title>t</title><nav><a href=x>m</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one  <b>two<br><p>three &eacute;</article><footer>f</footer>"
-    assert htmltext.main_text(page) == "A & B\none two\nthree é"
+def _words(n, w):
+    return " ".join(f"{w}{k}word" for k in range(n))
+
+
+A, B, C, D = _words(60, "a"), _words(50, "b"), _words(40, "c"), _words(90, "d")
+PAGES = {
+    "marked up": ("<title>t</title><nav><a href=x>m</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one  <b>two<br><p>three &eacute;</article><footer>f</footer>", ["A & B", "one two", "three é"]),
+    "plain divs": (f"<div><a href=a>Home</a><a href=b>News</a></div><div><h1>Title</h1><p>{A}</p><p>{B}</p><p>Short.</p></div><div>Copyright 2020</div>", ["Title", A, B, "Short."]),
+    "misleading class": (f"<div class='menu-of-the-day'><h1>T</h1><p>{A}</p><p>{B}</p></div><div>foot</div>", ["T", A, B]),
+    "misleading id": (f"<div id='privacy-notice-explained'><p>{A}</p><p>{B}</p></div><div class='footer'>f</div>", [A, B]),
+    "class of the article": (f"<nav>n</nav><div class='article-related'><p>{A}</p><p>{C}</p></div>", [A, C]),
+    "references": (f"<article><p>{A}</p><ul><li><a href=x>Ref one</a><li><a href=y>Ref two</a></ul></article><nav><a href=q>n</a></nav>", [A, "Ref one", "Ref two"]),
+    "references in divs": (f"<div><a href=1>x</a><a href=2>y</a></div><div><p>{A}</p><ul><li><a href=x>Ref one</a><li><a href=y>Ref two</a></ul><p>{B}</p></div>", [A, "Ref one", "Ref two", B]),
+    "two articles": (f"<article><p>{A}</p></article><article><p>{D}</p></article><footer>f</footer>", [A, D]),
+    "comments": (f"<div><p>{C}</p><p>{B}</p></div><div id=comments><p>{D}</p><p>{D}</p></div>", [C, B]),
+    "form around all": (f"<form id=aspnet><div><a href=1>x</a><a href=2>y</a></div><div><p>{A}</p><p>{B}</p></div></form>", [A, B]),
+    "flat": (f"<ul><li><a href=1>x</a><li><a href=2>y</a></ul><h1>Head</h1><p>{A}</p><p>ok</p><p>{B}</p><div>Copyright 2020</div>", ["Head", A, "ok", B]),
+    "title outside": (f"<h1>The title</h1><div>by me</div><div><p>{A}</p><p>{B}</p></div><div>foot</div>", ["The title", A, B]),
+    "short article, long footer": (f"<article><h1>Hm</h1><p>one</p></article><footer>{A}</footer>", ["Hm", "one"]),
+    "a < b, quotes": (f"<p title='x > y'>1 < 2 {A}</p><p>{B}</p><a \"x", [f"1 < 2 {A}", B]),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_html(name):
+    page, want = PAGES[name]
+    assert htmltext.main_text(page).split("\n") == want
+
+
+def test_html_edges(spark):
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<script>x</script>") == ""
-    assert htmltext.main_text("<p>" * 3000 + "deep")  # no recursion
+    assert htmltext.main_text("<p>" * 3000 + "deep") == "deep"  # no recursion
+    rows = [(1, "u", PAGES["flat"][0], "x", 5), (2, None, None, None, None), (1, "u", PAGES["flat"][0], "x", 5), (None, "v", "", "y", 1)]
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    flat = "\n".join(PAGES["flat"][1])
+    assert sorted(map(str, got)) == sorted(map(str, [type(got[0])(page_id=i, url=u, text=t, n_chars=len(t)) for i, u, t in [(1, "u", flat), (2, None, ""), (1, "u", flat), (None, "v", "")]]))
+
+
+def test_density_decides():
+    """The same page, but for the words' places: what is dense is kept, with no names to go by."""
+    thin = "".join(f"<div><a href=x>{w}</a></div>" for w in A.split()[:20])
+    for first, second in ((f"<div><p>{A}</p><p>{B}</p></div>", f"<div>{thin}</div>"), (f"<div>{thin}</div>", f"<div><p>{A}</p><p>{B}</p></div>")):
+        assert htmltext.main_text(first + second) == f"{A}\n{B}"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ('<a "x ' * 80_000, '<a b="x ' * 60_000, "<!-- " * 90_000, "<" * 400_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 30_000, "<a " + "=" * 400_000, "<title>" * 70_000):
+        began = time.perf_counter()
+        htmltext.main_text(page)
+        assert time.perf_counter() - began < 10, page[:20]
 
 
 def test_mixing_meets_budgets(docs):

@@ -1,13 +1,16 @@
 """Main-text extraction by composite text density.
 
-The page becomes a tree. Elements that are never article text (scripts, navigation, forms and the
-like, by tag, role or the words of class and id) are cut out. For every node the characters and
-tags below it, and those inside links, give its composite text density: characters per tag, times
-a logarithm of the link-adjusted ratio (C/LC * T/LT) to the base ln(C*LC/nLC + LCb*C/Cb + e). A
-node's density sum adds its children's densities. The maximum-sum node is the anchor; the least
-density on its path to the body is the threshold; every subtree that reaches the threshold marks
-its own maximum-sum node as content. The text is that of the smallest subtree that holds all
-marks, or of the article element around it.
+The page becomes a tree; scripts, styles, controls and hidden parts are left out of it. Menus,
+sidebars, notices, adverts, forms and reader comments are known by tag, role or the words of class
+and id, but only as a hint: a part that holds nearly all the page's text is looked into instead of
+being cut out. For every node the characters and tags below it, and those inside links, give its
+composite text density: characters per tag, times a logarithm of the link-adjusted ratio
+(C/LC * T/LT) to the base ln(C*LC/nLC + LCb*C/Cb + e). A node's density sum adds its children's
+densities. The maximum-sum node is the anchor; the least density on its path to the body is the
+threshold. From the body down, every subtree that reaches the threshold marks its maximum-sum node
+as content, and headings that lead up to it; what is thinner is left out. Where marks lie in an
+article element the whole of it is content, else the smallest subtree below the body that holds
+them all, so that thin parts between them (references, short paragraphs) stay.
 """
 
 from __future__ import annotations
@@ -22,7 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>=]")
+_VALUE = re.compile(r"\s*([\"']?)")
+_BARE = re.compile(r"[^\s>]*")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -33,216 +40,324 @@ _BLOCK = frozenset(
 _CLOSES_P = _BLOCK - frozenset("body html caption td th tr tbody thead tfoot li dd dt".split())
 _SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 _SCOPE = frozenset("ul ol dl table div section article aside main body html td th blockquote nav form header footer".split())
-_DROP = frozenset("script style noscript template nav aside form button select option textarea input iframe object embed svg canvas audio video head title dialog menu noembed noframes".split())
+_LISTS = frozenset("ul ol dl table select".split())
+#: Never text of an article.
+_DROP = frozenset("script style noscript template button select option textarea input iframe object embed svg canvas audio video head title noembed noframes".split())
+#: Not the article's own text, unless nearly all text lies there.
+_HINT = frozenset("nav aside form dialog menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that tell what is not the article.
 _BAD = frozenset(
     "ad ads advert adverts advertisement adverts advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "comment comments disqus respond replies footer masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup "
+    "footer masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended widget toolbar pagination pager skip copyright disclaimer".split()
 )
+_COMMENTS = frozenset("comment comments disqus respond replies".split())
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: These hold no article, however much text is in them.
+_NEVER = frozenset("nav aside header footer dialog menu".split())
+#: Where the page has no article element, a hinted part is looked into if the plain text outside such parts is under this share of its own; for comments, the second.
+OVERRULE = (0.2, 0.02)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "hint", "drop", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items, self.drop = tag, parent, [], False
+        self.tag, self.parent, self.items, self.hint, self.drop = tag, parent, [], 0, False
+        self.depth = parent.depth + 1 if parent else 0
+        self.clear()
+
+    def clear(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
+    def children(self) -> list[Node]:
+        return [x for x in self.items if isinstance(x, Node) and not x.drop]
+
 
-def _unwanted(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in _DROP:
-        return True
-    if tag in ("header", "footer") and not (inside_article and tag == "header"):
-        return True
-    if not attrs:
-        return False
-    for name, a, b, c in _ATTR.findall(attrs):
+def _judge(node: Node, attrs: str, inside_article: bool) -> None:
+    """Sets ``drop`` for what is never text, ``hint`` to 1 for what may not be the article's, 2 for comments."""
+    tag = node.tag
+    node.drop = tag in _DROP
+    if tag in _HINT or tag in ("header", "footer") and not (inside_article and tag == "header"):
+        node.hint = 1
+    for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            if tag not in ("html", "body", "article", "main") and not _BAD.isdisjoint(_WORDS.findall(value)):
-                return True
+            if tag not in ("html", "body", "article", "main") or name == "class" and tag == "article":
+                words = _WORDS.findall(value)
+                if not _COMMENTS.isdisjoint(words):
+                    node.hint = 2
+                elif tag != "article" and not _BAD.isdisjoint(words):
+                    node.hint = max(node.hint, 1)
         elif name == "role":
             if value in _ROLES:
-                return True
+                node.hint = max(node.hint, 1)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+            node.drop = True
+
+
+class _Tree:
+    """The open elements; by tag, their depths, so that each question takes one step."""
+
+    def __init__(self) -> None:
+        self.body = self.node = Node("body", None)
+        self.open: dict[str, list[int]] = {}
+        self.scopes, self.lists = [0], [0]
+
+    def push(self, tag: str) -> Node:
+        child = Node(tag, self.node)
+        self.node.items.append(child)
+        self.node = child
+        self.open.setdefault(tag, []).append(child.depth)
+        for known, depths in ((_SCOPE, self.scopes), (_LISTS, self.lists)):
+            if tag in known:
+                depths.append(child.depth)
+        return child
+
+    def pop(self) -> None:
+        tag, depth = self.node.tag, self.node.depth
+        self.open[tag].pop()
+        for depths in (self.scopes, self.lists):
+            if depths[-1] == depth:
+                depths.pop()
+        self.node = self.node.parent
+
+    def close(self, tag: str) -> None:
+        while self.node.tag != tag:
+            self.pop()
+        self.pop()
+
+    def inside(self, tags: tuple[str, ...], above: int = 0) -> str:
+        """Which of the tags is open, the deepest, below the depth ``above``."""
+        depth, tag = max((self.open[t][-1], t) if self.open.get(t) else (0, "") for t in tags)
+        return tag if depth > above else ""
+
+
+def _tag_end(page: str, at: int, lost: set[str]) -> int:
+    """Where the tag ends that is open at ``at``: after its >, those in quoted values not counting."""
+    while True:
+        m = _STOP.search(page, at)
+        if not m:
+            return -1
+        if m[0] == ">":
+            return m.end()
+        quote = _VALUE.match(page, m.end())
+        at = quote.end()
+        end = page.find(quote[1], at) if quote[1] and quote[1] not in lost else -1
+        if quote[1] and end < 0:
+            lost.add(quote[1])  # none further on, so it is not looked for again
+        at = end + 1 if end >= 0 else _BARE.match(page, at).end()
 
 
 def parse(page: str) -> Node:
-    """The page as a tree under a body; text not wanted is left out."""
-    body = Node("body", None)
-    node, at, articles = body, 0, 0
-    dropped: list[str] = []  # open tags inside an element that is left out
-
-    def close(tag: str) -> None:
-        nonlocal node, articles
-        while node is not body and node.tag != tag:
-            articles -= node.tag in ("article", "main")
-            node = node.parent
-        if node is not body:
-            articles -= node.tag in ("article", "main")
-            node = node.parent
-
-    def is_open(tags, stop=frozenset()) -> str:
-        x = node
-        while x is not body:
-            if x.tag in tags:
-                return x.tag
-            if x.tag in stop:
-                return ""
-            x = x.parent
-        return ""
-
+    """The page as a tree under a body, in one pass."""
+    tree, at, lost = _Tree(), 0, set()
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not dropped:
-            node.items.append(_html.unescape(text))
-        if not m:
+        m = _OPEN.search(page, at)
+        lt = m.start() if m else len(page)
+        if lt > at:
+            tree.node.items.append(_html.unescape(page[at:lt]))
+        if lt == len(page):
             break
-        at = m.end()
-        if m[1] is not None and not dropped:
-            node.items.append(m[1])
-        if not m[3]:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4) if "-->" not in lost else -1
+            if end < 0:
+                lost.add("-->")
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            end = len(page) if end < 0 else end
+            tree.node.items.append(page[lt + 9 : end])
+            at = end + 3
             continue
-        tag, attrs = m[3].lower(), m[4]
-        if dropped:
-            if m[2]:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
-            elif tag in _RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif tag not in _VOID and not attrs.endswith("/"):
-                if tag in _SIBLING and dropped[-1] in _SIBLING[tag] and len(dropped) > 1 or tag == dropped[-1] == "p":
-                    dropped.pop()
-                dropped.append(tag)
+        closing = page.startswith("/", lt + 1)
+        name = _NAME.match(page, lt + 1 + closing)
+        if not name:
+            end = page.find(">", lt)
+            at = end + 1 if end >= 0 else len(page)
             continue
-        if m[2]:
-            if tag == "p" and not is_open(("p",), _SCOPE):
-                node.items.append(Node("p", node))
-            elif tag == "body" or tag == "html":
-                continue
+        at = _tag_end(page, name.end(), lost)
+        if at < 0:
+            break
+        tag = name[0].lower()
+        if closing:
+            if tag == "p" and not tree.inside(("p",), tree.scopes[-1]):
+                tree.node.items.append(Node("p", tree.node))
             elif tag == "br":
-                node.items.append(" ")
-            elif is_open((tag,), frozenset() if tag in _SCOPE else _SCOPE):
-                close(tag)
+                tree.node.items.append(" ")
+            elif tag not in ("body", "html") and tree.inside((tag,), 0 if tag in _SCOPE else tree.scopes[-1]):
+                tree.close(tag)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in _CLOSES_P and is_open(("p",), _SCOPE):
-            close("p")
+        attrs = page[name.end() : at - 1].rstrip()
+        if tag in _CLOSES_P and tree.inside(("p",), tree.scopes[-1]):
+            tree.close("p")
         if tag in _SIBLING:
-            open_tag = is_open(_SIBLING[tag], frozenset(("ul", "ol", "dl", "table", "select")))
-            while open_tag:
-                close(open_tag)
-                open_tag = is_open(_SIBLING[tag], frozenset(("ul", "ol", "dl", "table", "select")))
+            while open_tag := tree.inside(_SIBLING[tag], tree.lists[-1]):
+                tree.close(open_tag)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            continue
-        if tag in _VOID:
-            node.items.append(Node("hr", node) if tag == "hr" else " " if tag == "br" else "")
-            continue
-        if attrs.endswith("/") and tag not in _BLOCK:
-            continue
-        if _unwanted(tag, attrs, articles > 0):
-            dropped.append(tag)
-            if tag in _BLOCK:
-                node.items.append(Node("hr", node))
-            continue
-        child = Node(tag, node)
-        node.items.append(child)
-        node = child
-        articles += tag in ("article", "main")
-    return body
+        elif tag in _VOID:
+            tree.node.items.append(Node("hr", tree.node) if tag == "hr" else " " if tag == "br" else "")
+        elif not attrs.endswith("/") or tag in _BLOCK:
+            _judge(tree.push(tag), attrs, bool(tree.inside(("article", "main"))))
+    return tree.body
 
 
-def _walk(body: Node) -> list[Node]:
-    """All nodes, children before parents."""
-    out, todo = [], [body]
+def _walk(root: Node) -> list[Node]:
+    """All nodes that aren't dropped, children before parents."""
+    out, todo = [], [root]
     while todo:
         n = todo.pop()
         out.append(n)
-        todo += [x for x in n.items if isinstance(x, Node)]
+        todo += n.children()
     return out[::-1]
 
 
-def measure(body: Node) -> list[Node]:
-    nodes = _walk(body)
+def _count(nodes: list[Node]) -> None:
     for n in nodes:
+        n.clear()
         for x in n.items:
-            if isinstance(x, Node):
+            if isinstance(x, str):
+                n.chars += len(" ".join(x.split()))
+            elif not x.drop:
                 n.chars += x.chars
                 n.tags += x.tags + 1
                 n.link_chars += x.link_chars
                 n.link_tags += x.link_tags + (x.tag == "a")
-            else:
-                n.chars += len(" ".join(x.split()))
         if n.tag == "a":
             n.link_chars = n.chars
+
+
+def _hinted(root: Node) -> list[Node]:
+    """The outermost hinted nodes below ``root``."""
+    out, todo = [], root.children()
+    while todo:
+        n = todo.pop()
+        if n.hint:
+            out.append(n)
+        else:
+            todo += n.children()
+    return out
+
+
+def prune(body: Node) -> None:
+    """Drops what is hinted at, but for parts that hold nearly all the text: those are looked into."""
+    _count(_walk(body))
+    plain = lambda n: n.chars - n.link_chars
+    parts = _hinted(body)
+    outside = plain(body) - sum(map(plain, parts))
+    parts.sort(key=plain)
+    article, todo = False, body.children()
+    while todo and not article:
+        n = todo.pop()
+        if not n.hint:
+            article = n.tag in ("article", "main") and plain(n) > 0
+            todo += n.children()
+    while parts and not article and parts[-1].tag not in _NEVER and outside < OVERRULE[parts[-1].hint - 1] * plain(parts[-1]):
+        n = parts.pop()
+        inner = _hinted(n)
+        outside += plain(n) - sum(map(plain, inner))
+        parts = sorted(parts + inner, key=plain)
+    for n in parts:
+        n.drop = True
+
+
+def measure(body: Node) -> list[Node]:
+    nodes = _walk(body)
+    _count(nodes)
     whole_c, whole_lc = max(1, body.chars), body.link_chars
     for n in nodes:
         c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
         if c:
             plain = max(1, c - n.link_chars)
             base = math.log(c / plain * lc + whole_lc / whole_c * c + math.e)
-            n.density = c / t * max(0.0, math.log(max(1e-9, c / lc * (t / lt)))) / max(1e-9, math.log(base)) if base > 1 + 1e-9 else c / t * max(0.0, math.log(max(1e-9, c / lc * (t / lt))))
-        n.total = sum(x.density for x in n.items if isinstance(x, Node)) or n.density * 1e-3
+            n.density = c / t * max(0.0, math.log(c / lc * (t / lt))) / max(1e-9, math.log(base)) if base > 1 + 1e-9 else c / t * max(0.0, math.log(c / lc * (t / lt)))
+        n.total = sum(x.density for x in n.children()) or n.density * 1e-3
     return nodes
 
 
-def content(body: Node) -> Node:
+def _path(n: Node) -> list[Node]:
+    out = []
+    while n is not None:
+        out.append(n)
+        n = n.parent
+    return out[::-1]
+
+
+def content(body: Node) -> list[Node]:
+    """The roots of the main text, in page order."""
     nodes = measure(body)
     best = max(reversed(nodes), key=lambda n: n.total)
-    threshold, x = best.density, best
-    while x is not None:
-        threshold = min(threshold, x.density)
-        x = x.parent
-    marks, todo = [], [body]
     top = {}
-    for n in nodes:  # the maximum-sum node below each node
-        top[id(n)] = max([n, *(top[id(x)] for x in n.items if isinstance(x, Node))], key=lambda k: k.total)
+    for n in nodes:  # the maximum-sum node in each subtree
+        top[id(n)] = max([n, *(top[id(x)] for x in n.children())], key=lambda k: k.total)
+    path = _path(best)
+    if best is body:
+        return _thick(body)
+    threshold = min(n.density for n in path[1:])
+    marks, todo = [], [body]
     while todo:
         n = todo.pop()
-        if n.density >= threshold and n is not body:
+        if n is not body and n.density >= threshold and n.density:
             marks.append(top[id(n)])
         else:
-            todo += [x for x in n.items if isinstance(x, Node)]
-    root = best
-    for m in marks or [best]:
-        a, b = _path(root), _path(m)
-        root = [p for p, q in zip(a, b, strict=False) if p is q][-1]
-    whole = root
-    while whole is not None:
-        if whole.tag in ("article", "main"):
-            return whole
-        whole = whole.parent
-    inside = [n for n in nodes if n.tag in ("article", "main") and 2 * n.chars > root.chars]
-    return inside[-1] if inside else root
+            todo += reversed(n.children())
+    inside = [next((x for x in _path(m) if x.tag in ("article", "main")), None) for m in marks]
+    if any(inside):
+        roots = list({id(x): x for x in inside if x is not None}.values())
+        return _headings(body, nodes, roots)
+    root = _path(marks[0])
+    for m in marks:
+        if m.tag not in ("h1", "h2"):
+            other = _path(m)
+            root = [p for p, q in zip(root if root[-1].tag not in ("h1", "h2") else other, other, strict=False) if p is q]
+    if len(root) > 1:
+        return _headings(body, nodes, [root[-1]])
+    return _headings(body, nodes, marks)
+
+
+def _headings(body: Node, nodes: list[Node], roots: list[Node]) -> list[Node]:
+    """The roots, with the title that stands before the first of them, outside it, if it is the page's only h1."""
+    titles = [n for n in nodes if n.tag == "h1" and n.chars]
+    if len(titles) == 1 and not any(r in _path(titles[0]) or titles[0] in _path(r) for r in roots):
+        order = {id(n): k for k, n in enumerate(_order(body))}
+        if order[id(titles[0])] < order[id(roots[0])]:
+            return [titles[0], *roots]
+    return roots
+
+
+def _order(body: Node) -> list[Node]:
+    out, todo = [], [body]
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        todo += reversed(n.children())
+    return out
 
 
-def _path(n: Node) -> list[Node]:
-    out = []
-    while n is not None:
-        out.append(n)
-        n = n.parent
-    return out[::-1]
+def _thick(body: Node) -> list[Node]:
+    """Where the body itself has the maximum sum, its parts but for thin boxes and lists of links alone."""
+    out = Node("body", None)
+    for x in body.items:
+        box = isinstance(x, Node) and x.tag in ("div", "section", "ul", "ol", "dl", "table", "center")
+        if not (box and (x.drop or x.density < body.density and (x.tag in ("div", "section", "center") or _is_menu(x)))):
+            out.items.append(x)
+    return [out]
 
 
 def _is_menu(n: Node) -> bool:
-    return n.tag in ("ul", "ol", "dl", "div", "table", "section") and n.link_tags >= 2 and n.link_chars > 0.8 * n.chars
+    return n.link_tags >= 2 and n.link_chars > 0.8 * n.chars
 
 
 def blocks(root: Node) -> list[str]:
-    """The text by blocks, in page order; lists that are links alone are menus and left out."""
+    """The text by blocks, in page order."""
     out: list[str] = []
     part: list[str] = []
 
@@ -259,11 +374,13 @@ def blocks(root: Node) -> list[str]:
             flush()
         elif isinstance(x, str):
             part.append(x)
-        elif not (_is_menu(x) and x is not root):
+        else:
             if x.tag in _BLOCK:
                 flush()
-                todo.append(None)
-            todo += reversed(x.items)
+                if not x.drop:
+                    todo.append(None)
+            if not x.drop:
+                todo += reversed(x.items)
     flush()
     return out
 
@@ -271,7 +388,9 @@ def blocks(root: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(content(parse(page))))
+    body = parse(page)
+    prune(body)
+    return "\n".join(line for root in content(body) for line in blocks(root))
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
