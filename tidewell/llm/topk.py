@@ -99,12 +99,12 @@ def _index_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         for b in range(bits):
             packed = np.packbits((u >> b & 1).astype(np.uint8), bitorder="little")
             slices[d, b, : len(packed)] = packed
-    return pd.DataFrame([{"b": key[0], "ids": ids.tobytes(), "dims": dims, "bits": bits, "low": low, "slices": slices.tobytes()}])
+    return pd.DataFrame([{"b": key[0], "qb": -1, "ids": ids.tobytes(), "dims": dims, "bits": bits, "low": low, "body": slices.tobytes()}])
 
 
 def _query_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     ids, x = _matrix(pdf)
-    return pd.DataFrame([{"qb": key[0], "qids": ids.tobytes(), "qdims": x.shape[1], "q": x.tobytes()}])
+    return pd.DataFrame([{"qb": key[0], "ids": ids.tobytes(), "dims": x.shape[1], "bits": 0, "low": 0, "body": x.tobytes()}])
 
 
 def _add(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -136,24 +136,29 @@ def _add(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
-def _best(block: dict, queries: np.ndarray, qids: np.ndarray, k: int, coarse_bits: int) -> tuple[list, list, list]:
-    ids = np.frombuffer(block["ids"], np.int64)
-    dims, bits, low, n = block["dims"], block["bits"], block["low"], len(ids)
-    words = -(-n // 64)
-    slices = np.frombuffer(block["slices"], np.uint64).reshape(dims, bits, words)
-    rows8 = np.unpackbits(slices.view(np.uint8).reshape(dims, bits, words * 8), axis=2, bitorder="little")[:, :, :n]
-    x = np.full((n, dims), low, np.int64)
-    for b in range(bits):
-        x += rows8[:, b, :].T.astype(np.int64) << b
-    del rows8
-    shift = max(0, bits - coarse_bits)
-    plain = np.ascontiguousarray(slices[:, shift:, :])
-    planes = np.stack((plain, ~plain))
-    top = bits - shift
-    exist = np.zeros(words * 8, np.uint8)
-    packed = np.packbits(np.ones(n, np.uint8), bitorder="little")
-    exist[: len(packed)] = packed
-    exist = exist.view(np.uint64)
+class _Block:
+    """An index block's bitmaps, the coarse ones with their complements, and its rows."""
+
+    def __init__(self, block: dict, coarse_bits: int):
+        self.ids = np.frombuffer(block["ids"], np.int64)
+        self.dims, bits, n = block["dims"], block["bits"], len(self.ids)
+        words = -(-n // 64)
+        slices = np.frombuffer(block["body"], np.uint64).reshape(self.dims, bits, words)
+        self.x = np.full((n, self.dims), block["low"], np.int64)
+        for b in range(bits):
+            self.x += np.unpackbits(slices[:, b].copy().view(np.uint8).reshape(self.dims, words * 8), axis=1, bitorder="little")[:, :n].T.astype(np.int64) << b
+        self.shift = max(0, bits - coarse_bits)
+        plain = np.ascontiguousarray(slices[:, self.shift :, :])
+        self.planes, self.top = np.stack((plain, ~plain)), bits - self.shift
+        exist = np.zeros(words * 8, np.uint8)
+        packed = np.packbits(np.ones(n, np.uint8), bitorder="little")
+        exist[: len(packed)] = packed
+        self.exist = exist.view(np.uint64)
+
+
+def _best(block: _Block, queries: np.ndarray, qids: np.ndarray, k: int) -> tuple[list, list, list]:
+    ids, x, dims, planes, shift, top, exist = block.ids, block.x, block.dims, block.planes, block.shift, block.top, block.exist
+    n = len(ids)
     q = np.zeros((len(qids), dims), np.int64)
     common = min(dims, queries.shape[1])
     q[:, :common] = queries[:, :common]
@@ -245,24 +250,26 @@ def top_k(
         index, asked = few, q_few
     index, asked = quantised(index, scale), quantised(asked, scale)
     dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
-    built = (
-        index.withColumn("b", dealt(blocks, 11)).groupBy("b").applyInPandas(_index_block, "b int, ids binary, dims int, bits int, low long, slices binary")
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    )
-    asked = (
-        asked.withColumn("qb", dealt(q_blocks, 12)).groupBy("qb").applyInPandas(_query_block, "qb int, qids binary, qdims int, q binary")
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
+    # one copy of the index, block k in partition k; the queries, which are few, come to every block, which sees them one block at a time
+    parts = "qb int, ids binary, dims int, bits int, low long, body binary"
+    built = index.withColumn("b", dealt(blocks, 11)).groupBy("b").applyInPandas(_index_block, f"b int, {parts}")
+    asked = asked.withColumn("qb", dealt(q_blocks, 12)).groupBy("qb").applyInPandas(_query_block, parts).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(batches):
+        at, block = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                qids = np.frombuffer(r["qids"], np.int64)
-                found = _best(r, np.frombuffer(r["q"], np.int64).reshape(len(qids), r["qdims"]), qids, k, coarse_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=schema)
-
-    near = built.join(asked, ["b", "qb"]).mapInArrow(search, "query_id long, vec_id long, score long")
+            for k_row in range(len(batch)):
+                r = batch.slice(k_row, 1).to_pylist()[0]
+                if r["qb"] < 0:
+                    at, block = r["b"], _Block(r, coarse_bits)
+                elif r["b"] == at:
+                    qids = np.frombuffer(r["ids"], np.int64)
+                    found = _best(block, np.frombuffer(r["body"], np.int64).reshape(len(qids), r["dims"]), qids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=schema)
+
+    met = built.unionByName(asked).repartitionById(blocks, F.col("b")).sortWithinPartitions("b", "qb")
+    near = met.mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     if apart is not None:
         near = near.unionByName(apart)
