@@ -18,7 +18,7 @@ def repeated_line_spans(docs: DataFrame, text_col: str = "text", id_col: str = "
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.split(text_col, "\n", -1).alias("l")).where(F.size("l") >= window)
     units = (
         lines.select("id", "h", F.expr(
-            f"filter(transform(if(size(l) < {window}, array(), sequence(0, size(l) - {window})), i -> if(trim({blank}) = '', null, "
+            f"filter(transform(if(size(l) < {window}, array(), sequence(0, size(l) - {window})), i -> if({blank} rlike '^[ \\\\t\\\\x0B\\\\f\\\\r]*$', null, "
             f"struct(i as i, xxhash64({hashed}) as a, xxhash64('#', {mirrored}) as b))), x -> x is not null)"
         ).alias("w")).select("id", "h", F.explode_outer("w").alias("w")).where("w is not null").select("id", "h", "w.i", "w.a", "w.b")
     )  # fmt: skip  # an outer explode, as for an inner one a filter with the whole expression is inferred and put before the split
