@@ -9,6 +9,8 @@ token-prefix of one more, in that epoch's seeded order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +63,9 @@ def mix(
     """``docs`` mixed to the weights: each row once for each epoch it is chosen in, as ``record``
     (a struct of all columns) with domain, lang, source, n_tokens and ``epoch`` (from 1).
 
-    ``weights`` has a table, or "supply", by level; 0 takes nothing. The budget is
-    ``budget_share`` of all tokens (words). Null lang or source counts as "". A null or empty text
+    ``weights`` has a table, or "supply", by level; a node that weighs 0 takes nothing, and what it
+    would have taken goes to its siblings, or up where none can take it. The budget is
+    ``budget_share`` of all tokens (words), or all that the leaves can give in their epochs. Null lang or source counts as "". A null or empty text
     has no tokens and goes where its place in the epoch puts it; a leaf without tokens gives
     nothing. Rows of one id in a leaf stand together in the order. A prefix ends before the row
     that would pass the budget. An empty table gives no rows.
@@ -75,18 +78,23 @@ def mix(
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
     )
-    supply = rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("supply")).checkpoint()
-    total = int(supply.agg(F.sum("supply")).first()[0] or 0)
-    plan = supply.withColumn("alloc", F.lit(None).cast("long"))
+    supply = rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("rows")).checkpoint()
+    total, most = supply.agg(F.sum("supply"), F.max("rows")).first()
+    total = int(total or 0)
+    # from the leaves up, what each node can take: nothing where it or all below it weighs 0
+    tree = [supply.select(*leaf, "supply", (F.col("supply") * max_epochs).alias("cap"))]
+    for depth in range(len(leaf), 0, -1):
+        here = tree[0].withColumn("weight", _weight(leaf[depth - 1], weights))
+        here = here.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0))
+        tree[0] = here
+        tree.insert(0, here.groupBy(*leaf[: depth - 1]).agg(F.sum("supply").alias("supply"), F.sum("cap").alias("cap")))
+    can_take = int(tree[0].first()["cap"] or 0)
+    # from the root down, what each gets; no budget is above its node's cap, so none is lost on the way
     above = None
-    for depth in range(len(leaf)):
+    for depth, nodes in enumerate(tree[1:]):
         path = leaf[: depth + 1]
-        nodes = supply.groupBy(*path).agg(F.sum("supply").alias("supply")).withColumn("cap", F.col("supply") * max_epochs)
-        if above is None:
-            nodes = nodes.withColumn("budget", F.least(F.lit(int(total * budget_share)).cast("long"), F.lit(total * max_epochs).cast("long")))
-        else:
-            nodes = nodes.join(above, path[:-1])
-        plan = water_fill(nodes.withColumn("weight", _weight(leaf[depth], weights)), path[:-1], leaf[depth])
+        nodes = nodes.withColumn("budget", F.lit(min(int(total * budget_share), can_take)).cast("long")) if above is None else nodes.join(above, path[:-1])
+        plan = water_fill(nodes, path[:-1], leaf[depth])
         above = plan.select(*path, F.col("alloc").alias("budget"))
     plan = plan.select(*leaf, F.expr("coalesce(alloc div nullif(supply, 0), 0)").alias("whole"), F.expr("coalesce(alloc % nullif(supply, 0), 0)").alias("rest")).checkpoint()
     small = plan.count() <= BROADCAST_LEAVES
@@ -96,9 +104,11 @@ def mix(
 
     def keyed(df: DataFrame) -> DataFrame:
         key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), "id"))
-        return df.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
+        return df.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
 
-    # the bucket of 4096 in which the prefix ends, by sums over buckets; then the row, in that bucket alone
+    # the bucket in which the prefix ends, by sums over buckets; then the row, in that bucket alone. A leaf has as many
+    # buckets as a bucket has rows, so that the largest leaf, whatever its share, gives a task the root of its rows
+    digits = max(2, math.ceil(math.log(max(1, most or 0), 16) / 2))
     slim = keyed(with_leaf(rows.select(*leaf, "id", "n_tokens"), plan, leaf))
     run = Window.partitionBy(*leaf).orderBy("bucket")
     ends = (

@@ -35,8 +35,9 @@ from .mixing import mix
 from .sharding import written_shards
 from .unitdup import repeated_units
 
-#: Production parameters of op4: weights by level (sources equal), of 60 % of all tokens, in 3 epochs at most.
-MIX = {"domain": {"d0": 40, "d1": 30, "d2": 20, "d3": 10}, "lang": {"en": 50, "fr": 20, "de": 20, "es": 10}, "source": {}}
+#: Production parameters of op4: weights by level, of 60 % of all tokens, in 3 epochs at most. One source is shut out, so its
+#: share goes to the others of its language and domain.
+MIX = {"domain": {"d0": 40, "d1": 30, "d2": 20, "d3": 10}, "lang": {"en": 50, "fr": 20, "de": 20, "es": 10}, "source": {"src3": 0}}
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,21 +77,34 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = r"'[^\x20\x09-\x0D]+'"
 
 
-def _fill_sql(name: str, above: str, path: list[str], weights: dict, epochs: int) -> str:
-    level, parent = path[-1], path[:-1]
+def _weight_sql(level: str, weights: dict) -> str:
     given = weights[level]
-    weight = f"(CASE {' '.join(f'''WHEN {level} = '{k}' THEN {v}''' for k, v in given.items())} ELSE 1 END)" if given else "1"
-    by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    return f"(CASE {' '.join(f"""WHEN {level} = '{k}' THEN {v}""" for k, v in given.items())} ELSE 1 END)" if given else "1"
+
+
+def _caps_sql(weights: dict, epochs: int) -> str:
+    """What each node can take at most: its leaves' epochs, nothing under a weight of 0; from the leaves up."""
+    leaf = ["domain", "lang", "source"]
+    out = [f"cap3 AS (SELECT {', '.join(leaf)}, CASE WHEN {_weight_sql('source', weights)} > 0 THEN supply * {epochs} ELSE 0 END::HUGEINT AS cap FROM leaf)"]
+    for k in (2, 1):
+        cols = ", ".join(leaf[:k])
+        out.append(f"cap{k} AS (SELECT {cols}, CASE WHEN {_weight_sql(leaf[k - 1], weights)} > 0 THEN sum(cap) ELSE 0 END::HUGEINT AS cap FROM cap{k + 1} GROUP BY {cols})")
+    return ",\n".join(out)
+
+
+def _fill_sql(name: str, above: str, path: list[str], weights: dict) -> str:
+    """A node is full if, with all siblings raised to its own level of cap by weight, no more than the budget is taken.
+
+    The others share what the full ones leave, by weight.
+    """
+    on = " AND ".join([f"x.{c} = y.{c}" for c in path[:-1]]) or "TRUE"
     cols = ", ".join(path)
-    source = f"SELECT {cols}, sum(supply) AS supply, sum(supply) * {epochs} AS cap FROM leaf GROUP BY ALL"
-    joined = f"SELECT n.*, p.alloc AS budget FROM ({source}) n JOIN {above} p USING ({', '.join(parent)})" if parent else f"SELECT n.*, p.budget FROM ({source}) n, {above} p"
+    budget = f"JOIN {above} p USING ({', '.join(path[:-1])})" if path[:-1] else f", {above} p"
     return f"""
-{name}_0 AS (SELECT *, {weight}::HUGEINT AS weight FROM ({joined})),
-{name}_1 AS (SELECT *, budget - coalesce(sum(cap) OVER ({by} ORDER BY cap::DOUBLE / weight::DOUBLE, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "left",
-  sum(weight) OVER ({by} ORDER BY cap::DOUBLE / weight::DOUBLE, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w FROM {name}_0),
-{name}_2 AS (SELECT *, cap * w <= "left" * weight AS "full" FROM {name}_1),
-{name}_3 AS (SELECT *, budget - coalesce(sum(CASE WHEN "full" THEN cap END) OVER ({by}), 0) AS rest, sum(CASE WHEN NOT "full" THEN weight END) OVER ({by}) AS rest_w FROM {name}_2),
-{name} AS (SELECT {cols}, supply, CASE WHEN "full" THEN cap ELSE (rest * weight) // rest_w END AS alloc FROM {name}_3)"""
+{name}_0 AS (SELECT n.*, p.alloc AS budget, {_weight_sql(path[-1], weights)}::HUGEINT AS weight FROM cap{len(path)} n {budget}),
+{name}_1 AS (SELECT x.*, (SELECT sum(least(y.cap * x.weight, x.cap * y.weight)) FROM {name}_0 y WHERE {on} AND y.weight > 0) <= x.budget * x.weight AS "full" FROM {name}_0 x WHERE x.weight > 0),
+{name}_2 AS (SELECT x.*, budget - (SELECT coalesce(sum(cap), 0) FROM {name}_1 y WHERE {on} AND y."full") AS rest, (SELECT sum(weight) FROM {name}_1 y WHERE {on} AND NOT y."full") AS rest_w FROM {name}_1 x),
+{name} AS (SELECT {cols}, CASE WHEN "full" THEN cap ELSE (rest * weight) // rest_w END AS alloc FROM {name}_2)"""
 
 
 OP4_SQL = f"""
@@ -99,11 +113,12 @@ WITH d AS (
     CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) = '' THEN 'other' ELSE 'd' || (TRY_CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT) % 4) END AS domain
   FROM documents
 ), leaf AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS supply FROM d GROUP BY ALL),
-root AS (SELECT floor(sum(supply)::DOUBLE * 0.6)::HUGEINT AS budget FROM leaf),
-{_fill_sql("a", "root", ["domain"], MIX, 3)},
-{_fill_sql("b", "a", ["domain", "lang"], MIX, 3)},
-{_fill_sql("c", "b", ["domain", "lang", "source"], MIX, 3)},
-plan AS (SELECT domain, lang, source, coalesce(alloc // nullif(supply, 0), 0) AS whole, coalesce(alloc % nullif(supply, 0), 0) AS rest FROM c),
+{_caps_sql(MIX, 3)},
+root AS (SELECT least(floor((SELECT sum(supply) FROM leaf)::DOUBLE * 0.6)::HUGEINT, (SELECT sum(cap) FROM cap1)) AS alloc),
+{_fill_sql("a", "root", ["domain"], MIX)},
+{_fill_sql("b", "a", ["domain", "lang"], MIX)},
+{_fill_sql("c", "b", ["domain", "lang", "source"], MIX)},
+plan AS (SELECT domain, lang, source, coalesce(alloc // nullif(supply, 0), 0) AS whole, coalesce(alloc % nullif(supply, 0), 0) AS rest FROM c JOIN leaf USING (domain, lang, source)),
 k AS (SELECT d.*, p.whole, p.rest, md5('17:' || (p.whole + 1) || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM d JOIN plan p USING (domain, lang, source)),
 s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k),
 e AS (SELECT *, (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM s)
@@ -115,7 +130,7 @@ WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)
 w AS (
   SELECT doc_id, i, l[i + 1] || chr(10) || l[i + 2] || chr(10) || l[i + 3] AS win
   FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS i FROM d WHERE len(l) >= 3)
-  WHERE trim(l[i + 1] || l[i + 2] || l[i + 3], ' ') <> ''
+  WHERE NOT regexp_full_match(l[i + 1] || l[i + 2] || l[i + 3], '[ \t\x0B\f\r]*')
 ), r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
 c AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM r),
 t AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
