@@ -348,3 +348,59 @@ def test_passages_are_caught_at_any_offset(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, unit string")
     cut = {x.doc_id: x for x in remove_units(df, repeated_units(df, unit="passage")).collect()}
     assert cut[902].text.split() == ["|"] * 44 and cut[903].text == text[903] and cut[900].text is None
+
+
+def test_line_windows_of_white_space_do_not_count(spark):
+    data = [(1, "a\n\t\n\r\n \x0b\x0c\nb", 0), (2, "c\n\t\n\r\n \x0b\x0c\nd", 0), (3, "x\ny\nz\t\n", 0), (4, "x\ny\nz\t\nw", 0)]
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup(spark.createDataFrame(data, "doc_id long, text string, n_lines int")).collect()}
+    assert got == {1: (data[0][1], 0), 2: (data[1][1], 0), 3: (data[2][1], 0), 4: ("w", 3)}
+
+
+def test_mixing_passes_on_what_weighs_nothing(spark):
+    data = [(i, "w " * 10, "en", "src0") for i in range(200)] + [(1000 + i, "w " * 10, "fr", "src1") for i in range(200)] + [(None, None, None, None), (5000, "", "en", "src0")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    tokens = lambda w, **kw: sum(r.n_tokens for r in mix(df, w, **kw).collect())
+    # fr is all that d1 has, and weighs nothing: its share goes to d0, which has 2000 tokens an epoch
+    assert tokens({"domain": {"d0": 1, "d1": 1}, "lang": {"fr": 0}, "source": {}}, budget_share=0.25, max_epochs=2) == 1000
+    assert tokens({"domain": {"d0": 1, "d1": 1}, "lang": {"fr": 0}, "source": {}}, budget_share=5.0, max_epochs=2) == 4000
+    assert tokens({"domain": {"d0": 1, "d1": 1}, "lang": {}, "source": {"src0": 0}}, budget_share=1.0, max_epochs=1) == 2000
+    assert tokens({"domain": {"d0": 0, "d1": 0, "other": 0}, "lang": {}, "source": {}}) == 0
+    assert tokens({"domain": {"d0": 3, "d1": 1}, "lang": {}, "source": {}}, budget_share=0.5, max_epochs=1) == 2000  # 1500 and 500
+
+
+def test_sharding_places_alike_under_any_partitions(spark, docs):
+    def placed(n, df):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        return Counter((r.record.doc_id, r.text_crc32, r.shard, r.slot) for r in shuffled(df, shards=8, seed=3, bucket_bytes=2048).collect())
+
+    try:
+        first = placed("4", docs)
+        assert first == placed("7", docs.repartition(11)) == placed("4", docs.coalesce(1))
+        assert first != Counter((r.record.doc_id, r.text_crc32, r.shard, r.slot) for r in shuffled(docs, shards=8, seed=4, bucket_bytes=2048).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_quality_cascade_keeps_what_no_rule_rejects(spark, docs, rows):
+    def verdict(t):
+        w = WORD.findall(t)
+        win = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {k + d for k in range(len(w) - 7) if win[tuple(w[k : k + 8])] > 1 for d in range(8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        chars = sum(map(len, w))
+        base = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        more = [
+            10 * sum(c in "#*$%&|<>" for c in t) > len(w), sum("A" <= c <= "Z" for c in t) > sum("a" <= c <= "z" for c in t), 5 * t.count("!") > len(w),
+            2 * (len(lines) - len(set(lines))) > len(lines), 5 * sum(a == b for a, b in zip(w, w[1:])) > len(w), chars < 2 * len(w) or chars > 40 * len(w),
+        ]
+        return base, not base and not any(more)
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 9)))
+    extra = [" ".join(r.choice([word(), word().upper(), "!", "#", "dup", "x" * 60]) if r.random() < p else word() for _ in range(r.randint(15, 80))) for p in (0.02, 0.1, 0.3, 0.6) for _ in range(40)]
+    extra += ["\n".join([word() + " " + word()] * 3 + [word() + str(k) for k in range(k)]) + " " + " ".join(word() for _ in range(30)) for k in range(12)] + ["Å" * 50 + " ab" * 30, "very " * 3 + " ".join(word() for _ in range(40))]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
+    text = {10_000 + k: t for k, t in enumerate(extra)} | {i: t or "" for i, t, *_ in rows}
+    report = quality_report(df).collect()
+    assert all((x.base_failed, x.kept) == verdict(text[x.doc_id]) for x in report) and {x.kept for x in report if not x.base_failed} == {True, False}
+    assert Counter(x.doc_id for x in quality_filter(df).collect()) == Counter(x.doc_id for x in report if x.kept)
