@@ -21,23 +21,24 @@ def asof_price(spark, sf_dir):
 
 
 @query("asof_daily_rate", """
-WITH r AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events WHERE event_type = 'view' AND event_id % 5 = 0 GROUP BY 1)
+WITH r AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT e.event_id, r.total FROM events e ASOF JOIN r ON e.ts >= r.day""")
 def asof_daily_rate(spark, sf_dir):
-    """As-of without a group key against a small daily series."""
+    """As-of without a group key against a daily series."""
     (events,) = tables(spark, sf_dir, "events")
-    r = events.where("event_type = 'view' and event_id % 5 = 0").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.sum(fn.cents("value")).alias("total"))
+    r = events.where("event_type = 'view'").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.sum(fn.cents("value")).alias("total"))
     return op.as_of_join(events, r, "ts", "day", [], ["total"], how="inner").select("event_id", "total")
 
 
-@query("asof_daily_rate_all", """
-WITH r AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events WHERE event_type = 'view' GROUP BY 1)
-SELECT e.event_id, r.total FROM events e ASOF JOIN r ON e.ts >= r.day""")
-def asof_daily_rate_all(spark, sf_dir):
-    """The daily series of all view events."""
+@query("order_value_usd", """
+WITH r AS (SELECT date_trunc('day', ts)::TIMESTAMP AS rate_day, CAST(7000 + sum(CAST(round(value * 100) AS BIGINT)) % 1500 AS BIGINT) AS rate FROM events GROUP BY 1)
+SELECT e.event_id, CAST(round(value * 100) AS BIGINT) AS paise, round(CAST(round(value * 100) AS BIGINT) / (rate / 100.0::DOUBLE) / 100, 4) AS usd FROM events e ASOF JOIN r ON e.ts >= r.rate_day + INTERVAL 1 DAY""")
+def order_value_usd(spark, sf_dir):
+    """Money at the last rate published before it was spent."""
     (events,) = tables(spark, sf_dir, "events")
-    r = events.where("event_type = 'view'").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.sum(fn.cents("value")).alias("total"))
-    return op.as_of_join(events, r, "ts", "day", [], ["total"], how="inner").select("event_id", "total")
+    r = events.groupBy(F.date_trunc("day", "ts").alias("day")).agg((F.sum(fn.cents("value")) % 1500 + 7000).alias("rate")).withColumn("day", F.col("day") + F.expr("interval 1 day"))
+    out = op.as_of_join(events.select("event_id", "ts", fn.cents("value").alias("paise")), r, "ts", "day", [], ["rate"], how="inner")
+    return out.select("event_id", "paise", F.round(F.col("paise") / (F.col("rate") / F.lit(100.0)) / 100, 4).alias("usd"))
 
 
 _VERSIONS = """
@@ -108,7 +109,7 @@ def containment_join(spark, sf_dir):
 
     The first and last word of a string may be parts of words in a text, so the key is the second to
     fifth word, or what lies between the ends of a shorter string. Strings of one or two words have no
-    key and meet every text.
+    key; all of them are looked for at once in each text.
     """
     benchmark, docs = tables(spark, sf_dir, "benchmark", "documents")
     words = lambda c: F.split(F.trim(F.regexp_replace(c, "\\s+", " ")), " ")
@@ -120,64 +121,30 @@ def containment_join(spark, sf_dir):
     d = d.select("doc_id", "n", F.explode(F.array_distinct(F.expr("transform(if(size(w) < n, array(), sequence(1, size(w) - n + 1)), i -> concat_ws(' ', slice(w, i, n)))"))).alias("key"))
     near = d.join(b.where("key is not null"), ["n", "key"]).select("doc_id", "item_id", "needle").distinct()
     hits = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "needle")).select("item_id", "doc_id")
-    short = docs.crossJoin(b.where("key is null")).where(F.contains("text", "needle")).select("item_id", "doc_id")
+    short = op.containing(docs.select("doc_id", "text"), "doc_id", "text", b.where("key is null").select("item_id", "needle"), "item_id", "needle")
     return hits.unionByName(short)
 
 
 _NEAR = """
-WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 120),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id)"""
-
-
-def _pairs(spark, sf_dir):
-    (emb,) = tables(spark, sf_dir, "embeddings")
-    e = emb.where("vec_id < 120")
-    a = e.select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("x"))
-    b = e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("y"))
-    return a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", "la", "lb", F.round(fn.cosine("x", "y"), 5).alias("sim"))
+WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"""
 
 
 @query("knn_cosine", _NEAR + "SELECT a AS vec_id, b AS neighbour, sim FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 3")
 def knn_cosine(spark, sf_dir):
-    """Three nearest neighbours among the 120 anchors of its SQL; ``knn_cosine_all`` has all rows."""
-    w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return _pairs(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 3").select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "sim")
-
-
-@query("nn_classifier", _NEAR + """, q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) = 1)
-SELECT CAST(la AS INTEGER) AS label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN la = lb THEN 1 ELSE 0 END) AS BIGINT) AS right_ones FROM q GROUP BY 1""")
-def nn_classifier(spark, sf_dir):
-    """1-NN by cosine, leave one out."""
-    best = op.dedupe_latest(_pairs(spark, sf_dir), ["a"], [F.desc("sim"), F.asc("b")])
-    return best.groupBy(F.col("la").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("la") == F.col("lb")).alias("right_ones"))
-
-
-@query("pair_similarity", _NEAR + "SELECT la = lb AS same_label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round(sim * 100000) AS BIGINT)) AS BIGINT) AS sim_units FROM p WHERE a < b GROUP BY 1")
-def pair_similarity(spark, sf_dir):
-    p = _pairs(spark, sf_dir).where("a < b")
-    return p.groupBy((F.col("la") == F.col("lb")).alias("same_label")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("sim") * 100000).cast("long")).alias("sim_units"))
-
-
-_NEAR_ALL = """
-WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"""
-
-
-@query("knn_cosine_all", _NEAR_ALL + "SELECT a AS vec_id, b AS neighbour, sim FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 3")
-def knn_cosine_all(spark, sf_dir):
     """Three nearest neighbours of every row among all rows."""
     (emb,) = tables(spark, sf_dir, "embeddings")
     return op.nearest(emb, 3).select("vec_id", "neighbour", "sim")
 
 
-@query("nn_classifier_all", _NEAR_ALL + """, q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) = 1)
+@query("nn_classifier", _NEAR + """, q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) = 1)
 SELECT CAST(la AS INTEGER) AS label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN la = lb THEN 1 ELSE 0 END) AS BIGINT) AS right_ones FROM q GROUP BY 1""")
-def nn_classifier_all(spark, sf_dir):
+def nn_classifier(spark, sf_dir):
     """1-NN by cosine over all rows, leave one out."""
     (emb,) = tables(spark, sf_dir, "embeddings")
     return op.nearest(emb, 1).groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("neighbour_label")).alias("right_ones"))
 
 
-@query("pair_similarity_all", _NEAR_ALL + "SELECT la = lb AS same_label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round(sim * 100000) AS BIGINT)) AS BIGINT) AS sim_units FROM p WHERE a < b GROUP BY 1")
-def pair_similarity_all(spark, sf_dir):
+@query("pair_similarity", _NEAR + "SELECT la = lb AS same_label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round(sim * 100000) AS BIGINT)) AS BIGINT) AS sim_units FROM p WHERE a < b GROUP BY 1")
+def pair_similarity(spark, sf_dir):
     (emb,) = tables(spark, sf_dir, "embeddings")
     return op.pair_units(emb).groupBy("same_label").agg(F.sum("n").alias("n"), F.sum("sim_units").alias("sim_units"))

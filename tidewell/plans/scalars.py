@@ -133,13 +133,13 @@ def haversine_distance(spark, sf_dir):
 
 
 @query("hash_vector_tokens", """
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS tok FROM documents WHERE lang = 'en'),
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS tok FROM documents),
 s AS (SELECT doc_id, ('0x' || substr(md5(tok), 15, 2))::INTEGER AS slot, CASE WHEN ('0x' || substr(md5(tok), 8, 1))::INTEGER % 2 = 1 THEN 1 ELSE -1 END AS sign FROM t)
 SELECT doc_id, slot, CAST(sum(sign) AS BIGINT) AS weight FROM s GROUP BY doc_id, slot HAVING sum(sign) <> 0""")
 def hash_vector_tokens(spark, sf_dir):
-    """Signed hashing of words to 256 slots (sparse), of the English documents of its SQL; ``hash_vector_text`` has all."""
+    """Signed hashing of single words to 256 slots (sparse)."""
     (docs,) = tables(spark, sf_dir, "documents")
-    t = docs.where("lang = 'en'").select("doc_id", fn.tokens("text").alias("toks")).select("doc_id", F.explode_outer("toks").alias("tok")).where("tok is not null")
+    t = docs.select("doc_id", fn.tokens("text").alias("toks")).select("doc_id", F.explode_outer("toks").alias("tok")).where("tok is not null")
     t = t.select("doc_id", fn.hash_slot("tok").alias("h")).select("doc_id", "h.*")
     return t.groupBy("doc_id", "slot").agg(F.sum("sign").alias("weight")).where("weight <> 0")
 
@@ -157,19 +157,6 @@ def hash_vector_text(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(fn.hash_vector("text")).alias("slot", "weight")).select("doc_id", "slot", (F.round("weight", 9) + F.lit(0.0)).alias("weight"))
 
 
-STRONG, ESCALATE = ["stupid", "worthless", "pathetic", "idiot"], ["never", "refund", "legal"]
-
-
-@query("tone_score", f"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM documents),
-s AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ({str(STRONG)[1:-1]}))) AS strong, len(list_filter(w, lambda x: x IN ({str(ESCALATE)[1:-1]}))) AS escalate FROM t)
-SELECT doc_id, strong + 2 * escalate AS score, CASE WHEN strong + 2 * escalate >= 6 THEN 'HIGH' WHEN strong + 2 * escalate >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM s""")
-def tone_score(spark, sf_dir):
-    (docs,) = tables(spark, sf_dir, "documents")
-    t = docs.select("doc_id", fn.tokens("text").alias("w")).select("doc_id", (fn.hits(F.col("w"), STRONG) + 2 * fn.hits(F.col("w"), ESCALATE)).cast("long").alias("score"))
-    return t.select("doc_id", "score", F.when(F.col("score") >= 6, "HIGH").when(F.col("score") >= 3, "MEDIUM").otherwise("LOW").alias("band"))
-
-
 @query("masking_by_role", """
 SELECT c_custkey, role, CASE role WHEN 'owner' THEN c_name || '@mail.example' WHEN 'analyst' THEN sha256(lower(c_name || '@mail.example')) ELSE '***REDACTED***' END AS email,
   CASE role WHEN 'owner' THEN '98450' || lpad(c_custkey::VARCHAR, 5, '0') ELSE repeat('X', 6) || right('98450' || lpad(c_custkey::VARCHAR, 5, '0'), 4) END AS phone,
