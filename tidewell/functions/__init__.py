@@ -51,6 +51,11 @@ def date_key(d: Column | str) -> Column:
     return F.date_format(col(d), "yyyyMMdd").cast("int")
 
 
+def ist_hour(ts: Column | str) -> Column:
+    """The hour in India (330 minutes ahead) of a UTC time."""
+    return F.hour(col(ts) + F.expr("interval 330 minutes"))
+
+
 def least_strict(*cols: Column | str) -> Column:
     """LEAST that is null if any argument is."""
     cs = [col(c) for c in cols]
@@ -73,12 +78,22 @@ def extract(c: Column | str, pattern: str, group: int = 1) -> Column:
     return F.when(col(c).rlike(pattern), F.regexp_extract(col(c), pattern, group))
 
 
+def full_match(c: Column | str, pattern: str) -> Column:
+    """Whether the pattern matches the whole string (``rlike`` searches)."""
+    return col(c).rlike(f"^(?:{pattern})$")
+
+
 def haversine_km(lat1, lon1, lat2, lon2, radius: float = 6371.0) -> Column:
     a, b, c, d = (F.radians(col(x)) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
     return F.lit(2 * radius) * F.asin(F.sqrt(h))
 
 
+def distance_m(lat1, lon1, lat2, lon2) -> Column:
+    """Metres on the sphere between two points."""
+    return haversine_km(lat1, lon1, lat2, lon2) * 1000
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(col(a).cast("array<double>"), col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -129,6 +144,16 @@ def hits(words: Column, lexicon: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(lexicon)))
 
 
+def tone(c: Column | str, strong, escalation) -> Column:
+    """How strong a text's words are: struct of intensity, escalation, words, score and band. An empty
+    or null text has no score and the band UNKNOWN."""
+    words = tokens(F.coalesce(col(c), F.lit("")))
+    a, b = hits(words, list(strong)), hits(words, list(escalation))
+    score, blank = a + 2 * b, F.coalesce(col(c), F.lit("")) == ""
+    band = F.when(blank, "UNKNOWN").when(score >= 6, "HIGH").when(score >= 3, "MEDIUM").otherwise("LOW")
+    return F.struct(a.alias("intensity"), b.alias("escalation"), F.size(words).alias("words"), F.when(~blank, score).alias("score"), band.alias("band"))
+
+
 def mask_email(c: Column | str, role: str) -> Column:
     """Clear for full readers, a stable pseudonym for analysts, else redacted."""
     if role in ("owner", "steward"):
