@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
 from tidewell.governance import Policy, Principal, governed
 from tidewell.quality import accepted, check, relationship, results, unique
 from tidewell.registry import query
-from tidewell.session import tables
+from tidewell.session import scratch, tables
 from tidewell.sources import read_evolving, read_with_rejects
 from tidewell.streaming import dedupe_stream, maintain
 
@@ -68,16 +65,11 @@ def schema_evolution(spark, sf_dir):
     return read_evolving([part.where("p_partkey % 2 = 0").select("p_partkey", "p_name"), part.where("p_partkey % 2 = 1").select("p_partkey", "p_name", "p_brand")])
 
 
-def _scratch(spark) -> str:
-    """A folder that driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-")
-
-
 @query("rejects_load", """SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'rejected' ELSE 'loaded' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1""")
 def rejects_load(spark, sf_dir):
     """A CSV with broken rows: good rows load, bad ones are reported."""
     (orders,) = tables(spark, sf_dir, "orders")
-    path = os.path.join(_scratch(spark), f"rejects-{os.urandom(6).hex()}")
+    path = scratch(spark, "rejects")
     bad = F.col("o_orderkey") % 50 == 0
     orders.select(F.when(bad, F.concat(F.lit("x"), F.col("o_orderkey"))).otherwise(F.col("o_orderkey").cast("string")), F.col("o_custkey").cast("string"), "o_orderstatus").toDF("a", "b", "c").write.csv(path)
     good, rejected = read_with_rejects(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string")
@@ -89,7 +81,7 @@ def rejects_load(spark, sf_dir):
 def streaming_dedupe(spark, sf_dir):
     """Each event delivered twice; a stream that drops repeats within the watermark keeps one."""
     (events,) = tables(spark, sf_dir, "events")
-    base = os.path.join(_scratch(spark), f"stream-{os.urandom(6).hex()}")
+    base = scratch(spark, "stream")
     e = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     e.unionByName(e).repartition(4).write.parquet(f"{base}/in")
     return dedupe_stream(spark, f"{base}/in", e.schema, "event_id", "ts", "40 days", f"{base}/out", f"{base}/state").select("event_id", "user_id", "event_type")
@@ -99,7 +91,7 @@ def streaming_dedupe(spark, sf_dir):
 def streaming_maintained_aggregate(spark, sf_dir):
     """Counts and sums kept by micro-batches, one file a batch; equal to the batch aggregate."""
     (events,) = tables(spark, sf_dir, "events")
-    base = os.path.join(_scratch(spark), f"stream-{os.urandom(6).hex()}")
+    base = scratch(spark, "stream")
     e = events.select("user_id", fn.cents("value").alias("cents"))
     e.repartition(3).write.parquet(f"{base}/in")
     measures = {"n": F.count(F.lit(1)), "cents": F.sum("cents")}
