@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell import functions as fn
+
 
 @dataclass(frozen=True)
 class Principal:
@@ -44,6 +46,32 @@ def governed(df: DataFrame, policy: Policy, who: Principal) -> DataFrame:
     return df.withColumns({c: mask(c, who.role) for c, mask in policy.masks.items() if c in df.columns})
 
 
+#: Which mask a tag stands for.
+TAGS: dict[str, Callable[[Column | str, str], Column]] = {"email": fn.mask_email, "phone": fn.mask_phone, "name": fn.mask_name, "coordinate": fn.mask_coordinate}
+
+
+def tagged(column: Column, name: str, tag: str) -> Column:
+    """``column`` as ``name``, with a tag in its metadata, which goes with it through renames and projections."""
+    return column.alias(name, metadata={"pii": tag})
+
+
+def bind_tags(df: DataFrame, who: Principal) -> DataFrame:
+    """``df`` with the mask of each tagged column; a tag without a mask shuts its column."""
+    out = []
+    for f in df.schema.fields:
+        tag = (f.metadata or {}).get("pii")
+        mask = TAGS.get(tag, lambda c, role: F.lit(None))
+        out.append((mask(f.name, who.role) if tag else F.col(f"`{f.name}`")).alias(f.name))
+    return df.select(*out)
+
+
+def cost_by_tag(log: DataFrame, tag: str, units: str) -> DataFrame:
+    """Cost by what stands before the first colon of a query's tag, and its share of all."""
+    by = log.groupBy(F.split_part(F.col(tag), F.lit(":"), F.lit(1)).alias("part")).agg(F.count(F.lit(1)).alias("queries"), F.sum(units).alias("units"))
+    total = by.agg(F.sum("units").alias("__all"))
+    return by.crossJoin(F.broadcast(total)).select("part", "queries", "units", F.round(F.lit(100.0) * F.col("units") / F.col("__all"), 2).alias("pct"))
+
+
 class Catalog:
     """Tables with their policies. A derived table names its parents and inherits the masks of the
     columns it takes over; without a row policy of its own it stays denied."""
@@ -66,6 +94,12 @@ class Catalog:
         self.reads.append((who.user or who.role, name, tuple(df.columns)))
         return governed(df, policy, who)
 
+    def lineage(self, spark: SparkSession) -> DataFrame:
+        """The read log by reader, table and column."""
+        rows = [(who, table, list(columns)) for who, table, columns in self.reads]
+        log = spark.createDataFrame(rows, "reader string, table_name string, columns array<string>")
+        return log.select("reader", "table_name", F.explode("columns").alias("column_name")).groupBy("reader", "table_name", "column_name").agg(F.count(F.lit(1)).alias("reads"))
+
 
 PATTERNS = {
     "email": r"^[^@\s]+@[^@\s]+\.[a-zA-Z]{2,}$",

@@ -32,14 +32,11 @@ def as_of_join(left: DataFrame, right: DataFrame, ts: str, right_ts: str, by: li
     """Each left row with the values of the latest right row at or before it, in its group.
 
     One shuffle: both sides are stacked and the last right row is carried forward. With no group
-    (``by`` empty) the right side must be small, and the rows meet it by an inequality on its
-    validity intervals instead, so that no task gets all left rows.
+    (``by`` empty) the stack is range partitioned by time, so that no task gets all rows, and each
+    part begins with the last right row of those before it.
     """
     if not by:
-        w = Window.orderBy(right_ts)
-        spans = right.withColumn("__to", F.lead(right_ts).over(w)).select(F.col(right_ts).alias("__from"), "__to", *values)
-        on = (F.col(ts) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(ts) < F.col("__to")))
-        return left.join(spans, on, how).drop("__from", "__to")
+        return _as_of_keyless(left, right, ts, right_ts, values, how)
     rest = [c for c in left.columns if c not in by]
     a = left.select(*by, F.col(ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*rest).alias("__l"), F.lit(None).alias("__r"))
     b = right.select(*by, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.struct(*values).alias("__r"))
@@ -49,6 +46,21 @@ def as_of_join(left: DataFrame, right: DataFrame, ts: str, right_ts: str, by: li
     return out.where(F.col(values[0]).isNotNull()) if how == "inner" else out
 
 
+def _as_of_keyless(left: DataFrame, right: DataFrame, ts: str, right_ts: str, values: list[str], how: str) -> DataFrame:
+    a = left.select(F.col(ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).alias("__r"))
+    b = right.select(F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.struct(*values).alias("__r"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the bounds of the parts are drawn once: both uses below read one exchange
+    ranged = a.unionByName(b).repartitionByRange(parts, "__ts", "__side").withColumn("__p", F.spark_partition_id()).persist()
+    ends = ranged.where("__side = 0").groupBy("__p").agg(F.max_by("__r", "__ts").alias("__end"))  # one row a part
+    known = ends.sparkSession.range(parts).select(F.col("id").cast("int").alias("__p")).join(ends, "__p", "left")
+    carried = known.select("__p", F.last("__end", ignorenulls=True).over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    w = Window.partitionBy("__p").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.join(F.broadcast(carried), "__p").withColumn("__r", F.coalesce(F.last("__r", ignorenulls=True).over(w), "__before")).where("__side = 1")
+    out = out.select("__l.*", *[F.col(f"__r.{v}").alias(v) for v in values])
+    return out.where(F.col(values[0]).isNotNull()) if how == "inner" else out
+
+
 def validity_join(facts: DataFrame, dim: DataFrame, key: str, ts: str, valid_from: str = "valid_from", valid_to: str = "valid_to", how: str = "left") -> DataFrame:
     """Each fact with the dimension version valid at its time: from <= ts < to."""
     d = dim.withColumnRenamed(key, "__key")
@@ -147,6 +159,23 @@ def ordered_list(value: str, *order: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value])
 
 
+def object_of(key: str, value: str) -> Column:
+    """The group's keys and values as a map, by key."""
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+
+
+def sample_rows(df: DataFrame, n: int, key: list[str], seed: int) -> DataFrame:
+    """``n`` rows at random: those with the least seeded hash of their key, so alike on any cluster."""
+    return df.withColumn("__h", F.xxhash64(F.lit(seed), *key)).orderBy("__h", *key).limit(n).drop("__h")
+
+
+def flatten_series(df: DataFrame, doc: str, path: str, arrays: dict[str, str]) -> DataFrame:
+    """Parallel arrays of a JSON text under ``path``, one row a position, beside the other columns."""
+    schema = f"{path} struct<{', '.join(f'{n}: array<{t}>' for n, t in arrays.items())}>"
+    inner = F.from_json(doc, schema)[path]
+    return df.select(*[c for c in df.columns if c != doc], F.explode(F.arrays_zip(*[inner[n].alias(n) for n in arrays])).alias("__x")).select(*[c for c in df.columns if c != doc], *[F.col("__x")[n].alias(n) for n in arrays])
+
+
 def pivot_metrics(df: DataFrame, by: list[str], name: str, value: str, names: list[str]) -> DataFrame:
     """Long metrics to one column each (the names are given, so no extra pass finds them)."""
     return df.groupBy(*by).agg(*[F.max(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names])
@@ -212,6 +241,39 @@ def nearest(vectors: DataFrame, k: int, rows_per_block: int = 2048) -> DataFrame
     return dedupe_rank(near, ["vec_id"], [F.desc_nulls_last("sim"), F.asc("neighbour")], k)
 
 
+def containing(texts: DataFrame, text_id: str, text: str, needles: DataFrame, needle_id: str, needle: str, block: int = 20_000) -> DataFrame:
+    """(needle_id, text_id) for each text that contains a needle, by one automaton for every ``block``
+    needles (the bound of what is sent to the tasks) and a pass over the texts for each."""
+    dealt = needles.where(F.col(needle).isNotNull()).select(F.col(needle_id).cast("long").alias("i"), F.col(needle).alias("n")).persist()
+    blocks = math.ceil(dealt.count() / block)
+    schema = f"{needle_id} long, {text_id} long"
+    out = texts.sparkSession.createDataFrame([], schema)
+    for k in range(blocks):
+        mine: dict[str, list[int]] = {}
+        for r in dealt.where(F.pmod(F.xxhash64("i", "n"), F.lit(blocks)) == k).collect():
+            mine.setdefault(r["n"], []).append(r["i"])
+
+        def find(batches, mine=mine):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for n, ids in mine.items():
+                if n:
+                    automaton.add_word(n, ids)
+            automaton.make_automaton()
+            for batch in batches:
+                found = []
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    hits = set(mine.get("", ()))
+                    for _, ids in automaton.iter(t) if len(automaton) else ():
+                        hits.update(ids)
+                    found += [(h, i) for h in hits]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=[needle_id, text_id])
+
+        out = out.unionByName(texts.where(F.col(text).isNotNull()).select(F.col(text_id).cast("long"), text).mapInArrow(find, schema))
+    return out
+
+
 def dedupe_rank(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows a key in ``order``."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= k).drop("__rn")

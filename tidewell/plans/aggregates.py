@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell import ml
 from tidewell import operators as op
 from tidewell.registry import query
 from tidewell.session import tables
@@ -71,10 +72,12 @@ def quartile_drivers(spark, sf_dir):
     return u.groupBy("driver", "quartile").agg(n.alias("n"), h.alias("hits"), F.round(100.0 * h / n, 3).alias("pct"))
 
 
-def global_rank(df, order: list, parts: int = 64):
+def global_rank(df, order: list, parts: int | None = None):
     """Adds ``rank`` (from 1) and ``total`` over the whole table in ``order`` (unique): rows are range
-    partitioned, ranked in each part, and shifted by the counts of the parts before."""
-    ranged = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    partitioned once (kept, so that counts and ranks see the same bounds), ranked in each part, and
+    shifted by the counts of the parts before."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()).persist()
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(1))).alias("total"))
     ranked = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
@@ -131,10 +134,9 @@ def calibration_buckets(spark, sf_dir):
 WITH {_SCORED}, p AS (SELECT * FROM s WHERE y = 1), q AS (SELECT * FROM s WHERE y = 0)
 SELECT CAST(sum(CASE WHEN p.score > q.score THEN 2 WHEN p.score = q.score THEN 1 ELSE 0 END) AS BIGINT) AS twice_pairs, round(sum(CASE WHEN p.score > q.score THEN 2 WHEN p.score = q.score THEN 1 ELSE 0 END)::DOUBLE / (2 * count(*)), 6) AS auc FROM p, q""")
 def roc_auc(spark, sf_dir):
-    """AUC from counts by score: no pairs are made."""
+    """AUC from counts by score: no pairs are made, and the running counts go through range partitions."""
     by = _scored(spark, sf_dir).groupBy("score").agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("q"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    t = by.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    t = ml.running_sums(by, F.asc("score"), ["q"]).withColumn("below", F.col("q_upto") - F.col("q"))
     pairs = F.sum(2 * F.col("p") * F.col("below") + F.col("p") * F.col("q"))
     return t.agg(pairs.alias("twice_pairs"), F.round(pairs / (2 * F.sum("p") * F.sum("q")), 6).alias("auc"))
 

@@ -39,6 +39,13 @@ def not_empty(df: DataFrame, target: str, name: str) -> DataFrame:
     return df.agg(F.lit(name).alias("check_name"), F.lit(target).alias("target"), (F.count(F.lit(1)) > 0).alias("passed"), F.count(F.lit(1)).cast("string").alias("observed"), F.lit("> 0").alias("expected"))
 
 
+def column_metrics(df: DataFrame, column: str) -> DataFrame:
+    """Rows, nulls and repeated values of a column, as (metric, value)."""
+    n = F.count(F.lit(1))
+    one = df.agg(n.alias("row_count"), F.count_if(F.col(column).isNull()).alias("null_count"), (F.count(column) - F.countDistinct(column)).alias("duplicate_count"))
+    return one.unpivot([], ["row_count", "null_count", "duplicate_count"], "metric", "value")
+
+
 def results(rows: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
