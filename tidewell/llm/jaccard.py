@@ -6,8 +6,12 @@ difference H that linked sets of the band can have. If two sets differ by at mos
 them has more than H segments that aren't empty, they agree on one of those: so it is enough to
 index a hash of each segment's subset. Where a set falls short of that it is allocated more, the
 cheapest that suffices: the one-deletion neighbourhoods of its larger segments as well (a segment
-of two shingles or more then counts twice), or, failing that, its single shingles. Sets that meet
-under a signature are candidates, and are verified on their whole texts.
+of two shingles or more then counts twice), or, failing that, its single shingles. Where it has more
+than it needs, it keeps as many as it needs of the cheapest: what a signature costs is how many sets
+share it, as far as a bounded sample tells, and the order is the same for all sets (then by hash).
+The cheapest segment that two linked sets agree on has at most H others before it in either set, so
+both keep it, whatever the sample said. Sets that meet under a signature are candidates, and are
+verified on their whole texts. Of rows with equal sets only one is signed.
 
 A group of sets that meet is first linked to its least member. Only where such a pair fails are
 the group's other pairs looked at, nearest first, and of those only the ones between components
@@ -17,6 +21,7 @@ symmetric difference) can't rule out.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -35,6 +40,10 @@ SKETCH_BITS = 1024
 FLUSH, PER_BUCKET = 1_500_000, 3_000_000
 #: Up to so many (id, hash) pairs, 12 MB, of the texts to verify are broadcast.
 BROADCAST_ROWS = 500_000
+#: Signatures' costs are taken from about so many sets, and of the dearest signatures so many are kept.
+COST_SETS, DEAREST = 20_000, 20_000
+#: Members of one group that travel in one row.
+CHUNK = 4096
 PAIR = ("a", "b", "da", "ta", "db", "tb")
 
 
@@ -106,8 +115,11 @@ class Bands:
         return both * (100 - self.percent) // (100 + self.percent)
 
 
-def signatures(tokens: np.ndarray, bands: Bands, slack: float = 1.25) -> np.ndarray:
-    """All signatures of one set (sorted distinct hashes), under its band's scheme and the next's."""
+def signatures(tokens: np.ndarray, bands: Bands, slack: float = 1.25, dear: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """All signatures of one set (sorted distinct hashes), under its band's scheme and the next's.
+
+    ``dear`` has dear signatures, sorted, and their costs; all others cost nothing.
+    """
     n = len(tokens)
     if not n:
         return np.zeros(0, np.uint64)
@@ -120,8 +132,16 @@ def signatures(tokens: np.ndarray, bands: Bands, slack: float = 1.25) -> np.ndar
         seg = ((tokens >> _U(32)) * _U(m)) >> _U(32)  # in order, as the tokens are
         first = np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1))
         sums, place = np.add.reduceat(inner, first), mix(seg[first] + _U((band + 1) << 40))
-        out.append(mix(sums ^ place))
+        plain = mix(sums ^ place)
         need = bands.difference(n + min(top, n * 100 // bands.percent)) + 1
+        if len(first) > need:
+            if dear is not None and len(dear[0]):
+                at = np.minimum(np.searchsorted(dear[0], plain), len(dear[0]) - 1)
+                cost = np.where(dear[0][at] == plain, dear[1][at], 0)
+                plain = plain[np.lexsort((plain, cost))[:need]]
+            else:
+                plain = np.partition(plain, need - 1)[:need]
+        out.append(plain)
         if len(first) < need:
             size = np.diff(np.append(first, n))
             many = np.repeat(size > 1, size)
@@ -131,6 +151,24 @@ def signatures(tokens: np.ndarray, bands: Bands, slack: float = 1.25) -> np.ndar
     return np.unique(np.concatenate(out))
 
 
+def dear_signatures(texts: DataFrame, rows: int, shingle: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures that most of about COST_SETS texts share (the bound), sorted, and by how many."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            data, offs = buffers(batch.column(0))
+            for i, j in slices(offs):
+                tokens, bounds = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
+                found = [signatures(tokens[a:b], bands) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["s"])
+
+    sample = texts.sample(fraction=min(1.0, COST_SETS / max(1, rows)), seed=9).mapInArrow(tidy(tell), "s long")
+    top = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(DEAREST).collect()
+    known = sorted((r["s"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in top)
+    return np.array([x for x, _ in known], np.uint64), np.array([x for _, x in known], np.int64)
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -165,6 +203,24 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     total = int(rows.agg(F.sum("n")).first()[0] or 0)
     buckets = max(1, math.ceil(0.65 * total / PER_BUCKET))
 
+    # one row of the table for each set: the least (id, text), and how to find it
+    # signatures carry a key's low 48 bits alone: sets that share those are told apart from here on
+    short = lambda c: F.col(c).bitwiseAND(F.lit((1 << 48) - 1))
+    nodes = rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk")).alias("at"), F.min("sk").alias("sk"))
+    nodes = nodes.select(F.col("key").alias("node"), short("key").alias("short"), "n", "least", F.col("at.doc_id").alias("doc_id"), F.col("at.tk").alias("tk"), "sk").checkpoint()
+
+    # rows whose set another row stands for: few are told by a broadcast; beyond the bound, texts and rows meet in a shuffle
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tk"] == b["tk"])
+    n_sets, stand = nodes.count(), nodes.select("doc_id", "tk")
+    texts = src.where("t is not null")
+    if rows.where("n > 0").count() - n_sets <= BROADCAST_ROWS:
+        copies = rows.where("n > 0").select("doc_id", "tk")
+        copies = copies.join(stand, same(copies, stand), "left_anti").distinct()
+        texts = texts.join(F.broadcast(copies), same(texts, copies), "left_anti").select("t")
+    else:
+        texts = texts.join(stand, same(texts, stand), "left_semi").dropDuplicates(["doc_id", "tk"]).select("t")
+    dear = dear_signatures(src.where("t is not null").select("t"), n_sets, shingle, percent)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, sigs, keys, held = Bands(percent), [], [], 0
 
@@ -186,7 +242,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 tokens, bounds = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
                 for key, a, b in zip(set_keys(tokens, bounds), bounds[:-1], bounds[1:], strict=True):
                     if b > a:
-                        s = signatures(tokens[a:b], bands)
+                        s = signatures(tokens[a:b], bands, dear=dear)
                         sigs.append(s)
                         keys.append(np.full(len(s), key, np.uint64))
                         held += len(s)
@@ -219,18 +275,19 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             for p, q in zip(cut[:-1], cut[1:], strict=True):
                 if q - p > 1:
                     groups[k[p:q].tobytes()] = k[p:q]
-        return pd.DataFrame({"a": [int(g[0]) for g in groups.values()], "others": [g[1:].tolist() for g in groups.values()]}).astype({"a": "int64", "others": "object"})
-
-    met = src.where("t is not null").select("t").mapInArrow(tidy(sign), "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, "a long, others array<long>")
-    met = met.groupBy("a", "others").agg(F.count(F.lit(1)).alias("times")).drop("times").checkpoint()
+        out: dict[str, list] = {c: [] for c in ("g", "h", "a", "size", "part", "members")}
+        for raw_keys, g in groups.items():
+            name = hashlib.md5(raw_keys, usedforsecurity=False).digest()
+            for part in range(0, len(g), CHUNK):
+                for c, v in zip(out, (int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), int(g[0]), len(g), part, g[part : part + CHUNK].tolist()), strict=True):
+                    out[c].append(v)
+        return pd.DataFrame(out).astype({"g": "int64", "h": "int64", "a": "int64", "size": "int64", "part": "int64", "members": "object"})
+
+    # groups in rows of bounded size; a group comes up under many signatures, and is kept once
+    met = texts.mapInArrow(tidy(sign), "bucket long, blob binary").groupBy("bucket").applyInPandas(meet, "g long, h long, a long, size long, part long, members array<long>")
+    met = met.dropDuplicates(["g", "h", "part"]).checkpoint()
     clean(spark)
 
-    # one row of the table for each set: the least (id, text), and how to find it
-    # signatures carry a key's low 48 bits alone: sets that share those are told apart from here on
-    short = lambda c: F.col(c).bitwiseAND(F.lit((1 << 48) - 1))
-    nodes = rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk")).alias("at"), F.min("sk").alias("sk"))
-    nodes = nodes.select(F.col("key").alias("node"), short("key").alias("short"), "n", "least", F.col("at.doc_id").alias("doc_id"), F.col("at.tk").alias("tk"), "sk")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
 
@@ -272,7 +329,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         full = with_a.join(right, with_a["db"].eqNullSafe(right["db"]) & (with_a["tb"] == right["tb"])).select("a", "b", "xa", "xb")
         return full.mapInArrow(tidy(verify), "a long, b long, ok boolean")
 
-    stars = met.select("a", F.explode("others").alias("b")).distinct().checkpoint()
+    stars = met.select("a", F.explode("members").alias("b")).where("a <> b").distinct().checkpoint()
     ends = F.least(short("a"), short("b")).alias("a"), F.greatest(short("a"), short("b")).alias("b")
     links = checked(stars, "short").where("ok").select("a", "b").checkpoint()
     clean(spark)
@@ -332,7 +389,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     # groups with a failed pair whose members are still apart: each set's nearest eight by sketch, then
     # all others, as far as they lie in another component by then. The ranks are fixed, so each pair
     # comes up in one of the two rounds, and most have been joined before the second.
-    members = met.where(F.size("others") > 1).join(failed, "a", "left_semi").select(F.xxhash64("a", "others").alias("g"), F.explode(F.concat(F.array("a"), "others")).alias("short"))
+    members = met.where("size > 2").join(failed, "a", "left_semi").select("g", F.explode("members").alias("short"))
     members = members.join(nodes.select("short", "node", "n", "sk"), "short").drop("short")
     first, step = 0, 8
     while True:
