@@ -21,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, SpanHash, buffers, cut, mix, prepare, slices
+from .common import SLICE_BYTES, SpanHash, buffers, cut, mix, prepare, slices, tidy
+from .repeats import hot_above, spread_join
 
 _U = np.uint64
 #: Longest stretch of one text looked at in one go, the bytes of one transform, and the occurrences
 #: from which a minimizer is dealt out by longer k-mers.
 STRETCH, CHUNK, HOT = 4 << 20, 1 << 20, 20_000
 _AT = _U((1 << 24) - 1)
+#: A run's start and, in its low bits, its windows.
+PLACE = 20
+WINS = (1 << PLACE) - 1
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, kmer: int) -> tuple[np.ndarray, ...]:
@@ -184,10 +188,12 @@ def substring_dedup(docs: DataFrame, length: int = 200, text_col: str = "text",
 
     Texts are UTF-8 bytes, null counting as empty; a text shorter than ``length`` keeps all. Strings
     are judged on the input, across all rows and within one; repeated rows lose all that is long
-    enough. Other columns are not looked at. An empty table gives no rows.
+    enough. ``length`` is under a million. Other columns are not looked at. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.coalesce(text_col, F.lit(""))).alias("tk"), F.coalesce(text_col, F.lit("")).alias("t"))
+    if not kmer < length < WINS:
+        raise ValueError(f"length must be above {kmer} and under {WINS}")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit("")), F.octet_length(F.coalesce(text_col, F.lit("")))).alias("tk"), F.coalesce(text_col, F.lit("")).alias("t"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,18 +202,22 @@ def substring_dedup(docs: DataFrame, length: int = 200, text_col: str = "text",
                 row, start, wins, mh, ch = runs(piece, off, length, kmer)
                 if len(row):
                     rows = pa.array(row + i)
-                    place = (start - off[row] + skipped) << 8 | wins
+                    place = (start - off[row] + skipped) << PLACE | wins
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), pa.array(mh.view(np.int64)), pa.array(ch.view(np.int64))],
                         names=["doc_id", "tk", "place", "mh", "ch"],
                     )
 
-    found = src.mapInArrow(mark, "doc_id long, tk int, place long, mh long, ch long")
-    known = found.groupBy("mh").agg(F.count(F.lit(1)).alias("n"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("n > 1").select("mh", (F.col("x") != F.col("y")).alias("several"), (F.col("n") > HOT).alias("hot"))
-    twice = cut(found.join(known, "mh"))
+    # the runs are found once and written; both passes over them read the file
+    found = cut(src.mapInArrow(tidy(mark), "doc_id long, tk long, place long, mh long, ch long"))
+    known = found.groupBy("mh").agg(F.count(F.lit(1)).alias("n"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("n > 1")
+    known = known.select("mh", "n", (F.col("x") != F.col("y")).alias("several"), (F.col("n") > HOT).alias("hot")).checkpoint()
+    limit = hot_above(known.agg(F.sum("n")).first()[0] or 0)
+    run = ["doc_id", "tk", "place"]
+    twice = cut(spread_join(found, known.drop("n"), ["mh"], known.where(F.col("n") > limit), run))
 
     # one copy of each content of the minimizers that have several, by document, to fetch its bytes
-    one = twice.where("several").groupBy("mh", "ch").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "tk", "place", "hot")))
+    one = twice.where("several").groupBy("mh", "ch").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "tk", "place", "hot"))).checkpoint()
     asked = one.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("place", "mh", "ch", (F.col("n") > 1).alias("many"), "hot")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +228,7 @@ def substring_dedup(docs: DataFrame, length: int = 200, text_col: str = "text",
                 out: list[list] = [[], [], [], [], [], []]
                 for r, asks in enumerate(batch.column(1).slice(lo, 256).to_pylist(), lo):
                     for x in asks:
-                        s, wins = int(offs[r]) + (x["place"] >> 8), x["place"] & 255
+                        s, wins = int(offs[r]) + (x["place"] >> PLACE), x["place"] & WINS
                         raw = data[s : s + wins + length - 1]
                         if x["hot"]:
                             _, at, w, mh, _ = runs(raw, np.array([0, len(raw)]), length, longer)
@@ -234,7 +244,7 @@ def substring_dedup(docs: DataFrame, length: int = 200, text_col: str = "text",
     texts = src.join(asked, same(src, asked)).select("t", "asked").mapInArrow(fetch, "key long, mh long, ch long, off long, many boolean, raw binary")
     masks = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_search(length), "mh long, ch long, off long, mask binary")
     whole = twice.where("not several").select("doc_id", "tk", "place", F.lit(0).cast("long").alias("off"), F.lit(None).cast("binary").alias("mask"))
-    partly = twice.where("several").join(masks, ["mh", "ch"]).select("doc_id", "tk", "place", "off", "mask")
+    partly = spread_join(twice.where("several"), masks, ["mh", "ch"], one.where(F.col("n") > limit), run).select("doc_id", "tk", "place", "off", "mask")
     hits = whole.union(partly).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("place", "off", "mask")).alias("hits"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +258,7 @@ def substring_dedup(docs: DataFrame, length: int = 200, text_col: str = "text",
                 if got:
                     edge = np.zeros(len(text) + 1, np.int64)
                     for x in got:
-                        s, wins = (x["place"] >> 8) + x["off"], x["place"] & 255
+                        s, wins = (x["place"] >> PLACE) + x["off"], x["place"] & WINS
                         if x["mask"] is None:
                             edge[s] += 1
                             edge[s + wins + length - 1] -= 1
