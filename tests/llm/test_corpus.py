@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 
-from tidewell.llm import htmltext, suffix
+from tidewell.llm import htmltext, jaccard, repeats, suffix
 from tidewell.llm.jaccard import near_duplicates
 from tidewell.llm.linedup import line_dedup
 from tidewell.llm.mixing import mix
@@ -196,10 +196,10 @@ def test_interval_expansion():
         assert all(got[i] == (c[b[i : i + n]] > 1) for i in range(len(b) - n + 1))
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_substring_dedup(docs, rows, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "n"), [(20_000, 60), (2, 60), (2, 400)])
+def test_substring_dedup(docs, rows, hot, n, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
-    n = 60
+    monkeypatch.setattr(suffix, "hot_above", lambda total: hot)  # keys above it are spread
     raw = [(i, (t or "").encode()) for i, t, *_ in rows]
     seen = Counter(b[k : k + n] for _, b in raw for k in range(len(b) - n + 1))
     want = Counter()
@@ -255,7 +255,10 @@ def test_sharding(docs, rows):
         assert slots == list(range(len(slots))) and abs(len(slots) - len(rows) / 8) < 1
 
 
-def test_near_duplicates(docs, rows):
+@pytest.mark.parametrize("bounds", [(500_000, 20_000, 4096), (0, 20_000, 3), (0, 0, 2)])
+def test_near_duplicates(docs, rows, bounds, monkeypatch):
+    for name, value in zip(("BROADCAST_ROWS", "DEAREST", "CHUNK"), bounds, strict=True):
+        monkeypatch.setattr(jaccard, name, value)
     lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
     sets = []
     for _, t, *_ in rows:
@@ -404,3 +407,28 @@ def test_quality_cascade_keeps_what_no_rule_rejects(spark, docs, rows):
     report = quality_report(df).collect()
     assert all((x.base_failed, x.kept) == verdict(text[x.doc_id]) for x in report) and {x.kept for x in report if not x.base_failed} == {True, False}
     assert Counter(x.doc_id for x in quality_filter(df).collect()) == Counter(x.doc_id for x in report if x.kept)
+
+
+def test_hot_lines_are_spread(docs, rows, monkeypatch):
+    plain = {tuple(r) for r in repeated_units(docs).collect()}
+    monkeypatch.setattr(repeats, "hot_above", lambda total: 2)
+    assert {tuple(r) for r in repeated_units(docs).collect()} == plain and plain
+
+
+def test_dear_signatures_lose_no_link():
+    """Sets kept to as few signatures as they need still meet, whatever costs are told."""
+    r, bands = np.random.default_rng(5), jaccard.Bands(80)
+    met = 0
+    for k in range(300):
+        n = int(r.integers(5, 400))
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        drop = int(r.integers(0, max(1, len(a) // 9) + 1))
+        b = np.unique(np.concatenate((a[r.permutation(len(a))[drop:]], r.integers(0, 1 << 63, drop, dtype=np.uint64))))
+        linked = 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        every = jaccard.signatures(a, bands)
+        some = np.sort(r.permutation(every)[: max(1, len(every) // 2)])
+        dear = (some, r.integers(1, 50, len(some)))
+        if linked:
+            met += 1
+            assert len(np.intersect1d(jaccard.signatures(a, bands, dear=dear), jaccard.signatures(b, bands, dear=dear))), (k, n, drop)
+    assert met > 150
