@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewell import functions as fn
 from tidewell import marts, ml, sources, streaming
 from tidewell import operators as op
-from tidewell.governance import Catalog, Policy, Principal, bind_tags, classify, governed, tagged
+from tidewell.governance import Catalog, Policy, Principal, bind_tags, classify, governed, tagged, unprotected
 from tidewell.plans import relational
 from tidewell.plans.aggregates import global_rank
 from tidewell.quality import accepted, alert, check, gate, not_empty, not_null, relationship, results, unique
@@ -179,6 +179,7 @@ def test_policies(spark):
     assert catalog.read("derived", Principal("analyst")).count() == 0  # masks come along, rows stay shut
     assert catalog.read("derived", Principal("guest", user="u")).columns == ["mail"] and catalog.reads[-1] == ("u", "derived", ("mail",))
     assert {(r.column, r.category) for r in classify(df).collect()} == {("mail", "email"), ("tel", "phone")}
+    assert [r.column for r in unprotected(classify(df), Policy(masks={"mail": fn.mask_email})).collect()] == ["tel"] and unprotected(classify(df), Policy()).count() == 2
     odd = bind_tags(df.select(tagged(F.col("mail"), "m", "email"), tagged(F.col("other"), "o", "secret")), Principal("viewer")).first()
     assert odd.m == "***REDACTED***" and odd.o is None  # a tag without a mask shuts its column
 

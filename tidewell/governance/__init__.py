@@ -119,3 +119,8 @@ def classify(df: DataFrame, share: float = 0.8) -> DataFrame:
     for x in out[1:]:
         found = found.unionByName(x)
     return found.where(F.col("share") >= share)
+
+
+def unprotected(found: DataFrame, policy: Policy) -> DataFrame:
+    """Proposals of :func:`classify` for columns that the policy has no mask for."""
+    return found.where(~F.col("column").isin(list(policy.masks))) if policy.masks else found

@@ -19,6 +19,33 @@ FEATURES = ("f_dist_5", "f_peak", "f_load_15", "f_items_5", "f_weekend", "f_cod"
 AFTERWARDS = frozenset({"packed_ts", "picked_up_ts", "delivered_ts", "breach_sec", "pack_sec", "pick_sec", "ride_sec", "total_sec", "is_breached"})
 
 
+#: The conformed tables: their key, and their columns as the change log carries them, with what each becomes. Dates come as days
+#: since 1970, times as text with a Z.
+CONFORMED = {
+    "order_status_event": ("event_id", "event_id string, order_id long, store_id int, rider_id int, from_status string, to_status string, event_ts time, source string"),
+    "store": ("store_id", "store_id int, store_code string, city string, pincode string, lat double, lon double, opened_on day, is_active boolean"),
+    "customer": ("customer_id", "customer_id int, full_name string, email string, phone string, segment string, home_pincode string, home_lat double, home_lon double, created_at time"),
+    "product": ("product_id", "product_id int, sku string, name string, category_l1 string, category_l2 string, category_l3 string, price_paise long, is_active boolean, updated_at time"),
+    "rider": ("rider_id", "rider_id int, full_name string, phone string, vehicle_type string, store_id int, shift string, is_active boolean, joined_on day"),
+    "order_header": ("order_id", "order_id long, customer_id int, store_id int, rider_id int, placed_ts time, promised_ts time, packed_ts time, picked_up_ts time, delivered_ts time, status string, payment_method string, coupon_code string, item_count int, gross_paise long, discount_paise long, delivery_fee_paise long, order_total_paise long"),
+    "order_item": ("order_item_id", "order_item_id long, order_id long, product_id int, qty int, unit_price_paise long, line_total_paise long"),
+    "inventory_daily": ("snapshot_date,store_id,product_id", "snapshot_date day, store_id int, product_id int, on_hand_qty int, reorder_level int"),
+}
+
+
+def conformed(landed: DataFrame, table: str) -> DataFrame:
+    """The current rows of one of CONFORMED from its landed change log (``payload``, ``offset``): the latest
+    record of each key, none whose latest is a delete, dates and times as such."""
+    key, columns = CONFORMED[table]
+    fields = [c.split(" ") for c in columns.split(", ")]
+    raw = ", ".join(f"{n}: {({'day': 'int', 'time': 'string'}).get(t, t)}" for n, t in fields)
+    log = landed.select(F.from_json("payload", f"before struct<{raw}>, after struct<{raw}>, op string, ts_ms long").alias("p"), "offset").select("p.*", "offset")
+    keys = [F.coalesce(F.col(f"after.{k}"), F.col(f"before.{k}")).alias(f"__{k}") for k in key.split(",")]
+    latest = op.dedupe_latest(log.select("*", *keys), [f"__{k}" for k in key.split(",")], [F.desc("ts_ms"), F.desc("offset")]).where("after is not null and op <> 'd'")
+    typed = {"day": lambda c: F.date_from_unix_date(c), "time": lambda c: F.to_timestamp_ntz(c)}
+    return latest.select(*[typed.get(t, lambda c: c)(F.col(f"after.{n}")).alias(n) for n, t in fields], F.timestamp_millis("ts_ms").alias("cdc_ts"))
+
+
 def dimension(rows: DataFrame, name: str, key: str) -> DataFrame:
     """A type-1 dimension: its surrogate key before all columns."""
     return rows.select(fn.surrogate_key(key).alias(f"{name}_sk"), "*")

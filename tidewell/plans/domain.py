@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell import functions as fn
 from tidewell.governance import Policy, Principal, governed
-from tidewell.quality import accepted, check, relationship, results, unique
+from tidewell.quality import relationship, results, suite
 from tidewell.registry import query
 from tidewell.session import scratch, tables
 from tidewell.sources import read_evolving, read_with_rejects
@@ -30,8 +30,8 @@ UNION ALL SELECT 'line_discount', 'lineitem', count_if(l_discount < 0 OR l_disco
 def dq_results(spark, sf_dir):
     orders, line = tables(spark, sf_dir, "orders", "lineitem")
     return results([
-        unique(orders, "orders", "o_orderkey", "orders_key_unique"), accepted(orders, "orders", "o_orderstatus", ["F", "O"], "status_accepted"),
-        relationship(line, "lineitem", "l_orderkey", orders, "o_orderkey", "line_order"), check(line, "lineitem", F.col("l_discount").between(0, 1), "line_discount"),
+        suite(orders, "orders", {"status_accepted": F.col("o_orderstatus").isin("F", "O") | F.col("o_orderstatus").isNull()}, {"orders_key_unique": "o_orderkey"}),
+        suite(line, "lineitem", {"line_discount": F.col("l_discount").between(0, 1)}), relationship(line, "lineitem", "l_orderkey", orders, "o_orderkey", "line_order"),
     ])
 
 

@@ -278,3 +278,23 @@ def route_counts(spark, sf_dir):
     region.write.json(f"{base}/ndjson")
     n = lambda route, df: df.agg(F.lit(route).alias("route"), F.count(F.lit(1)).alias("n"))
     return n("parquet", spark.read.parquet(f"{base}/parquet")).unionByName(n("csv", sources.by_position(spark, f"{base}/csv"))).unionByName(n("ndjson", sources.read_ndjson(spark, f"{base}/ndjson", "r_regionkey int, r_name string")))
+
+
+@query("file_ingest", "SELECT event_id, event_type, TRUE AS has_file FROM events")
+def file_ingest(spark, sf_dir):
+    """New files of a folder, once each, over three runs; files of another name are passed over."""
+    (events,) = tables(spark, sf_dir, "events")
+    base = scratch(spark, "ingest")
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).select("event_id", "event_type").write.mode("append").json(f"{base}/in")
+        streaming.ingest(spark, f"{base}/in", "event_id long, event_type string", f"{base}/out", f"{base}/state", pattern="*.json")
+    streaming.ingest(spark, f"{base}/in", "event_id long, event_type string", f"{base}/out", f"{base}/state", pattern="*.json")
+    return spark.read.parquet(f"{base}/out").select("event_id", "event_type", F.col("src_file").isNotNull().alias("has_file"))
+
+
+@query("probe_report", "SELECT * FROM (VALUES ('good', 'ok', CAST(NULL AS VARCHAR), 25), ('missing column', 'failed', 'AnalysisException', CAST(NULL AS INTEGER)), ('bad cast', 'failed', 'NumberFormatException', NULL)) v(attempt, outcome, error, n)")
+def probe_report(spark, sf_dir):
+    """Attempts one by one, each with its outcome or kind of error, as a table."""
+    (nation,) = tables(spark, sf_dir, "nation")
+    attempts = {"good": lambda: nation.count(), "missing column": lambda: nation.select("nothing").count(), "bad cast": lambda: len(nation.select(F.col("n_name").cast("int")).collect())}
+    return sources.probe(spark, attempts)

@@ -369,3 +369,59 @@ def schema_checks(spark, sf_dir):
         accepted(d.fact, "fct_order", "status", ["DELIVERED", "CANCELLED"], "order_status"), unique(d.dim_product, "dim_product", "product_sk", "product_version"),
     ]
     return results(rows).select("check_name", "passed")
+
+
+@query("conformed_orders", f"""
+WITH {DOMAIN} SELECT order_id, CAST(customer_id AS INTEGER) AS customer_id, strftime(placed_ts, '%Y-%m-%d %H:%M:%S') AS placed_ts, strftime(delivered_ts, '%Y-%m-%d %H:%M:%S') AS delivered_ts, CASE WHEN order_id % 10 = 4 THEN 'CHANGED' ELSE status END AS status, gross_paise FROM oh WHERE order_id % 10 <> 3""")
+def conformed_orders(spark, sf_dir):
+    """Order headers from their change log: read, some changed and some deleted later, delivered twice."""
+    h = domain(spark, sf_dir).headers
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    row = lambda status: F.struct("order_id", "customer_id", "store_id", "rider_id", stamp("placed_ts").alias("placed_ts"), stamp("promised_ts").alias("promised_ts"), stamp("delivered_ts").alias("delivered_ts"), status.alias("status"), "payment_method", "gross_paise")
+    record = lambda df, before, after, kind, at: df.select(F.to_json(F.struct(before.alias("before"), after.alias("after"), F.lit(kind).alias("op"), F.lit(at).alias("ts_ms"))).alias("payload"), (F.col("order_id") + at).alias("offset"))
+    none = F.lit(None).cast("string")
+    first = record(h, none, row(F.col("status")), "r", 0)
+    changed = record(h.where("order_id % 10 = 4"), row(F.col("status")), row(F.lit("CHANGED")), "u", 1_000_000_000)
+    gone = record(h.where("order_id % 10 = 3"), row(F.col("status")), none, "d", 2_000_000_000)
+    log = first.unionByName(changed).unionByName(gone)
+    out = marts.conformed(log.unionByName(first), "order_header")
+    return _text(out.select("order_id", "customer_id", "placed_ts", "delivered_ts", "status", "gross_paise"))
+
+
+@query("conformed_inventory", """
+SELECT strftime(l_shipdate, '%Y-%m-%d') AS snapshot_date, CAST(l_suppkey % 10 AS INTEGER) AS store_id, CAST(l_partkey AS INTEGER) AS product_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS INTEGER) AS on_hand_qty FROM lineitem GROUP BY ALL""")
+def conformed_inventory(spark, sf_dir):
+    """Stock snapshots, whose key is three columns and whose day comes as a number."""
+    stock = domain(spark, sf_dir).stock
+    row = F.struct(F.datediff("snapshot_date", F.lit("1970-01-01").cast("date")).alias("snapshot_date"), "store_id", "product_id", "on_hand_qty", "reorder_level")
+    log = stock.select(F.to_json(F.struct(F.lit(None).cast("string").alias("before"), row.alias("after"), F.lit("r").alias("op"), F.lit(5).alias("ts_ms"))).alias("payload"), F.lit(0).cast("long").alias("offset"))
+    return _text(marts.conformed(log, "inventory_daily").select("snapshot_date", "store_id", "product_id", "on_hand_qty"))
+
+
+@query("late_model")
+def late_model(spark, sf_dir):
+    """Lateness fitted on the orders before the split and scored on both sides of it: metrics by split,
+    and whether the model as a SQL expression scores alike."""
+    from tidewell import ml
+
+    f = _features(spark, sf_dir).persist()
+    names = list(marts.FEATURES)
+    model = ml.fit_risk(f.where("split = 'TRAIN'"), names, "label")
+    scored = ml.score(model, f).withColumn("by_sql", F.expr(ml.sql_score(model, names)))
+    out = None
+    for split in ("TRAIN", "TEST"):
+        part = scored.where(F.col("split") == split)
+        alike = part.agg((F.max(F.abs(F.col("score") - F.col("by_sql"))) < 1e-9).alias("sql_alike"))
+        one = ml.metrics(part, "label").crossJoin(ml.areas(part, "label")).crossJoin(alike).select(F.lit(split).alias("split"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("late_model_coefficients")
+def late_model_coefficients(spark, sf_dir):
+    """Its coefficients, with what is to be said of each beside no weight at all: lateness here depends on the order's key alone."""
+    from tidewell import ml
+
+    names = list(marts.FEATURES)
+    model = ml.fit_risk(_features(spark, sf_dir).where("split = 'TRAIN'"), names, "label")
+    return spark.createDataFrame([(n, 0.0, c) for n, c in ml.coefficients(model, names)], "feature string, weight double, fitted double").select("feature", F.round("fitted", 3).alias("fitted"), ml.verdict("weight", "fitted").alias("verdict"))

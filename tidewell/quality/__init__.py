@@ -46,6 +46,15 @@ def column_metrics(df: DataFrame, column: str) -> DataFrame:
     return one.unpivot([], ["row_count", "null_count", "duplicate_count"], "metric", "value")
 
 
+def suite(df: DataFrame, target: str, rules: dict[str, Column], unique_keys: dict[str, str] | None = None) -> DataFrame:
+    """All the checks of one table in one pass: ``rules`` by name (as :func:`check`), keys that must be unique."""
+    counts = [F.count_if(~F.coalesce(rule, F.lit(False))).alias(f"r{k}") for k, rule in enumerate(rules.values())]
+    keys = [(F.count(F.lit(1)) - F.countDistinct(c)).alias(f"u{k}") for k, c in enumerate((unique_keys or {}).values())]
+    names = [*((n, f"r{k}") for k, n in enumerate(rules)), *((n, f"u{k}") for k, n in enumerate(unique_keys or {}))]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(c).alias("n")) for n, c in names]))
+    return df.agg(*counts, *keys).select(rows.alias("x")).select("x.*").select("check_name", F.lit(target).alias("target"), (F.col("n") == 0).alias("passed"), F.col("n").cast("string").alias("observed"), F.lit("0").alias("expected"))
+
+
 def results(rows: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 

@@ -265,3 +265,14 @@ def log_action(table: Table, at: str, **values) -> None:
     """One row of a write-back log; the values are bound, never pasted into the statement, and ``context`` is JSON."""
     sql = "SELECT cast(:at as timestamp) AS logged_at, :acted_by AS acted_by, :subject_type AS subject_type, :subject_id AS subject_id, :action AS action, :note AS note, :context AS context"
     table.append(table.spark.sql(sql, {"at": at, "acted_by": "", "subject_type": "", "subject_id": "", "action": "", "note": "", "context": "{}", **values}))
+
+
+def probe(spark: SparkSession, attempts: dict) -> DataFrame:
+    """What becomes of each attempt (a function that returns a count): attempt, outcome, error, n."""
+    found = []
+    for name, attempt in attempts.items():
+        try:
+            found.append((name, "ok", None, int(attempt())))
+        except Exception as e:
+            found.append((name, "failed", type(e).__name__, None))
+    return spark.createDataFrame(found, "attempt string, outcome string, error string, n int")
