@@ -255,10 +255,8 @@ def test_sharding(docs, rows):
         assert slots == list(range(len(slots))) and abs(len(slots) - len(rows) / 8) < 1
 
 
-@pytest.mark.parametrize("bounds", [(500_000, 20_000, 4096), (0, 20_000, 3), (0, 0, 2)])
-def test_near_duplicates(docs, rows, bounds, monkeypatch):
-    for name, value in zip(("BROADCAST_ROWS", "DEAREST", "CHUNK"), bounds, strict=True):
-        monkeypatch.setattr(jaccard, name, value)
+def brute_components(rows):
+    """Shingle sets and roots by all pairs."""
     lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
     sets = []
     for _, t, *_ in rows:
@@ -270,25 +268,67 @@ def test_near_duplicates(docs, rows, bounds, monkeypatch):
             for b in range(a):
                 if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
+    return sets, root
+
+
+@pytest.mark.parametrize("bounds", [(500_000, 20_000, 4096), (0, 20_000, 3), (0, 0, 2)])
+def test_near_duplicates(docs, rows, bounds, monkeypatch):
+    for name, value in zip(("BROADCAST_ROWS", "DEAREST", "CHUNK"), bounds, strict=True):
+        monkeypatch.setattr(jaccard, name, value)
+    sets, root = brute_components(rows)
     want = Counter((i, len(s), min([rows[k][0] for k in range(len(rows)) if root[k] == root[r] and rows[k][0] is not None], default=None)) for r, ((i, *_), s) in enumerate(zip(rows, sets, strict=True)))
     assert Counter(tuple(r) for r in near_duplicates(docs).collect()) == want
 
 
 def test_pipeline(spark, docs, tmp_path):
+    """Each stage against brute force on what the stage before it kept."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars", "id")
+    more = [(2000 + k, f"shared opening line {k % 3}\nand its second line\nand a third one\n" + " ".join(f"w{k}x{j}" for j in range(25)), "en", f"src{k % 5}", 1, None) for k in range(20)]
+    plain = plain.unionByName(spark.createDataFrame(more, plain.schema))
     plain.write.parquet(f"{tmp_path}/documents.parquet")
-    left = plain
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
+        before = left.collect()
         out = stage(spark, left, str(tmp_path))
         out.write.parquet(f"{tmp_path}/{name}")
         left = spark.read.parquet(f"{tmp_path}/{name}")
+        got = left.collect()
         if name != "packing":
-            assert left.columns == plain.columns and {r.doc_id for r in left.collect()} <= {r.doc_id for r in plain.collect()}
-        if name == "near_duplicates":
-            near = near_duplicates(left).collect()
-            assert len({r.component_id for r in near}) == len(near) > 0
+            assert left.columns == plain.columns
+        if name == "quality_rules":
+            assert Counter(got) == Counter(r for r in before if verdict(r.text or "")[1]) and len(got) > 20
+        elif name == "line_dedup":
+            first, want = {}, Counter()
+            lines = {(r.doc_id, r.text): r.text.split("\n") for r in before}
+            for (i, t), x in sorted(lines.items(), key=lambda kv: (kv[0][0] is not None, kv[0][0] or 0)):
+                for k in range(len(x) - 2):
+                    first.setdefault(tuple(x[k : k + 3]), (i, t, k))
+            for r in before:
+                x = lines[r.doc_id, r.text]
+                gone = {k + d for k in range(len(x) - 2) if "".join(x[k : k + 3]).strip(" \t\r\x0b\x0c") and first[tuple(x[k : k + 3])] != (r.doc_id, r.text, k) for d in range(3)}
+                t = "\n".join(v for k, v in enumerate(x) if k not in gone)
+                if not gone or t:
+                    want[(r.doc_id, t, r.lang, r.source, len(t), r.id)] += 1
+            assert Counter(map(tuple, got)) == want and any(len(t) != len(u) for (_, t, *_), (_, u, *_) in zip(sorted(want, key=str), sorted(map(tuple, before), key=str)))
+        elif name == "near_duplicates":
+            _, root = brute_components(before)
+            least = {r: min((before[k].doc_id for k in range(len(before)) if root[k] == r and before[k].doc_id is not None), default=None) for r in set(root)}
+            assert Counter((r.doc_id, r.text) for r in got) == Counter({(r.doc_id, r.text): 1 for k, r in enumerate(before) if r.doc_id == least[root[k]]})
+        elif name == "mixing":
+            n = lambda rows: sum(len(WORD.findall(r.text)) for r in rows)
+            copies = Counter(got)
+            assert set(copies) <= set(before) and max(copies.values()) <= 2 and 0 < n(got) <= 0.9 * n(before)
+        else:
+            encode, want = Tokenizer.from_file(tokenizer_path()).encode, Counter()
+            for r in before:
+                ids = [*encode(r.text or "", add_special_tokens=False).ids, 2]
+                want[(r.doc_id, zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids))] += 1
+            assert Counter((r.doc_id, r.ids_crc32, r.doc_tokens) for r in got) == want  # texts here fit one piece
+            assert sum(r.length for r in got) > 0 and all(r.offset + r.length <= 4096 for r in got)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == left.count() > 0
 
 
@@ -384,20 +424,21 @@ def test_sharding_places_alike_under_any_partitions(spark, docs):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_quality_cascade_keeps_what_no_rule_rejects(spark, docs, rows):
-    def verdict(t):
-        w = WORD.findall(t)
-        win = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
-        covered = {k + d for k in range(len(w) - 7) if win[tuple(w[k : k + 8])] > 1 for d in range(8)}
-        lines = [x for x in t.split("\n") if WORD.search(x)]
-        chars = sum(map(len, w))
-        base = len(w) < 20 or 100 * len(covered) > 30 * len(w)
-        more = [
-            10 * sum(c in "#*$%&|<>" for c in t) > len(w), sum("A" <= c <= "Z" for c in t) > sum("a" <= c <= "z" for c in t), 5 * t.count("!") > len(w),
-            2 * (len(lines) - len(set(lines))) > len(lines), 5 * sum(a == b for a, b in zip(w, w[1:])) > len(w), chars < 2 * len(w) or chars > 40 * len(w),
-        ]
-        return base, not base and not any(more)
+def verdict(t):
+    w = WORD.findall(t)
+    win = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    covered = {k + d for k in range(len(w) - 7) if win[tuple(w[k : k + 8])] > 1 for d in range(8)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    chars = sum(map(len, w))
+    base = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    more = [
+        10 * sum(c in "#*$%&|<>" for c in t) > len(w), sum("A" <= c <= "Z" for c in t) > sum("a" <= c <= "z" for c in t), 5 * t.count("!") > len(w),
+        2 * (len(lines) - len(set(lines))) > len(lines), 5 * sum(a == b for a, b in zip(w, w[1:])) > len(w), chars < 2 * len(w) or chars > 40 * len(w),
+    ]
+    return base, not base and not any(more)
 
+
+def test_quality_cascade_keeps_what_no_rule_rejects(spark, docs, rows):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 9)))
     extra = [" ".join(r.choice([word(), word().upper(), "!", "#", "dup", "x" * 60]) if r.random() < p else word() for _ in range(r.randint(15, 80))) for p in (0.02, 0.1, 0.3, 0.6) for _ in range(40)]
@@ -432,3 +473,14 @@ def test_dear_signatures_lose_no_link():
             met += 1
             assert len(np.intersect1d(jaccard.signatures(a, bands, dear=dear), jaccard.signatures(b, bands, dear=dear))), (k, n, drop)
     assert met > 150
+
+
+def test_samples_come_from_a_few_files(spark, docs, tmp_path):
+    from tidewell.llm.common import some_files
+
+    docs.repartition(9).write.parquet(f"{tmp_path}/many files")
+    many = spark.read.parquet(f"{tmp_path}/many files")
+    few = some_files(many, most=3)
+    assert 0 < few.count() < many.count() and len(few.select("_metadata.file_path").distinct().collect()) <= 3 and few.columns == many.columns
+    assert some_files(many, most=9) is many and some_files(docs, most=0) is docs
+    assert some_files(many.groupBy("doc_id").count(), most=3).count() == many.select("doc_id").distinct().count()

@@ -11,13 +11,17 @@ import ctypes
 import functools
 import gc
 import os
+import random
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
@@ -40,8 +44,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and see that checkpoint() has a folder.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; only where it is unset, as in
-    tests on one machine, a temporary folder is taken. Batches for Python end at BATCH_BYTES unless
+    The cluster names the shared folder in ``spark.checkpoint.dir``; only where it is unset and all
+    runs on one machine, as in tests, a temporary folder is taken. Batches for Python end at BATCH_BYTES unless
     the session has a size of its own.
     """
     sc = spark.sparkContext
@@ -50,7 +54,10 @@ def prepare(spark: SparkSession) -> None:
     if root not in paths.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewell-"))
     if not spark._jsparkSession.sessionState().conf().contains(BATCH_SETTING):
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
@@ -88,6 +95,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def some_files(docs: DataFrame, most: int = 64, seed: int = 1) -> DataFrame:
+    """The rows of at most ``most`` of the files that ``docs`` is read from, chosen at random, for samples
+    that only steer costs; ``docs`` itself where it isn't read straight from more files than that."""
+    files = sorted(docs.inputFiles())
+    if len(files) <= most:
+        return docs
+    try:
+        names = [unquote(f.rsplit("/", 1)[-1]) for f in random.Random(seed).sample(files, most)]
+        few = docs.where(F.col("_metadata.file_name").isin(names))
+        return docs if few.isEmpty() else few
+    except AnalysisException:
+        return docs
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the row offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -13,7 +13,8 @@ def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
     Each step takes minima of neighbours (combined before the shuffle) and joins them back; no
     neighbourhood is gathered in one place. The rounds grow with the logarithm of the size. They end
-    when a round leaves the edges as they were; if none of ``rounds`` does, that is an error.
+    when a round leaves the edges as they were; if none of ``rounds`` does, that is an error. Edges
+    with a null end and loops are passed over, repeated edges count once; no edges give no rows.
     """
     hi, lo = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = edges.where("a <> b").select(hi, lo).distinct().checkpoint()

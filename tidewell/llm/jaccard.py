@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, Words, buffers, clean, give_back, mix, prepare, slices, tidy, window_hash
+from .common import LOWER, SpanHash, Words, buffers, clean, give_back, mix, prepare, slices, some_files, tidy, window_hash
 from .graph import components
 
 _U = np.uint64
@@ -151,7 +151,7 @@ def signatures(tokens: np.ndarray, bands: Bands, slack: float = 1.25, dear: tupl
     return np.unique(np.concatenate(out))
 
 
-def dear_signatures(texts: DataFrame, rows: int, shingle: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def dear_signatures(texts: DataFrame, shingle: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The signatures that most of about COST_SETS texts share (the bound), sorted, and by how many."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def dear_signatures(texts: DataFrame, rows: int, shingle: int, percent: int) ->
                 found = [signatures(tokens[a:b], bands) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["s"])
 
-    sample = texts.sample(fraction=min(1.0, COST_SETS / max(1, rows)), seed=9).mapInArrow(tidy(tell), "s long")
+    sample = texts.sample(fraction=min(1.0, COST_SETS / max(1, texts.count())), seed=9).mapInArrow(tidy(tell), "s long")
     top = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(DEAREST).collect()
     known = sorted((r["s"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in top)
     return np.array([x for x, _ in known], np.uint64), np.array([x for _, x in known], np.int64)
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         texts = texts.join(F.broadcast(copies), same(texts, copies), "left_anti").select("t")
     else:
         texts = texts.join(stand, same(texts, stand), "left_semi").dropDuplicates(["doc_id", "tk"]).select("t")
-    dear = dear_signatures(src.where("t is not null").select("t"), n_sets, shingle, percent)
+    dear = dear_signatures(some_files(docs).where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")), shingle, percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, sigs, keys, held = Bands(percent), [], [], 0

@@ -10,7 +10,11 @@ from .repeats import later_occurrences
 
 
 def repeated_line_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 3) -> DataFrame:
-    """Merged runs of lines that later occurrences of repeated windows cover: id, h, spans."""
+    """Merged runs of lines that later occurrences of repeated windows cover: id, h (of the text), spans.
+
+    Null texts and texts of fewer lines give none; rows that share id and text give one; a null id
+    sorts first; an empty table gives no rows. Other columns are not looked at.
+    """
     prepare(docs.sparkSession)
     hashed = ", ".join(f"l[i + {k}]" for k in range(window))
     mirrored = ", ".join(f"l[i + {k}]" for k in reversed(range(window)))
