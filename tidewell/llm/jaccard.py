@@ -7,9 +7,9 @@ them has more than H segments that aren't empty, they agree on one of those: so
 index a hash of each segment's subset. Where a set falls short of that it is allocated more, the
 cheapest that suffices: the one-deletion neighbourhoods of its larger segments as well (a segment
 of two shingles or more then counts twice), or, failing that, its single shingles. Where it has more
-than it needs, it keeps as many as it needs of the cheapest: what a signature costs is how many sets
-share it, as far as a bounded sample tells, and the order is the same for all sets (then by hash).
-The cheapest segment that two linked sets agree on has at most H others before it in either set, so
+than it needs, it does without the dearest it can spare: what a signature costs is how many sets
+share it, as far as a sample tells, and the order is the same for all sets (then by hash). The
+cheapest segment that two linked sets agree on has at most H others before it in either set, so
 both keep it, whatever the sample said. Sets that meet under a signature are candidates, and are
 verified on their whole texts. Of rows with equal sets only one is signed.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, Words, buffers, clean, give_back, mix, prepare, slices, some_files, tidy, window_hash
+from .common import LOWER, SpanHash, Words, buffers, clean, give_back, mix, prepare, slices, tidy, window_hash
 from .graph import components
 
 _U = np.uint64
@@ -40,8 +40,8 @@ SKETCH_BITS = 1024
 FLUSH, PER_BUCKET = 1_500_000, 3_000_000
 #: Up to so many (id, hash) pairs, 12 MB, of the texts to verify are broadcast.
 BROADCAST_ROWS = 500_000
-#: Signatures' costs are taken from about so many sets, and of the dearest signatures so many are kept.
-COST_SETS, DEAREST = 20_000, 20_000
+#: Signatures' costs are taken from this share of the sets, and so many of the dearest signatures are told to the tasks.
+COST_SHARE, DEAREST = 1 / 8, 20_000
 #: Members of one group that travel in one row.
 CHUNK = 4096
 PAIR = ("a", "b", "da", "ta", "db", "tb")
@@ -134,13 +134,12 @@ def signatures(tokens: np.ndarray, bands: Bands, slack: float = 1.25, dear: tupl
         sums, place = np.add.reduceat(inner, first), mix(seg[first] + _U((band + 1) << 40))
         plain = mix(sums ^ place)
         need = bands.difference(n + min(top, n * 100 // bands.percent)) + 1
-        if len(first) > need:
-            if dear is not None and len(dear[0]):
-                at = np.minimum(np.searchsorted(dear[0], plain), len(dear[0]) - 1)
-                cost = np.where(dear[0][at] == plain, dear[1][at], 0)
-                plain = plain[np.lexsort((plain, cost))[:need]]
-            else:
-                plain = np.partition(plain, need - 1)[:need]
+        spare = len(first) - need
+        if spare > 0 and dear is not None and len(dear[0]):
+            at = np.minimum(np.searchsorted(dear[0], plain), len(dear[0]) - 1)
+            cost = np.where(dear[0][at] == plain, dear[1][at], 0)
+            over = np.flatnonzero(cost)
+            plain = np.delete(plain, over[np.lexsort((plain[over], cost[over]))[::-1][:spare]])
         out.append(plain)
         if len(first) < need:
             size = np.diff(np.append(first, n))
@@ -152,7 +151,7 @@ def signatures(tokens: np.ndarray, bands: Bands, slack: float = 1.25, dear: tupl
 
 
 def dear_signatures(texts: DataFrame, shingle: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures that most of about COST_SETS texts share (the bound), sorted, and by how many."""
+    """The DEAREST signatures (the bound) that most of a COST_SHARE of the texts share, sorted, and by how many."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -163,7 +162,7 @@ def dear_signatures(texts: DataFrame, shingle: int, percent: int) -> tuple[np.nd
                 found = [signatures(tokens[a:b], bands) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["s"])
 
-    sample = texts.sample(fraction=min(1.0, COST_SETS / max(1, texts.count())), seed=9).mapInArrow(tidy(tell), "s long")
+    sample = texts.sample(fraction=COST_SHARE, seed=9).mapInArrow(tidy(tell), "s long")
     top = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(DEAREST).collect()
     known = sorted((r["s"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in top)
     return np.array([x for x, _ in known], np.uint64), np.array([x for _, x in known], np.int64)
@@ -219,7 +218,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         texts = texts.join(F.broadcast(copies), same(texts, copies), "left_anti").select("t")
     else:
         texts = texts.join(stand, same(texts, stand), "left_semi").dropDuplicates(["doc_id", "tk"]).select("t")
-    dear = dear_signatures(some_files(docs).where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")), shingle, percent)
+    dear = dear_signatures(texts, shingle, percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, sigs, keys, held = Bands(percent), [], [], 0
