@@ -219,3 +219,36 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_suffix_dedup": op6_suffix_dedup}
+
+from .codes import vector_codes  # noqa: E402
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def _codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Full searches in place of the annuli; one assignment and one move of the entries a round. Sums of doubles that hold whole numbers."""
+    out = [f"""
+k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM k, (SELECT unnest(range({parts})) AS part)),
+s AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS entry, v FROM (SELECT vec_id, min(v) AS v FROM k GROUP BY vec_id) ORDER BY vec_id LIMIT {entries}),
+b0 AS MATERIALIZED (SELECT part, entry, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS c FROM s, (SELECT unnest(range({parts})) AS part))"""]
+    for t in range(rounds + 1):
+        out.append(f"""
+d{t} AS MATERIALIZED (SELECT r, part, x, entry, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS dist FROM p JOIN b{t} USING (part)),
+a{t} AS MATERIALIZED (SELECT * FROM d{t} QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY dist, entry) = 1)""")
+        if t < rounds:
+            out.append(f"""
+m{t} AS (SELECT part, entry, place, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS place FROM a{t}) GROUP BY ALL),
+n{t} AS (SELECT part, entry, list((s - ((s % n) + n) % n)::DOUBLE / n ORDER BY place) AS c FROM m{t} GROUP BY ALL),
+b{t + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n{t}.c, b{t}.c) AS c FROM b{t} LEFT JOIN n{t} USING (part, entry))""")
+    return f"""WITH {",".join(out)},
+e AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(c) AS c, unnest(range(len(c))) AS place FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN e USING (r), h"""
+
+
+QUERIES |= {"op13_vector_codes": op13_vector_codes}
+ORACLES |= {"op13_vector_codes": _codes_sql(8, 16, 6, 4096)}
