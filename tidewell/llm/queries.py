@@ -252,3 +252,12 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 QUERIES |= {"op13_vector_codes": op13_vector_codes}
 ORACLES |= {"op13_vector_codes": _codes_sql(8, 16, 6, 4096)}
+
+from .align import align  # noqa: E402
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES |= {"op12_token_alignment": op12_token_alignment}
