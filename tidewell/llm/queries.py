@@ -261,3 +261,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op12_token_alignment": op12_token_alignment}
+
+from .language import identify  # noqa: E402
+
+
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op11_language_id": op11_language_id}
