@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell import functions as fn
 from tidewell.plans.warehouse import DOMAIN, domain
 from tidewell.registry import query
-from tidewell.session import scratch
-from tidewell.streaming import views
+from tidewell.session import scratch, tables
+from tidewell.streaming import stateful, views
 
 _SLA_CHANGED = f"""
 WITH {DOMAIN}, s AS (SELECT store_id, store_code, CASE WHEN store_id % 3 = 1 THEN 'MOVED' ELSE city END AS city FROM store WHERE store_id <> 9),
@@ -60,3 +61,39 @@ def sla_store_hour_maintained(spark, sf_dir):
         stores.write.mode("append").parquet(f"{base}/stores")
         view.run()
     return view.current()
+
+
+_EVENT = "user_id long, event_type string"
+_LATEST = "SELECT user_id, event_type, epoch_us(ts) // 1000 AS ts_ms, event_id AS \"offset\" FROM (SELECT *, event_id % 17 = 0 AS gone FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) = 1) WHERE NOT gone"
+
+
+@query("latest_state_stream", _LATEST)
+def latest_state_stream(spark, sf_dir):
+    """A change log that lands newest first, in three runs and each record twice; the state after the last run is the answer."""
+    (events,) = tables(spark, sf_dir, "events")
+    base, gone = scratch(spark, "latest"), F.col("event_id") % 17 == 0
+    row = F.struct("user_id", "event_type")
+    log = events.select("user_id", fn.millis("ts").alias("ts_ms"), F.col("event_id").alias("offset"), F.when(gone, "d").otherwise("u").alias("op"), F.when(~gone, F.to_json(row)).alias("payload"))
+    ends = log.agg(F.expr("percentile_approx(offset, array(0.67, 0.33))")).first()[0]
+    for low, high in ((ends[0], None), (ends[1], ends[0]), (None, ends[1])):
+        part = log.where((F.lit(True) if low is None else F.col("offset") > low) & (F.lit(True) if high is None else F.col("offset") <= high))
+        part.unionByName(part).write.mode("append").parquet(f"{base}/in")
+        changes = stateful.latest_rows(spark.readStream.schema(log.schema).parquet(f"{base}/in"), "user_id", tombstone_ms=86_400_000)
+        stateful.run_stateful(changes, lambda batch, n: batch.write.format("noop").mode("overwrite").save(), f"{base}/state")
+    live = stateful.state_of(spark, f"{base}/state", "live")
+    return live.select("user_id", F.from_json("payload", _EVENT)["event_type"].alias("event_type"), "ts_ms", "offset")
+
+
+@query("lifecycle_stream", f"""
+WITH {DOMAIN} SELECT order_id, CASE WHEN f.order_id IS NOT NULL THEN 'CLEAN' WHEN c.order_id IS NOT NULL THEN 'CANCELLED' ELSE anomaly_type END AS outcome, CAST(len(string_split(p.path, '>')) AS INTEGER) AS n_events
+FROM paths p LEFT JOIN funnel f USING (order_id) LEFT JOIN cancelled c USING (order_id) LEFT JOIN anomaly a USING (order_id)""")
+def lifecycle_stream(spark, sf_dir):
+    """Order events in three runs, the later statuses of an order before its earlier ones and each of them twice."""
+    base = scratch(spark, "lifecycle")
+    events = domain(spark, sf_dir).events.select("order_id", "event_id", "event_ts", F.col("to_status").alias("status"))
+    for first in (3, 1, 0):
+        part = events.where((F.col("event_id") % 10 >= first) & (F.col("event_id") % 10 < {3: 10, 1: 3, 0: 1}[first]))
+        part.unionByName(part).write.mode("append").parquet(f"{base}/in")
+        out = stateful.lifecycles(spark.readStream.schema(events.schema).parquet(f"{base}/in"), "order_id", ["PLACED", "PACKED", "PICKED_UP", "DELIVERED"], "CANCELLED", wait_ms=3_600_000)
+        stateful.run_stateful(out, lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/state")
+    return stateful.state_of(spark, f"{base}/state", "order").select("order_id", "outcome", "n_events")
