@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +44,11 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        self.states: dict[tuple[int, bytes], int] = {(0, b""): 0}
+        self.known, self.states = 0, {(0, b""): 0}
         self.residual: list[tuple[int, bytes]] = [(0, b"")]
-        #: The lagging side of each state; with nothing dangling the first side goes on.
-        self.lagging = [0]
-        self.next: dict[tuple[int, int], int] = {}
+        #: The lagging side of each state (with nothing dangling the first side goes on), and the state after each token of it.
+        self.lagging: list[int] = [0]
+        self.next: list[dict[int, int]] = [{}]
 
     def _step(self, state: int, token: int) -> int:
         """The state after the lagging side's next token, or -1 if its bytes differ from the residual's."""
@@ -66,29 +65,36 @@ class Transducer:
                 self.states[key] = len(self.residual)
                 self.residual.append(key)
                 self.lagging.append(1 - key[0])
+                self.next.append({})
             to = self.states[key]
-        self.next[state, token] = to
+        self.next[state][token] = to
+        self.known += 1
         return to
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """The ends of the groups in ``a`` and ``b``; None if their bytes differ."""
-        if len(self.next) > self.limit:
+    def groups(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
+        """Where the groups end in ``a`` and in ``b``; None if their bytes differ."""
+        if self.known > self.limit:
             self._clear()
-        at, ends, state, sides = [0, 0], [], 0, (a, b)
-        n, known, lagging = len(a) + len(b), self.next, self.lagging
-        while at[0] + at[1] < n:
-            side = lagging[state]
-            if at[side] == len(sides[side]):
+        ends_a, ends_b, lagging, known, state = [], [], self.lagging, self.next, 0
+        left, right, n, i, j = [*a, -1], [*b, -1], len(a), 0, 0  # a side that is used up yields -1
+        put_a, put_b = ends_a.append, ends_b.append
+        while i < n or state:
+            if lagging[state]:
+                token = right[j]
+                j += 1
+            else:
+                token = left[i]
+                i += 1
+            if token < 0:
                 return None
-            token = sides[side][at[side]]
-            at[side] += 1
-            to = known.get((state, token))
+            to = known[state].get(token)
             state = self._step(state, token) if to is None else to
-            if state == 0:
-                ends.append((at[0], at[1]))
+            if not state:
+                put_a(i)
+                put_b(j)
             elif state < 0:
                 return None
-        return ends if state == 0 else None
+        return (ends_a, ends_b) if j == len(b) else None
 
 
 def _byte_of() -> dict[str, int]:
@@ -117,17 +123,32 @@ class Tokenizers:
         #: No piece goes on over a space, and the byte-level pattern starts a token at a space before anything else.
         self.cuts = b'"ByteLevel"' in spec and b'"use_regex":true' in spec and self.a.normalizer is None and not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def encode(self, stretches: list[str]) -> list[tuple[list[int], list[int]]]:
-        a = self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)
-        return list(zip([x.ids for x in a], self.b.encode(stretches, num_threads=1), strict=True))
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of each text by both, where the joined bytes are those of a space and the text; else two empty lists."""
+        out = []
+        for text, x, b in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
+            a, raw = x.ids, b" " + text.encode()
+            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+            out.append((a, b) if same else ([], []))
+        return out
+
+
+def _plain(stretch: str) -> bool:
+    """Whether the stretch can stand between others: it neither begins nor ends with white space."""
+    return bool(stretch) and not stretch[0].isspace() and not stretch[-1].isspace()
 
 
 class Aligner:
     """Aligned stretches of text, kept until they hold ``limit`` characters."""
 
-    def __init__(self, names: Tokenizers, limit: int = 12 << 20):
+    def __init__(self, names: Tokenizers, limit: int = 24 << 20):
         self.names, self.limit, self.width = names, limit, len(names.b_bytes)
         self.transducer = Transducer(names.a_bytes, names.b_bytes)
+        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (names.a_bytes, names.b_bytes))
+        n = len(names.a_bytes)
+        #: A token with what follows it: an id of the first side, the last one in a group, an id of the second, the last one.
+        self.shown = [f"{k}{mark}" for size, marks in ((n, ",|"), (self.width, ",;")) for mark in marks for k in range(size)]
+        self.shift = np.array([0, n, 2 * n, 2 * n + self.width])
         self._clear()
 
     def _clear(self) -> None:
@@ -136,59 +157,106 @@ class Aligner:
         self.table = np.zeros((0, 5), np.int64)  # the metrics, and whether the bytes are the stretch's
         self.first, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def _one(self, a: list[int], b: list[int], raw: bytes) -> tuple[tuple, str, dict[int, int]]:
-        """Metrics and whether bytes agree, the groups as text, and the linked pairs with how often they are."""
-        ends = self.transducer.groups(a, b)
-        if ends is None or b"".join(map(self.names.a_bytes.__getitem__, a)) != raw:
-            return (0, 0, 0, 0, 0), "", {}
-        shown, pairs, links, i, j = [], Counter(), 0, 0, 0
-        for p, q in ends:
-            x, y = a[i:p], b[j:q]
-            shown.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            links += len(x) * len(y)
-            # a pair as often as its ids meet, without a step for every meeting
-            for s, m in Counter(x).items() if len(x) > 1 else ((x[0], 1),):
-                for t, n in Counter(y).items() if len(y) > 1 else ((y[0], 1),):
-                    pairs[s * self.width + t] += m * n
-            i, j = p, q
-        return (len(a), len(b), len(ends), links, 1), ";".join(shown), pairs
+    def _linked(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, pair, times) of the groups' links, by owner and pair. Of a large group unlike pairs are made alone."""
+        begin_a, begin_b = np.concatenate(([0], ends_a[:-1])), np.concatenate(([0], ends_b[:-1]))
+        n, m = ends_a - begin_a, ends_b - begin_b
+        large = np.flatnonzero(n * m > 4096)
+        small = np.where(n * m > 4096, 0, n * m)
+        g = np.repeat(np.arange(len(n)), small)
+        at = np.arange(len(g)) - np.repeat(np.cumsum(small) - small, small)
+        who = [owner[g]]
+        pair = [a[begin_a[g] + at // m[g]].astype(np.uint64) * np.uint64(self.width) + b[begin_b[g] + at % m[g]].astype(np.uint64)]
+        times = [np.ones(len(g), np.int64)]
+        for k in large:
+            (x, xn), (y, yn) = (np.unique(s[i:j], return_counts=True) for s, i, j in ((a, begin_a[k], ends_a[k]), (b, begin_b[k], ends_b[k])))
+            pair.append((x.astype(np.uint64)[:, None] * np.uint64(self.width) + y.astype(np.uint64)).ravel())
+            times.append((xn[:, None] * yn).ravel())
+            who.append(np.full(len(pair[-1]), owner[k]))
+        who, pair, times = np.concatenate(who), np.concatenate(pair), np.concatenate(times)
+        order = np.lexsort((pair, who))
+        who, pair, times = who[order], pair[order], times[order]
+        first = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (pair[1:] != pair[:-1])))) if len(who) else np.zeros(0, np.int64)
+        return who[first], pair[first], np.add.reduceat(times, first) if len(first) else times
+
+    def align(self, encoded: list[tuple[list[int], list[int]]], sizes: np.ndarray):
+        """Metrics, shown groups, and (owner, pair, times) of stretches of so many bytes, given the token streams that cover them in turn."""
+        a, b = [t for x, _ in encoded for t in x], [t for _, y in encoded for t in y]
+        found = self.transducer.groups(a, b)
+        assert found is not None, "streams of equal bytes"
+        a, b, ends_a, ends_b = (np.array(x, np.int64) for x in (a, b, *found))
+        # all stretches end where groups end
+        upto_a, upto_b = np.searchsorted(np.cumsum(self.a_size[a]), np.cumsum(sizes)) + 1, np.searchsorted(np.cumsum(self.b_size[b]), np.cumsum(sizes)) + 1
+        upto = np.searchsorted(ends_a, upto_a) + 1
+        n_groups = np.diff(upto, prepend=0)
+        owner = np.repeat(np.arange(len(sizes)), n_groups)
+        links = np.diff(ends_a, prepend=0) * np.diff(ends_b, prepend=0)
+        rows = np.stack((np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0), n_groups, np.bincount(owner, weights=links, minlength=len(sizes)).astype(np.int64), np.ones(len(sizes), np.int64)), axis=1)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[ends_a - 1], last_b[ends_b - 1] = 1, 1
+        codes = np.empty(len(a) + len(b), np.int64)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        codes[np.arange(len(a)) + np.concatenate(([0], ends_b))[group_a]] = a + self.shift[last_a]
+        codes[np.arange(len(b)) + ends_a[group_b]] = b + self.shift[2 + last_b]
+        tokens, bounds = [self.shown[c] for c in codes.tolist()], np.concatenate(([0], upto_a + upto_b)).tolist()
+        return rows, ["".join(tokens[i:j])[:-1] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], self._linked(a, b, ends_a, ends_b, owner)
 
     def learn(self, stretches: list[str]) -> None:
-        rows, pairs, times, sizes = [], [], [], []
-        for s, (a, b) in zip(stretches, self.names.encode(stretches), strict=True):
-            row, shown, linked = self._one(a, b, b" " + s.encode())
-            self.place[s] = len(self.text)
-            self.text.append(shown)
-            rows.append(row)
-            pairs += linked.keys()
-            times += linked.values()
-            sizes.append(len(linked))
-            self.chars += len(s) + len(shown)
-        self.table = np.concatenate((self.table, np.array(rows, np.int64).reshape(-1, 5)))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int64)))
-        self.pairs = np.concatenate((self.pairs, np.array(pairs, np.uint64)))
-        self.times = np.concatenate((self.times, np.array(times, np.int64)))
-
-    def whole(self, text: str) -> tuple[tuple, str, np.ndarray, np.ndarray]:
-        """A text some stretch of which does not come back as it was: both joined streams decide."""
-        a, b = self.names.encode([text])[0]
-        row, shown, linked = self._one(a, b, b" " + text.encode())
-        pairs, times = np.array(list(linked.keys()), np.uint64), np.array(list(linked.values()), np.int64)
-        order = np.argsort(pairs)
-        return row[:4], shown, pairs[order], times[order]
+        """Stretches that can stand between others are tokenised together, as one text of them all."""
+        runs, size = [[]], 0
+        for s in stretches:
+            if not _plain(s) or not self.names.cuts:
+                runs.insert(0, [s])
+                continue
+            runs[-1].append(s)
+            size += len(s)
+            if size > 8192:
+                runs.append([])
+                size = 0
+        runs = [r for r in runs if r]
+        encoded = self.names.encode([" ".join(r) for r in runs])
+        for k, (run, ids) in enumerate(zip(runs, encoded, strict=True)):
+            if len(run) > 1 and not ids[0]:  # one of them does not come back as it was: each by itself
+                runs[k], encoded[k] = [], ([], [])
+                runs += [[s] for s in run]
+                encoded += self.names.encode(run)
+        good = [k for k, ids in enumerate(encoded) if ids[0]]
+        for s in (s for k, run in enumerate(runs) if run and not encoded[k][0] for s in run):
+            self._keep([s], np.zeros((1, 5), np.int64), [""], (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        if good:
+            known = [s for k in good for s in runs[k]]
+            sizes = np.array([1 + (len(s) if s.isascii() else len(s.encode())) for s in known], np.int64)
+            self._keep(known, *self.align([encoded[k] for k in good], sizes))
+
+    def _keep(self, stretches: list[str], rows: np.ndarray, shown: list[str], linked: tuple) -> None:
+        self.place.update(zip(stretches, range(len(self.text), len(self.text) + len(stretches)), strict=True))
+        self.text += shown
+        self.chars += sum(map(len, stretches)) + sum(map(len, shown))
+        owner, pairs, times = linked
+        self.table = np.concatenate((self.table, rows))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.bincount(owner, minlength=len(stretches)))))
+        self.pairs, self.times = np.concatenate((self.pairs, pairs)), np.concatenate((self.times, times))
+
+    def _whole(self, text: str) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
+        """A text some stretch of which does not come back as it was: its joined streams decide."""
+        ids = self.names.encode([text])[0]
+        if not ids[0]:
+            return np.zeros(4, np.int64), "", np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        rows, shown, (_, pairs, times) = self.align([ids], np.array([1 + len(text.encode())]))
+        return rows[0, :4], shown[0], pairs, times
 
     def texts(self, texts: list[str]):
         """(metrics, hash of the groups, distinct pairs, their links) of each text."""
         split = [_CUT.split(t) if self.names.cuts else [t] for t in texts]
         if self.chars > self.limit:
             self._clear()
-        fresh = list(dict.fromkeys(s for t in split for s in t if s not in self.place))
-        for k in range(0, len(fresh), 20000):
-            self.learn(fresh[k : k + 20000])
+        fresh = list({s: 0 for t in split for s in t if s and s not in self.place})
+        for k in range(0, len(fresh), 50000):
+            self.learn(fresh[k : k + 50000])
         for text, stretches in zip(texts, split, strict=True):
             at = np.fromiter(map(self.place.__getitem__, stretches), np.int64, len(stretches)) if text else np.zeros(0, np.int64)
             if len(at) and not self.table[at, 4].all():
-                row, shown, pairs, times = self.whole(text)
+                row, shown, pairs, times = self._whole(text)
             else:
                 row, shown = self.table[at, :4].sum(axis=0), ";".join(map(self.text.__getitem__, at.tolist()))
                 used, often = np.unique(at, return_counts=True)
