@@ -8,7 +8,7 @@ from tidewell import functions as fn
 from tidewell.plans.warehouse import DOMAIN, domain
 from tidewell.registry import query
 from tidewell.session import scratch, tables
-from tidewell.streaming import stateful, views
+from tidewell.streaming import lines, progress, stateful, views
 
 _SLA_CHANGED = f"""
 WITH {DOMAIN}, s AS (SELECT store_id, store_code, CASE WHEN store_id % 3 = 1 THEN 'MOVED' ELSE city END AS city FROM store WHERE store_id <> 9),
@@ -97,3 +97,32 @@ def lifecycle_stream(spark, sf_dir):
         out = stateful.lifecycles(spark.readStream.schema(events.schema).parquet(f"{base}/in"), "order_id", ["PLACED", "PACKED", "PICKED_UP", "DELIVERED"], "CANCELLED", wait_ms=3_600_000)
         stateful.run_stateful(out, lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/state")
     return stateful.state_of(spark, f"{base}/state", "order").select("order_id", "outcome", "n_events")
+
+
+@query("channel_lines", "SELECT event_id, event_type FROM events")
+def channel_lines(spark, sf_dir):
+    """Events as lines of files that grow between three runs of a channel; the last run finds nothing new."""
+    (events,) = tables(spark, sf_dir, "events")
+    base = scratch(spark, "lines")
+    for part in (0, 1, None):
+        if part is not None:
+            events.where(F.col("event_id") % 2 == part).select("event_id", "event_type").write.mode("append").json(f"{base}/in")
+        parse = lambda df: df.select("file", "offset", F.from_json("value", "event_id long, event_type string").alias("v")).select("file", "offset", "v.*")
+        lines.take_in(spark, f"{base}/in", "events", f"{base}/out", parse, splitBytes="262144")
+    return spark.read.parquet(f"{base}/out/rows").select("event_id", "event_type")
+
+
+@query("progress_by_route", "SELECT * FROM (SELECT 'at once' AS route, count(*) AS n_rows, CAST(1 AS BIGINT) AS batches, TRUE AS timed FROM events UNION ALL SELECT 'file by file', count(*), 3, TRUE FROM events)")
+def progress_by_route(spark, sf_dir):
+    """The same events by two routes, each batch as the streams themselves report it: all there is at once, and a file a batch."""
+    (events,) = tables(spark, sf_dir, "events")
+    base = scratch(spark, "progress")
+    rows = events.select("event_id", "event_type", "value")
+    rows.withColumn("file", F.col("event_id") % 3).repartition(3, "file").sortWithinPartitions("file").write.partitionBy("file").parquet(f"{base}/in")
+    schema = rows.schema
+    with progress.ProgressLog(spark, f"{base}/progress") as log:
+        for route, most in (("at once", 1000), ("file by file", 1)):
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", most).parquet(f"{base}/in")
+            out = stream.writeStream.queryName(route).format("parquet").option("path", f"{base}/{most}").option("checkpointLocation", f"{base}/state{most}")
+            out.trigger(availableNow=True).start().awaitTermination()
+    return progress.by_route(log.read()).select("route", "n_rows", "batches", ((F.col("least_s") >= 0) & (F.col("most_s") >= F.col("median_s"))).alias("timed"))
