@@ -1,5 +1,7 @@
 """Streams with state: maintained joins, latest states, resumable sources, lag from progress."""
 
+import datetime
+import os
 import random
 from collections import defaultdict
 
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.streaming import views
+from tidewell.streaming import lines, progress, stateful, views
 
 
 @pytest.fixture(scope="session")
@@ -144,3 +146,88 @@ def test_rows_taken_back_that_never_came_are_reported(spark, tmp_path):
     view = _view(spark, str(tmp_path))
     view.run()
     assert [(r.side, r.n) for r in view.inconsistent().collect()] == [("l", -1)]
+
+
+def _land(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def test_latest_rows_in_any_order(spark, tmp_path):
+    log = "k long, ts_ms long, offset long, op string, payload string"
+    runs = [
+        [(1, 10, 0, "u", "a"), (1, 10, 1, "u", "b"), (1, 9, 7, "u", "old"), (2, 20, 0, "d", None), (3, 5, 0, "u", "c"), (None, 1, 1, "u", "no key")],
+        [(2, 15, 9, "u", "late"), (1, 9, 9, "u", "late"), (3, 6, 0, "d", None), (3, 6, 0, "d", None), (4, 1, 0, "u", None)],
+        [(2, 25, 0, "u", "again"), (3, 6, 0, "u", "same place"), (4, 1, 0, "u", "same place")],
+    ]
+    told = []
+    for rows in runs:
+        out = stateful.latest_rows(_land(spark, f"{tmp_path}/in", rows, log), "k", 3_600_000)
+        stateful.run_stateful(out, lambda b, n: told.append(sorted((r.k, r.ts_ms, r.op, r.payload) for r in b.collect())), f"{tmp_path}/state")
+    assert told == [[(1, 10, "u", "b"), (2, 20, "d", None), (3, 5, "u", "c")], [(3, 6, "d", None), (4, 1, "u", None)], [(2, 25, "u", "again")]]
+    live = stateful.state_of(spark, f"{tmp_path}/state", "live")
+    assert sorted((r.k, r.ts_ms, r.payload or "") for r in live.collect()) == [(1, 10, "b"), (2, 25, "again"), (4, 1, "")]
+    assert [r.k for r in stateful.state_of(spark, f"{tmp_path}/state", "gone").collect()] == [3]
+
+
+def test_lifecycles_wait_for_what_may_come_late(spark, tmp_path):
+    steps, schema, t = ["PLACED", "PACKED", "PICKED_UP", "DELIVERED"], "order_id long, event_id long, event_ts timestamp, status string", datetime.datetime(2026, 1, 1)
+    row = lambda o, k, s, m=None: (o, o * 10 + k, t + datetime.timedelta(minutes=k if m is None else m), s)
+    runs = [
+        [row(1, 3, "DELIVERED"), row(1, 0, "PLACED"), row(2, 0, "PLACED"), row(2, 1, "CANCELLED"), row(4, 0, "PLACED"), row(4, 1, "PACKED")],
+        [row(1, 1, "PACKED"), row(1, 2, "PICKED_UP"), row(1, 2, "PICKED_UP"), row(3, 0, "PLACED"), row(3, 1, "PACKED", 9), row(3, 2, "PICKED_UP"), row(3, 3, "DELIVERED")],
+        [row(4, 2, "PICKED_UP"), row(4, 3, "DELIVERED"), row(5, 1, "PACKED")],
+    ]
+    told = []
+    for rows in runs:
+        out = stateful.lifecycles(_land(spark, f"{tmp_path}/in", rows, schema), "order_id", steps, "CANCELLED", 1)
+        stateful.run_stateful(out, lambda b, n: told.append(sorted((r.order_id, r.outcome, r.overdue) for r in b.collect())), f"{tmp_path}/state")
+    assert told[0] == [(1, "MISSING_PACKED", False), (2, "CANCELLED", False), (4, "MISSING_PICKED_UP", False)]
+    assert (4, "MISSING_PICKED_UP", True) in told[1] and (1, "CLEAN", False) in told[1] and (3, "OUT_OF_ORDER", False) in told[1]
+    assert told[2] == [(4, "CLEAN", False), (5, "MISSING_PICKED_UP", False)]
+    end = stateful.state_of(spark, f"{tmp_path}/state", "order")
+    assert {r.order_id: (r.outcome, r.n_events, r.expected) for r in end.collect()} == {1: ("CLEAN", 4, None), 2: ("CANCELLED", 2, "PACKED"), 3: ("OUT_OF_ORDER", 4, None), 4: ("CLEAN", 4, None), 5: ("MISSING_PICKED_UP", 1, "PLACED")}
+
+
+def test_lines_resume_where_they_stopped(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/in")
+    put = lambda name, text: open(f"{tmp_path}/in/{name}", "a").write(text)  # noqa: E731, SIM115
+    body = [f"{k} é" + "x" * (k % 23) for k in range(200)]
+    put("a.json", "\n".join(body[:150]) + "\n" + body[150][:2])  # the last line isn't whole yet
+    put("b.json", "")
+    put("c.txt", "not of this source\n")
+    args = (spark, f"{tmp_path}/in", "chan", f"{tmp_path}/out")
+    got = lambda: sorted(spark.read.parquet(f"{tmp_path}/out/rows").select("value").toPandas()["value"])
+    lines.take_in(*args, splitBytes="37")
+    assert got() == sorted(body[:150])
+    put("a.json", body[150][2:] + "\n" + "\n".join(body[151:]) + "\n")
+    put("b.json", "\nlast\n")
+    failed = []
+
+    def broken(batch):
+        failed.append(batch.count())
+        raise RuntimeError("stopped in the middle")
+
+    with pytest.raises(Exception, match="stopped in the middle"):
+        lines.take_in(*args, broken, splitBytes="37")
+    assert failed == [52] and got() == sorted(body[:150])
+    for _ in range(2):  # goes on, then has nothing to do
+        lines.take_in(*args, splitBytes="1000")
+        assert got() == sorted([*body, "", "last"])
+    rows = spark.read.parquet(f"{tmp_path}/out/rows")
+    raw = open(f"{tmp_path}/in/a.json", "rb").read()  # noqa: SIM115
+    assert all(raw[r.offset :].startswith(r.value.encode()) for r in rows.where("file = 'a.json'").collect())
+    assert rows.where("channel <> 'chan' or load_ts is null").count() == 0
+    assert {(r.file, r.bytes, r.n_rows) for r in lines.status(spark, f"{tmp_path}/out", f"{tmp_path}/in").collect()} == {("a.json", len(raw), 200), ("b.json", 6, 2)}
+    assert lines.status(spark, f"{tmp_path}/none", "").count() == 0
+
+
+def test_progress_is_kept_by_route(spark, tmp_path):
+    with progress.ProgressLog(spark, f"{tmp_path}/log") as log:
+        for run in range(2):
+            _land(spark, f"{tmp_path}/in", [(run, k) for k in range(5)], "run int, k int")
+            stream = spark.readStream.schema("run int, k int").parquet(f"{tmp_path}/in")
+            stream.writeStream.queryName("route").format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    found = progress.by_route(log.read()).collect()
+    assert [(r.route, r.n_rows, r.batches) for r in found] == [("route", 10, 2)] and 0 < found[0].least_s <= found[0].most_s
+    assert log.read().where("n_rows > 0").select("batch").distinct().count() == 2
