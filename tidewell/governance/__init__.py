@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell.governance import lineage
 
 
 @dataclass(frozen=True)
@@ -72,30 +73,101 @@ def cost_by_tag(log: DataFrame, tag: str, units: str) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("part", "queries", "units", F.round(F.lit(100.0) * F.col("units") / F.col("__all"), 2).alias("pct"))
 
 
+Mask = Callable[[Column | str, str], Column]
+
+
+def clear(mask: Mask, role: str) -> bool:
+    """Whether the mask hands a role the value as it is."""
+    return str(mask(F.col("x"), role)) == str(F.col("x"))
+
+
+def shut(masks: list[Mask]) -> Mask:
+    """Null, but for roles that every one of ``masks`` is clear to (with none, for the owner)."""
+    return lambda c, role: fn.col(c) if (all(clear(m, role) for m in masks) if masks else role == "owner") else F.lit(None)
+
+
 class Catalog:
-    """Tables with their policies. A derived table names its parents and inherits the masks of the
-    columns it takes over; without a row policy of its own it stays denied."""
+    """Tables with their policies.
+
+    A derived table names its parents. Its columns are followed to theirs through the plan, whatever they are called
+    now: one that is a parent's column, or a value chosen from it, keeps that mask; one that is made of masked columns is
+    shut to whom any of them is masked, and so is one whose origin can't be told. It has the rows of its parents'
+    policies where their key columns are still there, else, without a policy of its own, none.
+    """
 
     def __init__(self) -> None:
-        self._tables: dict[str, tuple[DataFrame, Policy]] = {}
+        self._tables: dict[str, tuple[DataFrame, Policy, list[Policy]]] = {}
+        self._masks: dict[tuple[str, str], Mask] = {}
+        self._known: dict[int, tuple[str, str]] = {}
         self.reads: list[tuple[str, str, tuple[str, ...]]] = []
+        self._noted: list[tuple[str, str, str]] = []
 
     def put(self, name: str, df: DataFrame, policy: Policy = DENY, parents: tuple[str, ...] = ()) -> None:
-        masks = dict(policy.masks)
-        for p in parents:
-            masks = {c: m for c, m in self._tables[p][1].masks.items() if c in df.columns} | masks
-        self._tables[name] = (df, Policy(policy.rows, masks, policy.by))
+        masks, rows = dict(policy.masks), [policy] if policy.rows or not parents else []
+        if parents:
+            found = dict(zip(df.columns, lineage.origins(df, self._known), strict=True))
+            for c, origin in found.items():
+                mask = self._inherited(origin)
+                if mask and c not in masks:
+                    masks[c] = mask
+            for p in parents if not rows else ():
+                rows += [self._carried(p, one, found) for one in self._tables[p][2]]
+        else:
+            # a table that has no parents is what its columns come from
+            self._known |= {lineage._id(a): (name, a.name()) for a in lineage._seq(df._jdf.queryExecution().analyzed().output())}
+        self._masks |= {(name, c): m for c, m in masks.items()}
+        self._tables[name] = (df, Policy(policy.rows, masks, policy.by), rows)
+
+    def _inherited(self, origin: lineage.Origin) -> Mask | None:
+        masks = list({id(self._masks[c]): self._masks[c] for c in origin.columns if c in self._masks}.values())
+        if lineage.UNKNOWN in origin.columns:
+            return shut(masks)
+        if not masks:
+            return None
+        return self._masks[origin.same] if origin.same in self._masks else shut(masks)
+
+    def _carried(self, parent: str, policy: Policy, found: dict[str, lineage.Origin]) -> Policy:
+        """A parent's row policy under its key's new name; DENY if the key is no longer there."""
+        if policy.rows is None:
+            return DENY
+        key, rights = policy.rows
+        base = {(parent, key)} | {o.same for c, o in self._own(parent).items() if c == key}
+        now = next((c for c, o in found.items() if o.same in base), None)
+        return DENY if now is None else Policy(rows=(now, rights.withColumnRenamed(key, now)), by=policy.by)
+
+    def _own(self, name: str) -> dict[str, lineage.Origin]:
+        df = self._tables[name][0]
+        return dict(zip(df.columns, lineage.origins(df, self._known), strict=True))
 
     def clone(self, name: str, new: str) -> None:
         self._tables[new] = self._tables[name]
+        self._masks |= {(new, c): m for c, m in self._tables[name][1].masks.items()}
+
+    def build(self, name: str, reader: str = "") -> DataFrame:
+        """The table as it is, its columns marked, for building others from it."""
+        df = self._tables[name][0]
+        mark = lambda c: {**(df.schema[c].metadata or {}), lineage.MARK: [name, c, *([reader] if reader else [])]}
+        return df.select(*[F.col(f"`{c}`").alias(c, metadata=mark(c)) for c in df.columns])
 
     def read(self, name: str, who: Principal) -> DataFrame:
-        df, policy = self._tables[name]
+        df, policy, rows = self._tables[name]
         self.reads.append((who.user or who.role, name, tuple(df.columns)))
-        return governed(df, policy, who)
+        out = self.build(name, who.user or who.role)
+        for one in rows:
+            out = governed(out, Policy(one.rows, {}, one.by), who)
+        return out.withColumns({c: mask(c, who.role) for c, mask in policy.masks.items()}) if policy.masks else out
+
+    def watch(self, spark: SparkSession) -> lineage.ReadListener:
+        """While this is entered, each query that runs is noted with the columns it reads of tables from :meth:`read`."""
+        return lineage.ReadListener(spark, lambda marks: self._noted.extend((m[2], m[0], m[1]) for m in sorted(marks) if len(m) == 3))
+
+    def column_reads(self, spark: SparkSession) -> DataFrame:
+        """Queries by reader, table and column, of those that ran while they were watched."""
+        log = spark.createDataFrame(self._noted, "reader string, table_name string, column_name string")
+        return log.groupBy("reader", "table_name", "column_name").agg(F.count(F.lit(1)).alias("reads"))
 
     def lineage(self, spark: SparkSession) -> DataFrame:
-        """The read log by reader, table and column."""
+        """What was handed out, by reader, table and column, whether or not a query used it."""
         rows = [(who, table, list(columns)) for who, table, columns in self.reads]
         log = spark.createDataFrame(rows, "reader string, table_name string, columns array<string>")
         return log.select("reader", "table_name", F.explode("columns").alias("column_name")).groupBy("reader", "table_name", "column_name").agg(F.count(F.lit(1)).alias("reads"))

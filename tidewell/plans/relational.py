@@ -288,6 +288,34 @@ def column_lineage(spark, sf_dir):
     return catalog.lineage(spark)
 
 
+@query("derived_policies", """
+WITH r AS (SELECT n_nationkey AS home FROM nation WHERE n_regionkey = 1)
+SELECT c_nationkey AS home, left(max(c_name), 1) || repeat('*', length(max(c_name))::INTEGER - 1) AS last_name, CAST(count(*) AS BIGINT) AS people, CAST(NULL AS VARCHAR) AS both FROM customer WHERE c_nationkey IN (SELECT home FROM r) GROUP BY 1""")
+def derived_policies(spark, sf_dir):
+    """A report built on a protected table, its columns renamed: rows by the parent's policy, a chosen name masked as names are, a combination shut."""
+    customer, nation = tables(spark, sf_dir, "customer", "nation")
+    rights = nation.where("n_regionkey = 1").select(F.lit("analyst").alias("role"), F.col("n_nationkey").alias("c_nationkey"))
+    catalog = Catalog()
+    catalog.put("customer", customer, Policy(rows=("c_nationkey", rights), masks={"c_name": fn.mask_name, "c_mktsegment": fn.mask_name}))
+    base = catalog.build("customer").select(F.col("c_nationkey").alias("home"), F.col("c_name").alias("person"), F.concat("c_name", "c_mktsegment").alias("pair"))
+    catalog.put("report", base.groupBy("home").agg(F.max("person").alias("last_name"), F.count(F.lit(1)).alias("people"), F.max("pair").alias("both")), parents=("customer",))
+    return catalog.read("report", Principal(role="analyst"))
+
+
+@query("column_reads", "SELECT 'ann' AS reader, 'customer' AS table_name, c AS column_name, CAST(n AS BIGINT) AS reads FROM (VALUES ('c_custkey', 1), ('c_acctbal', 1), ('c_mktsegment', 1), ('c_nationkey', 2)) v(c, n) WHERE (SELECT count(*) FROM customer) > 0")
+def column_reads(spark, sf_dir):
+    """Columns that two queries really read, of filters, groups and row policies too, as the executed plans tell."""
+    customer, nation = tables(spark, sf_dir, "customer", "nation")
+    rights = nation.select(F.lit("analyst").alias("role"), F.col("n_nationkey").alias("c_nationkey"))
+    catalog = Catalog()
+    catalog.put("customer", customer, Policy(rows=("c_nationkey", rights), masks={"c_name": fn.mask_name}))
+    with catalog.watch(spark):
+        seen = catalog.read("customer", Principal(role="analyst", user="ann"))
+        seen.where("c_acctbal > 0").select("c_custkey").write.format("noop").mode("overwrite").save()
+        seen.groupBy("c_mktsegment").count().write.format("noop").mode("overwrite").save()
+    return catalog.column_reads(spark)
+
+
 @query("weather_flatten", """
 WITH w AS (SELECT n_nationkey AS place, range(0, 4) AS h FROM nation) SELECT place, CAST(unnest(h) AS BIGINT) AS at, (place * 10 + unnest(h)) / 2.0::DOUBLE AS temperature, CAST(unnest(h) % 2 AS BIGINT) AS rain FROM w""")
 def weather_flatten(spark, sf_dir):
