@@ -28,12 +28,12 @@ def conform_cdc(log: DataFrame, key: str) -> DataFrame:
     return dedupe_latest(keyed, ["__k"], [F.desc("ts_ms"), F.desc("offset")]).where("after is not null and op <> 'd'").select("after.*", "ts_ms", "op")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, ts: str, right_ts: str, by: list[str], values: list[str], how: str = "left", salt_seconds: int | None = None) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, ts: str, right_ts: str, by: list[str], values: list[str], how: str = "left") -> DataFrame:
     """Each left row with the values of the latest right row at or before it, in its group.
 
     One shuffle: both sides are stacked and the last right row is carried forward. With no group
     (``by`` empty) the stack is range partitioned by time, so that no task gets all rows, and each
-    part begins with the last right row of those before it.
+    part begins with the last right row of those before it. Groups that may be large: ``timed.as_of_sliced``.
     """
     if not by:
         return _as_of_keyless(left, right, ts, right_ts, values, how)

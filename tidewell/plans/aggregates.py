@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell import functions as fn
 from tidewell import ml
 from tidewell import operators as op
+from tidewell.operators import timed
 from tidewell.registry import query
 from tidewell.session import tables
 
@@ -42,14 +43,15 @@ SELECT flag, median(days)::DOUBLE AS p50, round(quantile_cont(days, 0.9), 6) AS
 def leg_percentiles(spark, sf_dir):
     orders, line = tables(spark, sf_dir, "orders", "lineitem")
     x = line.join(orders, line.l_orderkey == orders.o_orderkey).select(F.col("l_returnflag").alias("flag"), F.datediff("l_shipdate", "o_orderdate").cast("long").alias("days"))
-    return x.groupBy("flag").agg(F.median("days").alias("p50"), F.round(F.expr("percentile_cont(0.9) within group (order by days)"), 6).alias("p90"), F.min("days").alias("least"), F.max("days").alias("most"), F.round(F.avg("days"), 6).alias("mean"))
+    also = {"least": F.min("days").cast("long"), "most": F.max("days").cast("long"), "mean": F.sum(F.col("days") * F.col("n")) / F.sum("n")}
+    return timed.exact_quantiles(x, ["flag"], "days", {"p50": 0.5, "p90": 0.9}, also).select("flag", "p50", F.round("p90", 6).alias("p90"), "least", "most", F.round("mean", 6).alias("mean"))
 
 
 @query("trailing_load_1h", """
 SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000) RANGE BETWEEN 3600000 PRECEDING AND 1 PRECEDING) AS BIGINT) AS load FROM events""")
 def trailing_load_1h(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
-    return events.select("event_id", op.trailing_count(events, ["user_id"], "ts", 3_600_000).alias("load"))
+    return timed.trailing_counts(events.select("event_id", "user_id", "ts"), ["user_id"], "ts", 3_600_000, "load").select("event_id", "load")
 
 
 @query("correlation", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS c_price, round(corr(l_quantity, l_discount), 6) AS c_discount FROM lineitem")

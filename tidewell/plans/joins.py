@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import functions as fn
 from tidewell import operators as op
+from tidewell.operators import timed
 from tidewell.registry import query
 from tidewell.session import tables
 
@@ -17,7 +18,7 @@ SELECT l.event_id, l.user_id, r.rate FROM l ASOF LEFT JOIN r ON l.user_id = r.us
 def asof_price(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
     right = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("rts"), fn.cents("value").alias("rate"))
-    return op.as_of_join(events.select("event_id", "user_id", "ts"), right, "ts", "rts", ["user_id"], ["rate"]).select("event_id", "user_id", "rate")
+    return timed.as_of_sliced(events.select("event_id", "user_id", "ts"), right, "ts", "rts", ["user_id"], ["rate"]).select("event_id", "user_id", "rate")
 
 
 @query("asof_daily_rate", """
@@ -98,9 +99,8 @@ def interval_overlap(spark, sf_dir):
     (line,) = tables(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
     i = line.select("l_orderkey", F.col("l_shipdate").alias("a"), (F.col("l_shipdate") + F.expr("interval 10 days")).alias("b"), F.row_number().over(w).alias("i"))
-    x, y = i.alias("x"), i.alias("y")
-    on = (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("x.i") < F.col("y.i")) & (F.col("x.a") < F.col("y.b")) & (F.col("x.b") > F.col("y.a"))
-    return x.join(y, on).groupBy(F.col("x.l_orderkey").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("n_overlaps"))
+    other = i.toDF("k", "c", "d", "j")
+    return timed.interval_join(i, other, [("l_orderkey", "k")], ("a", "b"), ("c", "d")).where("i < j").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_overlaps"))
 
 
 @query("containment_join", "SELECT CAST(b.item_id AS BIGINT) AS item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell import functions as fn
 from tidewell import ml
 from tidewell import operators as op
+from tidewell.operators import timed
 from tidewell.governance import Catalog, Policy, Principal, bind_tags, cost_by_tag, governed, tagged
 from tidewell.plans.aggregates import global_rank
 from tidewell.registry import query
@@ -33,11 +34,13 @@ def cutoff_cross_join(spark, sf_dir):
 @query("interval_self_join", """
 SELECT a.event_id, CAST(count(b.event_id) AS BIGINT) AS load FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 6 HOUR GROUP BY 1""")
 def interval_self_join(spark, sf_dir):
-    """The hours before a row, by joining back; keyed, so it shuffles by the key alone."""
+    """The hours before a row, by joining back: each row's window against the others' instants, in bins."""
     (events,) = tables(spark, sf_dir, "events")
     a, b = events.select("event_id", "user_id", "ts"), events.select(F.col("event_id").alias("e"), F.col("user_id").alias("u"), F.col("ts").alias("t"))
-    on = (F.col("u") == F.col("user_id")) & (F.col("t") < F.col("ts")) & (F.col("t") >= F.col("ts") - F.expr("interval 6 hours"))
-    return a.join(b, on, "left").groupBy("event_id").agg(F.count("e").alias("load"))
+    window = a.withColumn("since", F.col("ts") - F.expr("interval 6 hours"))
+    pairs = timed.interval_join(window, b.withColumn("end", F.col("t") + F.expr("interval 1 microsecond")), [("user_id", "u")], ("since", "ts"), ("t", "end"))
+    found = pairs.groupBy(F.col("event_id").alias("id")).agg(F.count(F.lit(1)).alias("load"))
+    return a.join(found, F.col("event_id") == F.col("id"), "left").select("event_id", F.coalesce("load", F.lit(0)).alias("load"))
 
 
 @query("seen_flag_join", "WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p.l_partkey IS NOT NULL AS seen FROM lineitem LEFT JOIN p USING (l_partkey, l_suppkey)")
