@@ -124,6 +124,25 @@ PAGES = {
 }
 
 
+_S = lambda n, w: " ".join(f"{w}{k} sentence number {k} of the text." for k in range(n))
+E, G, H = _S(9, "a"), _S(8, "b"), _S(7, "c")
+#: Names that mislead in pages with an article or main element: the text overrules them.
+PAGES |= {
+    "no-sidebar in main": (f"<nav><a href=1>n</a></nav><main><h1>T</h1><div class='content no-sidebar'><p>{E}</p><p>{G}</p></div></main><footer>f</footer>", ["T", E, G]),
+    "post social": (f"<article><div class='post social'><p>{E}</p><p>{G}</p></div></article><footer>x</footer>", [E, G]),
+    "social-share": (f"<article><header><h1>T</h1></header><div class='body-with-social-share'><p>{E}</p><p>{G}</p></div></article>", ["T", E, G]),
+    "form in main": (f"<main><form id='aspnetForm'><p>{E}</p><p>{G}</p></form></main>", [E, G]),
+    "ad-free in main": (f"<main><section class='ad-free'><p>{E}</p><p>{G}</p></section></main>", [E, G]),
+    "related-work": (f"<article><h1>T</h1><p>{E}</p><section class='related-work'><h2>Related</h2><p>{G}</p><p>{H}</p></section></article>", ["T", E, "Related", G, H]),
+    "parts of an article that are none of it": (
+        f"<article><h1>T</h1><p>{E}</p><div class='ad'>Buy this now, it is cheap</div><p>{G}</p><div class='related'><ul><li><a href=1>{_S(2, 'r')}</a><li><a href=2>{_S(2, 'q')}</a></ul></div><div class='comments'><p>{H}</p><p>{H}</p></div></article>",
+        ["T", E, G],
+    ),
+    "sidebar in the page's name": (f"<div class='page with-sidebar'><article><p>{E}</p><p>{G}</p></article><div class='sidebar'><p>{_S(1, 'x')}</p></div></div>", [E, G]),
+    "sidebar longer than the article": (f"<article><h1>T</h1><p>short one here.</p></article><div class='sidebar'><p>{E}</p><p>{G}</p></div>", ["T", "short one here."]),
+}
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_html(name):
     page, want = PAGES[name]

@@ -161,6 +161,8 @@ def vector_codes(
     """
     if entries > 256:
         raise ValueError("a code has two hex digits a part: 256 entries at most")
+    if scale < 1 or scale & (scale - 1):
+        raise ValueError("the scale must be a power of two, as products are then exact")
     prepare(df.sparkSession)
     x = F.col(vec_col).cast("array<double>")
     ok = F.forall(x, lambda e: F.coalesce(F.abs(e) < float("inf"), F.lit(False)))

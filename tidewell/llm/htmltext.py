@@ -8,9 +8,8 @@ composite text density: characters per tag, times a logarithm of the link-adjust
 (C/LC * T/LT) to the base ln(C*LC/nLC + LCb*C/Cb + e). A node's density sum adds its children's
 densities. The maximum-sum node is the anchor; the least density on its path to the body is the
 threshold. From the body down, every subtree that reaches the threshold marks its maximum-sum node
-as content, and headings that lead up to it; what is thinner is left out. Where marks lie in an
-article element the whole of it is content, else the smallest subtree below the body that holds
-them all, so that thin parts between them (references, short paragraphs) stay.
+as content, and headings that lead up to it; what is thinner is left out. The smallest subtree below the
+body that holds all marks is the content, so that thin parts between them (references, short paragraphs) stay.
 """
 
 from __future__ import annotations
@@ -57,8 +56,10 @@ _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: These hold no article, however much text is in them.
 _NEVER = frozenset("nav aside header footer dialog menu".split())
-#: Where the page has no article element, a hinted part is looked into if the plain text outside such parts is under this share of its own; for comments, the second.
+#: A hinted part has nearly all the text if the plain text outside such parts is under this share of its own; for comments, the second.
 OVERRULE = (0.2, 0.02)
+#: So many plain characters in sentences make a part of an article prose, whatever it is called.
+PROSE = 240
 
 
 class Node:
@@ -247,26 +248,57 @@ def _hinted(root: Node) -> list[Node]:
     return out
 
 
+def _plain(n: Node) -> int:
+    return n.chars - n.link_chars
+
+
+def _own(body: Node) -> int:
+    """Plain text of article and main elements, outside hinted parts."""
+    total, todo = 0, body.children()
+    while todo:
+        n = todo.pop()
+        if n.hint:
+            continue
+        if n.tag in ("article", "main"):
+            total += _plain(n) - sum(map(_plain, _hinted(n)))
+        else:
+            todo += n.children()
+    return total
+
+
+def _prose(part: Node) -> bool:
+    """Whether the part reads as text of its own: blocks of plain sentences, of PROSE characters together."""
+    found, todo = 0, [part]
+    while todo:
+        n = todo.pop()
+        inner = [x for x in n.children() if x.tag in _BLOCK]
+        if inner:
+            todo += [x for x in inner if not x.hint]
+        elif _plain(n) >= PROSE // 4 and _plain(n) > 0.7 * n.chars:
+            found += _plain(n)
+    return found >= PROSE
+
+
 def prune(body: Node) -> None:
-    """Drops what is hinted at, but for parts that hold nearly all the text: those are looked into."""
+    """Drops what is hinted at, but for parts that the text overrules: those are looked into.
+
+    A part with nearly all the text is looked into where there is no article or main with text of its own, or inside of one;
+    so is a part that is hinted at by words alone, lies in an article or main, and reads as prose.
+    """
     _count(_walk(body))
-    plain = lambda n: n.chars - n.link_chars
     parts = _hinted(body)
-    outside = plain(body) - sum(map(plain, parts))
-    parts.sort(key=plain)
-    article, todo = False, body.children()
-    while todo and not article:
+    outside, own = _plain(body) - sum(map(_plain, parts)), _own(body)
+    todo = sorted(parts, key=_plain)
+    while todo:
         n = todo.pop()
-        if not n.hint:
-            article = n.tag in ("article", "main") and plain(n) > 0
-            todo += n.children()
-    while parts and not article and parts[-1].tag not in _NEVER and outside < OVERRULE[parts[-1].hint - 1] * plain(parts[-1]):
-        n = parts.pop()
+        inside = any(p.tag in ("article", "main") for p in _path(n)[:-1])
+        nearly_all = outside < OVERRULE[n.hint - 1] * _plain(n) and (not own or inside and n.hint == 1)
+        if n.tag in _NEVER or not (nearly_all or inside and n.hint == 1 and n.tag not in _HINT and _prose(n)):
+            n.drop = True
+            continue
         inner = _hinted(n)
-        outside += plain(n) - sum(map(plain, inner))
-        parts = sorted(parts + inner, key=plain)
-    for n in parts:
-        n.drop = True
+        outside += _plain(n) - sum(map(_plain, inner))
+        todo = sorted(todo + inner, key=_plain)
 
 
 def measure(body: Node) -> list[Node]:
@@ -309,10 +341,6 @@ def content(body: Node) -> list[Node]:
             marks.append(top[id(n)])
         else:
             todo += reversed(n.children())
-    inside = [next((x for x in _path(m) if x.tag in ("article", "main")), None) for m in marks]
-    if any(inside):
-        roots = list({id(x): x for x in inside if x is not None}.values())
-        return _headings(body, nodes, roots)
     root = _path(marks[0])
     for m in marks:
         if m.tag not in ("h1", "h2"):
