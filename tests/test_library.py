@@ -87,7 +87,12 @@ def test_maintained_aggregate_is_folded(spark, tmp_path, monkeypatch):
         assert {tuple(r) for r in run().collect()} == {(k, 10, sum(range(k, 30, 3))) for k in range(3)}
     t = sources.Table(spark, f"{tmp_path}/out")
     assert len(t.state()["parts"]) <= 3
-    assert streaming.refresh(t, lambda: 1 / 0, lambda: spark.range(1)) == "full" and streaming.refresh(t, lambda: spark.range(2), lambda: 1 / 0) == "incremental"
+    def refused():
+        raise streaming.NotIncremental("a policy came")
+
+    assert streaming.refresh(t, refused, lambda: spark.range(1)) == "full: a policy came" and streaming.refresh(t, lambda: spark.range(2), lambda: 1 / 0) == "incremental"
+    with pytest.raises(ZeroDivisionError):  # a broken increment is not a reason to compute in full
+        streaming.refresh(t, lambda: 1 / 0, lambda: spark.range(1))
 
 
 def test_change_stream_moves_on_only_when_consumed(spark, tmp_path):
@@ -193,3 +198,16 @@ def test_gate_and_alert(spark):
     gate(rows.where("passed"))
     at = lambda d: F.lit(datetime.date(2026, 6, d))
     assert {r.check_name for r in alert(rows.withColumn("at", at(1)).unionByName(rows.withColumn("at", at(2)).withColumn("passed", F.col("check_name") != "key")), "at").collect()} == {"key"}
+
+
+def test_matches_do_not_overlap(spark):
+    rows = [(1, k, s) for k, s in enumerate("AAAAABAABAAA")] + [(2, k, s) for k, s in enumerate("ABABABBA")] + [(3, 0, "A")]
+    df = spark.createDataFrame(rows, "g int, k int, s string")
+    starts = lambda pattern: sorted((r.g, r.k, "".join(x.s for x in r.steps)) for r in op.match_strict(df, ["g"], ["k"], "s", list(pattern)).collect())
+    assert starts("AA") == [(1, 0, "AA"), (1, 2, "AA"), (1, 6, "AA"), (1, 9, "AA")]
+    assert starts("ABA") == [(1, 4, "ABA"), (1, 7, "ABA"), (2, 0, "ABA")] and starts("AB") == [(1, 4, "AB"), (1, 7, "AB"), (2, 0, "AB"), (2, 2, "AB"), (2, 4, "AB")]
+
+
+def test_nulls_do_not_count_as_repeats(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,), (None,)], "k int")
+    assert unique(df, "t", "k", "key").first().passed and not unique(df.union(df), "t", "k", "key").first().passed

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.governance import costs
+from tidewell.ml import forecast
 from tidewell.streaming import lines, progress, stateful, views
 
 
@@ -231,3 +233,44 @@ def test_progress_is_kept_by_route(spark, tmp_path):
     found = progress.by_route(log.read()).collect()
     assert [(r.route, r.n_rows, r.batches) for r in found] == [("route", 10, 2)] and 0 < found[0].least_s <= found[0].most_s
     assert log.read().where("n_rows > 0").select("batch").distinct().count() == 2
+
+
+def test_costs_come_from_the_runs(spark):
+    log = costs.CostLog(spark)
+    busy = lambda n: spark.range(0, n, 1, 4).groupBy((F.col("id") % 7).alias("k")).agg(F.sum(F.sqrt("id"))).collect()
+    assert len(log.run("a:one", lambda: busy(3_000_000))) == 7
+    log.run("a:two", lambda: busy(100))
+    log.run("b", lambda: busy(100))
+    with pytest.raises(Exception, match="(?i)divi"):
+        log.run("c:broken", lambda: spark.range(3).select(F.raise_error(F.lit("division"))).collect())
+    log.run("d:nothing", lambda: None)
+    busy(1000)  # not under a tag
+    rows = {r.tag: r for r in log.read().collect()}
+    assert rows["a:one"].executor_ms >= rows["a:two"].executor_ms > 0 and rows["a:one"].shuffle_bytes > 0 and rows["a:one"].stages == 2 and rows["d:nothing"].jobs == 0
+    assert rows["c:broken"].failed_stages >= 1 and rows["b"].failed_stages == 0
+    by = {r.part: (r.queries, r.pct) for r in costs.shares(log.read()).collect()}
+    assert by["a"][0] == 2 and round(sum(p for _, p in by.values()), 2) == 100.0
+    third = spark.createDataFrame([("x", 1, 1), ("y", 1, 1), ("z", 1, 1)], "tag string, executor_ms long, jobs long")
+    assert sorted(r.pct for r in costs.shares(third).collect()) == [33.33, 33.33, 33.34] and sum(r.pct for r in costs.shares(third.withColumn("executor_ms", F.lit(0))).collect()) == 100.0
+    told = costs.idle(log.read()).first()
+    assert 0 <= told.idle_pct <= 100 and told.executor_ms == sum(r.executor_ms for r in rows.values())
+
+
+def test_seasonal_forecast(spark):
+    day = datetime.date(2026, 1, 5)
+    week = [10, 12, 11, 13, 20, 30, 5]
+    rows = [("s", day + datetime.timedelta(days=k), float(week[k % 7] + 0.5 * k)) for k in range(84)]
+    rows[60] = ("s", rows[60][1], 400.0)
+    rows += [("short", day, 4.0), ("short", day + datetime.timedelta(days=3), 2.0)]
+    df = spark.createDataFrame(rows, "name string, day date, n double")
+    full = forecast.daily(df, "name", "day", "n")
+    assert full.where("name = 'short'").count() == 4
+    got = forecast.forecast(full, "name", "day", "n", horizon=9).collect()
+    odd = [r for r in got if r.kind == "anomaly"]
+    assert rows[60][1] in {r.day for r in odd} and all(r.name == "s" and not r.lo <= r.actual <= r.hi for r in odd)
+    clean = spark.createDataFrame(rows[:60], "name string, day date, n double")
+    ahead = sorted((r for r in forecast.forecast(clean, "name", "day", "n", horizon=9).collect() if r.kind == "forecast"), key=lambda r: r.day)
+    assert [r.day for r in ahead] == [day + datetime.timedelta(days=60 + k) for k in range(9)] and all(abs(r.expected - (week[(60 + k) % 7] + 0.5 * (60 + k))) < 1e-6 for k, r in enumerate(ahead))
+    long = sorted((r for r in got if r.kind == "forecast" and r.name == "s"), key=lambda r: r.day)
+    assert all(a.hi - a.lo < b.hi - b.lo for a, b in zip(long, long[1:], strict=False))
+    assert [(r.expected, r.lo) for r in got if r.name == "short"] == [(1.5, None)] * 9

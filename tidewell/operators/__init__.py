@@ -129,14 +129,28 @@ def trailing_count(df: DataFrame, by: list[str], ts: str, millis_back: int) -> C
 
 def match_strict(df: DataFrame, by: list[str], order: list[str], symbol: str, pattern: list[str]) -> DataFrame:
     """Rows that start a run of consecutive rows with these symbols, with ``steps`` (structs of all
-    rows' order columns)."""
+    rows' order columns). Matches don't overlap: the next one begins past the last row of the one before.
+
+    Only a pattern that begins as it ends can overlap itself; its matches are then chosen in turn within each stretch of
+    them that overlap, which is gathered.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
     step = F.struct(*order, symbol)
     df = df.withColumn("__steps", F.array(step, *[F.lead(step, k).over(w) for k in range(1, len(pattern))]))
     ok = F.lit(True)
     for k, s in enumerate(pattern):
         ok = ok & F.coalesce(F.col("__steps")[k][symbol] == s, F.lit(False))
-    return df.where(ok).withColumnRenamed("__steps", "steps")
+    size = len(pattern)
+    if not any(pattern[:k] == pattern[size - k :] for k in range(1, size)):
+        return df.where(ok).withColumnRenamed("__steps", "steps")
+    names = [c for c in df.columns if c != "__steps"]
+    found = df.withColumn("__at", F.row_number().over(w)).where(ok)
+    found = found.withColumn("__new", (F.col("__at") - F.lag("__at", 1, -size).over(w.orderBy("__at")) >= size).cast("int"))
+    found = found.withColumn("__stretch", F.sum("__new").over(w.orderBy("__at")))
+    rows = found.groupBy(*by, "__stretch").agg(F.array_sort(F.collect_list(F.struct("__at", *[c for c in names if c not in by], F.col("__steps").alias("steps")))).alias("__s"))
+    empty = F.filter("__s", lambda r: F.lit(False))
+    taken = F.aggregate("__s", empty, lambda kept, r: F.when((F.size(kept) == 0) | (r["__at"] - F.element_at(kept, -1)["__at"] >= size), F.concat(kept, F.array(r))).otherwise(kept))
+    return rows.select(*by, F.inline(taken)).select(*names, "steps")
 
 
 def match_pattern(df: DataFrame, by: list[str], order: list[str], symbol: str, letters: dict[str, str], pattern: str) -> DataFrame:

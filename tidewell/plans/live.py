@@ -126,3 +126,50 @@ def progress_by_route(spark, sf_dir):
             out = stream.writeStream.queryName(route).format("parquet").option("path", f"{base}/{most}").option("checkpointLocation", f"{base}/state{most}")
             out.trigger(availableNow=True).start().awaitTermination()
     return progress.by_route(log.read()).select("route", "n_rows", "batches", ((F.col("least_s") >= 0) & (F.col("most_s") >= F.col("median_s"))).alias("timed"))
+
+
+@query("cost_of_runs", "SELECT part, CAST(queries AS BIGINT) AS queries, TRUE AS ran, 100.0 AS all_pct, TRUE AS idle_told FROM (VALUES ('serve', 2), ('stage', 1), ('model', 1)) v(part, queries) WHERE (SELECT count(*) FROM lineitem) > 0")
+def cost_of_runs(spark, sf_dir):
+    """Four queries run under tags; executor time by the tags' prefix as the runs' stages report it, and the idle share."""
+    from tidewell.governance import costs
+    from tidewell.plans import aggregates
+
+    line, orders = tables(spark, sf_dir, "lineitem", "orders")
+    log = costs.CostLog(spark)
+    save = lambda df: lambda: df.write.format("noop").mode("overwrite").save()
+    log.run("serve:sla", save(aggregates.sla_by_nation_priority(spark, sf_dir)))
+    log.run("serve:percentiles", save(aggregates.leg_percentiles(spark, sf_dir)))
+    log.run("stage:join", save(line.join(orders, line.l_orderkey == orders.o_orderkey)))
+    log.run("model:correlation", save(aggregates.correlation(spark, sf_dir)))
+    runs = log.read()
+    by, free = costs.shares(runs), costs.idle(runs)
+    total = by.agg(F.round(F.sum("pct"), 2).alias("all_pct"))
+    out = by.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(free))
+    return out.select("part", "queries", ((F.col("jobs") > 0) & (F.col("units") > 0) & F.col("pct").between(0, 100)).alias("ran"), "all_pct", F.col("idle_pct").between(0, 100).alias("idle_told"))
+
+
+_SEASON = """
+WITH RECURSIVE o AS (SELECT c_nationkey AS nation, o_orderdate::DATE AS day, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+e AS (SELECT nation, min(day) AS a, max(day) AS b FROM o GROUP BY 1),
+d AS (SELECT nation, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM e),
+x AS (SELECT d.nation, list(coalesce(n, 0)::DOUBLE ORDER BY d.day) AS x, max(d.day) AS last FROM d LEFT JOIN o ON o.nation = d.nation AND o.day = d.day GROUP BY 1),
+i AS (SELECT *, list_sum(x[1:7]) / 7 AS l0, (list_sum(x[8:14]) / 7 - list_sum(x[1:7]) / 7) / 7 AS b0 FROM x WHERE len(x) >= 14),
+r AS (SELECT nation, 7 AS t, l0 + 3 * b0 AS level, b0 AS trend, list_transform(x[1:7], lambda v, k: v - (l0 + (k - 4) * b0)) AS s, NULL::DOUBLE AS y, NULL::DOUBLE AS err FROM i
+  UNION ALL SELECT nation, t + 1, level + trend + 0.2::DOUBLE * err, trend + 0.2::DOUBLE * 0.1::DOUBLE * err, s[2:7] || [s[1] + 0.1::DOUBLE * err], y, err
+  FROM (SELECT r.nation, r.t, r.level, r.trend, r.s, r.level + r.trend + r.s[1] AS y, i.x[r.t + 1] - (r.level + r.trend + r.s[1]) AS err FROM r JOIN i USING (nation) WHERE r.t < len(i.x))),
+g AS (SELECT nation, sqrt(sum(err * err) / count(err)) AS sigma FROM r GROUP BY 1),
+h AS (SELECT unnest(range(1, 15)) AS h), w AS (SELECT a.h, 1 + coalesce(sum(pow(0.2::DOUBLE * (1 + b.h * 0.1::DOUBLE) + CASE WHEN b.h % 7 = 0 THEN 0.1::DOUBLE ELSE 0 END, 2)), 0) AS grown FROM h a LEFT JOIN h b ON b.h < a.h GROUP BY 1),
+f AS (SELECT i.nation, 'forecast' AS kind, i.last + h::INTEGER AS day, NULL::DOUBLE AS actual, level + h * trend + s[(h - 1) % 7 + 1] AS expected, 1.96::DOUBLE * sigma * sqrt(grown) AS w FROM r JOIN i USING (nation) JOIN g USING (nation), w WHERE r.t = len(i.x)),
+m AS (SELECT i.nation, 'anomaly' AS kind, i.last - (len(i.x) - r.t)::INTEGER AS day, i.x[r.t] AS actual, r.y AS expected, 1.96::DOUBLE * sigma AS w FROM r JOIN i USING (nation) JOIN g USING (nation) WHERE abs(err) > 1.96::DOUBLE * sigma)
+SELECT nation, kind, strftime(day, '%Y-%m-%d') AS day, actual, round(expected, 6) AS expected, round(expected - w, 6) AS lo, round(expected + w, 6) AS hi FROM (SELECT * FROM f UNION ALL SELECT * FROM m)"""
+
+
+@query("seasonal_forecast", _SEASON)
+def seasonal_forecast(spark, sf_dir):
+    """Orders a day by nation: two weeks ahead with intervals, and the days outside the intervals of the day before."""
+    from tidewell.ml import forecast as fc
+
+    orders, customer = tables(spark, sf_dir, "orders", "customer")
+    n = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy(F.col("c_nationkey").alias("nation"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    out = fc.forecast(fc.daily(n, "nation", "day", "n"), "nation", "day", "n")
+    return out.select("nation", "kind", F.date_format("day", "yyyy-MM-dd").alias("day"), "actual", *[F.round(c, 6).alias(c) for c in ("expected", "lo", "hi")])

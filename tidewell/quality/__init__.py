@@ -22,7 +22,8 @@ def not_null(df: DataFrame, target: str, column: str, name: str) -> DataFrame:
 
 
 def unique(df: DataFrame, target: str, column: str, name: str) -> DataFrame:
-    return df.agg(*_row(name, target, F.count(F.lit(1)) - F.countDistinct(column)))
+    """Values that are there more than once; nulls are passed over (pair it with not_null)."""
+    return df.agg(*_row(name, target, F.count(column) - F.countDistinct(column)))
 
 
 def accepted(df: DataFrame, target: str, column: str, values: list, name: str) -> DataFrame:

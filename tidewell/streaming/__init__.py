@@ -49,12 +49,17 @@ def maintain(spark: SparkSession, source: str, schema, keys: list[str], measures
     return folded(table.read())
 
 
+class NotIncremental(ValueError):
+    """Why a view can't be kept by increments."""
+
+
 def refresh(table: Table, incremental: Callable[[], DataFrame], full: Callable[[], DataFrame]) -> str:
-    """The maintained table brought up to date; where the increment can't be had, all of it anew."""
+    """The maintained table brought up to date; in full where the increment says, by NotIncremental, why it can't be had.
+    The reason is kept with the version. Any other error is one, and is raised."""
     try:
         table.replace(incremental(), "incremental")
-    except Exception:
-        table.replace(full(), "full")
+    except NotIncremental as e:
+        table.replace(full(), f"full: {e}")
     return table.state()["action"]
 
 

@@ -22,15 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.streaming import _run
+from tidewell.streaming import NotIncremental, _run
 
 NET_EVERY = 20
 
 
-class NotIncremental(ValueError):
-    """Why a view can't be kept by increments."""
-
-
 @dataclass(frozen=True)
 class Side:
     """An input: the folder its change files (Parquet of before, after) land in, and the columns of a row that the view uses.
