@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import timed
+from tidewell.operators import neighbours, timed
 
 T0 = 1_700_000_000
 
@@ -93,3 +93,32 @@ def test_exact_quantiles(spark):
         want = {g: (*np.quantile(v, list(qs.values())), len(v)) for g, v in groups.items() if v}
         assert set(got) == set(want) and all(np.allclose(got[g], want[g], rtol=0, atol=1e-9) for g in want)
     assert timed.exact_quantiles(df.limit(0), ["g"], "v", qs).count() == 0
+
+
+def _near(x, k):
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    sim = np.round(np.clip(unit @ unit.T, -1, 1), 5)
+    return {(i, j) for i in range(len(x)) for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (-sim[i, j], j))[:k]}
+
+
+@pytest.mark.parametrize("spread", [0.02, 3.0])
+def test_pruned_neighbours_are_all_neighbours(spark, spread):
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (12, 5))[r.integers(0, 12, 500)] + r.normal(0, spread, (500, 5))
+    x[450:] = x[:50]  # ties
+    x[:60] = x[7]  # many alike
+    df = spark.createDataFrame([(i, i % 3, [float(e) for e in v]) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>").repartition(3)
+    for k, rows, pivots in ((3, 32, 20), (1, 500, 1), (5, 7, 40)):
+        assert {(a.vec_id, a.neighbour) for a in neighbours.nearest(df, k, rows, pivots).collect()} == _near(x, k)
+    told = neighbours.pruned(df, 3, 16, 24).first()
+    assert told.blocks > 20 and told.pairs == told.blocks * (told.blocks - 1)
+    assert told.skipped_pct > 60 if spread < 1 else told.met <= told.pairs
+
+
+def test_neighbours_of_odd_rows(spark):
+    schema = "vec_id long, label int, embedding array<double>"
+    rows = [(5, 1, [1.0, 0.0]), (6, 2, [0.9, 0.1]), (7, None, [0.0, 0.0]), (8, 1, None), (9, 1, [1.0]), (4, 2, [1.0, None]), (None, 1, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, schema)
+    got = {(x.vec_id, x.neighbour): x.sim for x in neighbours.nearest(df, 2).collect()}
+    assert got == {(5, 6): 0.99388, (5, 4): None, (6, 5): 0.99388, (6, 4): None, (7, 4): None, (7, 5): None, (8, 4): None, (8, 5): None, (9, 4): None, (9, 5): None, (4, 5): None, (4, 6): None}
+    assert neighbours.nearest(df.limit(0), 2).count() == 0 and neighbours.nearest(spark.createDataFrame(rows[:1], schema), 2).count() == 0

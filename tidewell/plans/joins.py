@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import functions as fn
 from tidewell import operators as op
-from tidewell.operators import timed
+from tidewell.operators import neighbours, timed
 from tidewell.registry import query
 from tidewell.session import tables
 
@@ -133,7 +133,7 @@ WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, ro
 def knn_cosine(spark, sf_dir):
     """Three nearest neighbours of every row among all rows."""
     (emb,) = tables(spark, sf_dir, "embeddings")
-    return op.nearest(emb, 3).select("vec_id", "neighbour", "sim")
+    return neighbours.nearest(emb, 3).select("vec_id", "neighbour", "sim")
 
 
 @query("nn_classifier", _NEAR + """, q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) = 1)
@@ -141,7 +141,7 @@ SELECT CAST(la AS INTEGER) AS label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAS
 def nn_classifier(spark, sf_dir):
     """1-NN by cosine over all rows, leave one out."""
     (emb,) = tables(spark, sf_dir, "embeddings")
-    return op.nearest(emb, 1).groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("neighbour_label")).alias("right_ones"))
+    return neighbours.nearest(emb, 1).groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("neighbour_label")).alias("right_ones"))
 
 
 @query("pair_similarity", _NEAR + "SELECT la = lb AS same_label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round(sim * 100000) AS BIGINT)) AS BIGINT) AS sim_units FROM p WHERE a < b GROUP BY 1")
