@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
+from tidewell import marts
 from tidewell.plans.warehouse import DOMAIN, domain
 from tidewell.registry import query
 from tidewell.session import scratch, tables
@@ -173,3 +174,63 @@ def seasonal_forecast(spark, sf_dir):
     n = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy(F.col("c_nationkey").alias("nation"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     out = fc.forecast(fc.daily(n, "nation", "day", "n"), "nation", "day", "n")
     return out.select("nation", "kind", F.date_format("day", "yyyy-MM-dd").alias("day"), "actual", *[F.round(c, 6).alias(c) for c in ("expected", "lo", "hi")])
+
+
+def _conformed(table: str, rows, key: str, changed: dict, columns: list[str]):
+    """``rows`` through a change log (read, every tenth key changed later, another tenth deleted, all of it delivered twice) and conformed again."""
+    names = [c.split(" ")[0] for c in marts.CONFORMED[table][1].split(", ")]
+    image = lambda new: F.struct(*[new.get(c, F.col(c) if c in rows.columns else F.lit(None)).alias(c) for c in names])
+    none, number = F.lit(None).cast("string"), F.col(key).cast("long")
+    record = lambda df, before, after, op, at: df.select(F.to_json(F.struct(before.alias("before"), after.alias("after"), F.lit(op).alias("op"), F.lit(at).alias("ts_ms"))).alias("payload"), (number + at).alias("offset"))
+    first = record(rows, none, image({}), "r", 0)
+    later = record(rows.where(number % 10 == 4), image({}), image(changed), "u", 1_000_000_000_000)
+    gone = record(rows.where(number % 10 == 3), image({}), none, "d", 2_000_000_000_000)
+    log = gone.unionByName(first).unionByName(later)
+    return marts.conformed(log.unionByName(log), table).select(*columns)
+
+
+_DAY = "%Y-%m-%d"
+
+
+@query("conformed_store", f"WITH {DOMAIN} SELECT CAST(store_id AS INTEGER) AS store_id, store_code, CASE WHEN store_id % 10 = 4 THEN 'MOVED' ELSE city END AS city, lat, is_active, strftime(DATE '2020-01-01' + (store_id % 700)::INTEGER, '{_DAY}') AS opened_on FROM store WHERE store_id % 10 <> 3")
+def conformed_store(spark, sf_dir):
+    rows = domain(spark, sf_dir).stores.withColumn("opened_on", (F.lit(18262) + F.col("store_id") % 700).cast("int"))
+    return _conformed("store", rows, "store_id", {"city": F.lit("MOVED")}, ["store_id", "store_code", "city", "lat", "is_active", F.date_format("opened_on", "yyyy-MM-dd").alias("opened_on")])
+
+
+@query("conformed_customer", f"WITH {DOMAIN} SELECT CAST(customer_id AS INTEGER) AS customer_id, full_name, CASE WHEN customer_id % 10 = 4 THEN NULL ELSE segment END AS segment, home_lat, home_lon FROM customers WHERE customer_id % 10 <> 3")
+def conformed_customer(spark, sf_dir):
+    """A value that becomes null is a change, not a missing one."""
+    return _conformed("customer", domain(spark, sf_dir).customers, "customer_id", {"segment": F.lit(None).cast("string")}, ["customer_id", "full_name", "segment", "home_lat", "home_lon"])
+
+
+@query("conformed_product", "SELECT CAST(p_partkey AS INTEGER) AS product_id, p_name AS name, p_type AS category_l3, CAST(CASE WHEN p_partkey % 10 = 4 THEN 1 ELSE round(p_retailprice * 100) END AS BIGINT) AS price_paise, '1998-01-01 00:00:00' AS updated_at FROM part WHERE p_partkey % 10 <> 3")
+def conformed_product(spark, sf_dir):
+    rows = domain(spark, sf_dir).products.where("valid_from < timestamp_ntz'1990-01-01'").withColumnRenamed("product_name", "name").withColumn("updated_at", F.lit("1998-01-01T00:00:00Z"))
+    return _conformed("product", rows, "product_id", {"price_paise": F.lit(1).cast("long")}, ["product_id", "name", "category_l3", "price_paise", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at")])
+
+
+@query("conformed_rider", f"WITH {DOMAIN} SELECT CAST(rider_id AS INTEGER) AS rider_id, full_name, vehicle_type, CASE WHEN rider_id % 10 = 4 THEN FALSE ELSE is_active END AS is_active FROM rider WHERE rider_id % 10 <> 3")
+def conformed_rider(spark, sf_dir):
+    return _conformed("rider", domain(spark, sf_dir).riders, "rider_id", {"is_active": F.lit(False)}, ["rider_id", "full_name", "vehicle_type", "is_active"])
+
+
+@query("conformed_order_item", """
+WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS order_item_id, any_value(l_orderkey) AS order_id, CAST(max(l_partkey) AS INTEGER) AS product_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS INTEGER) AS qty FROM lineitem GROUP BY 1)
+SELECT order_item_id, order_id, product_id, CASE WHEN order_item_id % 10 = 4 THEN 0 ELSE qty END AS qty FROM i WHERE order_item_id % 10 <> 3""")
+def conformed_order_item(spark, sf_dir):
+    (line,) = tables(spark, sf_dir, "lineitem")
+    rows = line.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"), F.col("l_orderkey").alias("order_id")).agg(F.max("l_partkey").alias("product_id"), F.sum(F.col("l_quantity").cast("long")).alias("qty"))
+    return _conformed("order_item", rows, "order_item_id", {"qty": F.lit(0).cast("long")}, ["order_item_id", "order_id", "product_id", "qty"])
+
+
+@query("conformed_order_status_event", f"WITH {DOMAIN} SELECT event_id::VARCHAR AS event_id, order_id, from_status, to_status, strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS event_ts FROM oe")
+def conformed_order_status_event(spark, sf_dir):
+    """Events delivered at least once: of those with one id the earliest stays; no change log, so nothing is deleted."""
+    from tidewell import operators as op
+
+    events = domain(spark, sf_dir).events
+    late = events.where("event_id % 3 = 0").withColumn("event_ts", F.col("event_ts") + F.expr("interval 5 seconds"))
+    landed = events.unionByName(late).unionByName(events)
+    out = op.dedupe_latest(landed, ["event_id"], [F.asc("event_ts")])
+    return out.select(F.col("event_id").cast("string").alias("event_id"), "order_id", "from_status", "to_status", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("event_ts"))
