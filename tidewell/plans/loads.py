@@ -78,12 +78,15 @@ def table_history(spark, sf_dir):
     return t.history()
 
 
-@query("action_log", "SELECT * FROM (VALUES ('ann', 'order', '7', 'call', 'O''Brien; DROP', 'TEST'), ('bob', 'ticket', '9', 'close', '', 'AUTO')) v(acted_by, subject_type, subject_id, action, note, mode)")
+@query("action_log", """
+SELECT r_name AS acted_by, 'region' AS subject_type, r_regionkey::VARCHAR AS subject_id, CASE WHEN r_regionkey % 2 = 0 THEN 'call' ELSE 'close' END AS action, 'O''Brien; DROP ' || r_name AS note, CASE WHEN r_regionkey % 2 = 0 THEN 'TEST' ELSE 'AUTO' END AS mode FROM region""")
 def action_log(spark, sf_dir):
-    """A write-back log with bound values and a JSON context."""
+    """A write-back log, a row an action on a region, with bound values and a JSON context."""
+    (region,) = tables(spark, sf_dir, "region")
     t = sources.Table(spark, scratch(spark, "actions"))
-    sources.log_action(t, "2026-06-01 10:00:00", acted_by="ann", subject_type="order", subject_id="7", action="call", note="O'Brien; DROP", context='{"mode": "TEST"}')
-    sources.log_action(t, "2026-06-01 10:05:00", acted_by="bob", subject_type="ticket", subject_id="9", action="close", context='{"mode": "AUTO"}')
+    for r in region.orderBy("r_regionkey").collect():  # five
+        even = r.r_regionkey % 2 == 0
+        sources.log_action(t, "2026-06-01 10:00:00", acted_by=r.r_name, subject_type="region", subject_id=str(r.r_regionkey), action="call" if even else "close", note=f"O'Brien; DROP {r.r_name}", context='{"mode": "%s"}' % ("TEST" if even else "AUTO"))
     return t.read().select("acted_by", "subject_type", "subject_id", "action", "note", F.get_json_object("context", "$.mode").alias("mode"))
 
 
@@ -150,23 +153,26 @@ def shared_dataset(spark, sf_dir):
     return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("local_frame", "SELECT * FROM (VALUES ('DS00001', 12.9::DOUBLE, TRUE), ('DS00002', 13.1::DOUBLE, FALSE)) v(store, lat, active)")
+@query("local_frame", "SELECT n_name AS store, n_regionkey + 0.5::DOUBLE AS lat, n_nationkey % 2 = 0 AS active FROM nation")
 def local_frame(spark, sf_dir):
-    """A small local frame as a table, its types from the frame, written anew each time."""
-    import pandas as pd
-
-    t = sources.Table(spark, scratch(spark, "frame"))
-    for lat in (0.0, 13.1):
-        t.replace(spark.createDataFrame(pd.DataFrame({"store": ["DS00001", "DS00002"], "lat": [12.9, lat], "active": [True, False]})))
+    """A small local frame, made of a small table, as a table again, its types from the frame, written anew each time."""
+    (nation,) = tables(spark, sf_dir, "nation")
+    local, t = nation.toPandas(), sources.Table(spark, scratch(spark, "frame"))
+    for shift in (0.0, 0.5):
+        frame = local.assign(store=local["n_name"], lat=local["n_regionkey"] + shift, active=local["n_nationkey"] % 2 == 0)
+        t.replace(spark.createDataFrame(frame[["store", "lat", "active"]]))
     return t.read()
 
 
-@query("typed_seed", "SELECT * FROM (VALUES ('LATE', 'came late', 'delivery', TRUE), ('RUDE', 'a \"rude\", word', 'people', FALSE)) v(reason_code, description, owning_team, is_sla_related)")
+@query("typed_seed", """
+SELECT n_name AS reason_code, 'a "quoted", ' || n_name AS description, r_name AS owning_team, n_nationkey % 2 = 0 AS is_sla_related FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def typed_seed(spark, sf_dir):
-    """A versioned CSV under declared types."""
+    """A versioned CSV under declared types; commas and quotes are inside quotes, doubled."""
+    nation, region = tables(spark, sf_dir, "nation", "region")
     path = scratch(spark, "seed")
-    lines = ["reason_code,description,owning_team,is_sla_related", "LATE,came late,delivery,true", 'RUDE,"a ""rude"", word",people,false']
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    text = F.concat(F.lit('a "quoted", '), "n_name")
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("reason_code"), text.alias("description"), F.col("r_name").alias("owning_team"), (F.col("n_nationkey") % 2 == 0).alias("is_sla_related"))
+    rows.coalesce(1).write.options(header=True, quote='"', escape='"').csv(path)
     return sources.read_seed(spark, path, "complaint_reason_code")
 
 

@@ -91,19 +91,21 @@ def fixed_size_sample(spark, sf_dir):
     return op.sample_rows(orders, 200, ["o_orderkey"], seed=3).select("o_orderkey")
 
 
-@query("row_generator", "SELECT CAST(i AS BIGINT) AS seq, 900000 + i AS order_id, CAST(i % 8 AS INTEGER) AS store, strftime(TIMESTAMP '2026-06-01' + to_minutes(i * 7), '%Y-%m-%d %H:%M') AS placed, [10, 20, 30][i % 3 + 1] AS pick FROM range(1000) t(i)")
+@query("row_generator", "SELECT CAST(i AS BIGINT) AS seq, 900000 + i AS order_id, CAST(i % 8 AS INTEGER) AS store, strftime(TIMESTAMP '2026-06-01' + to_minutes(i * 7), '%Y-%m-%d %H:%M') AS placed, [10, 20, 30][i % 3 + 1] AS pick FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS i)")
 def row_generator(spark, sf_dir):
-    """A backfill of 1000 orders from nothing but a row number."""
+    """A backfill of as many orders as there are, from nothing but a row number."""
+    (orders,) = tables(spark, sf_dir, "orders")
     placed = F.timestamp_add("MINUTE", (F.col("seq") * 7).cast("int"), F.lit("2026-06-01").cast("timestamp_ntz"))
-    r = row_numbers(spark, 1000)
+    r = row_numbers(spark, orders.count())
     return r.select("seq", (F.col("seq") + 900_000).alias("order_id"), (F.col("seq") % 8).cast("int").alias("store"), F.date_format(placed, "yyyy-MM-dd HH:mm").alias("placed"), F.get(F.array(F.lit(10), F.lit(20), F.lit(30)), (F.col("seq") % 3).cast("int")).alias("pick"))
 
 
-@query("seeded_random")
+@query("seeded_random", "SELECT 1 AS least, 6 AS most, TRUE AS centred, count(*) AS n FROM orders")
 def seeded_random(spark, sf_dir):
-    """Uniform and normal draws by seed, in one task each time alike; their range and mean as a check."""
-    r = row_numbers(spark, 10_000, parts=4).select(F.expr("uniform(1, 6, 11)").alias("u"), F.randn(12).alias("g"))
-    return r.agg(F.min("u").alias("least"), F.max("u").alias("most"), (F.abs(F.avg("g")) < 0.1).alias("centred"))
+    """A whole number from 1 to 6 and a normal draw by seed for every order; their range and mean as a check."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    r = orders.select(F.expr("uniform(1, 7, 11)").alias("u"), F.randn(12).alias("g"))
+    return r.agg(F.min("u").alias("least"), F.max("u").alias("most"), (F.abs(F.avg("g")) < 0.1).alias("centred"), F.count(F.lit(1)).alias("n"))
 
 
 @query("date_arithmetic", """

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from tidewell import functions as fn
 from tidewell.registry import query
 from tidewell.session import tables
+from tidewell.sources import spine_of
 
 
 @query("date_dimension", """
 SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, strftime(d, '%Y-%m-%d') AS day, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter,
   CAST(month(d) AS INTEGER) AS month, CAST(day(d) AS INTEGER) AS day_of_month, CAST(week(d) AS INTEGER) AS week, CAST(dayofweek(d) AS INTEGER) AS day_of_week,
   dayofweek(d) IN (0, 6) AS is_weekend
-FROM (SELECT unnest(generate_series(DATE '2026-06-01', DATE '2026-12-30', INTERVAL 1 DAY))::DATE AS d)""")
+FROM (SELECT unnest(generate_series((SELECT min(o_orderdate)::DATE FROM orders), (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY))::DATE AS d)""")
 def date_dimension(spark, sf_dir):
-    d = spark.sql("SELECT explode(sequence(date'2026-06-01', date'2026-12-31' - 1, interval 1 day)) AS d")
+    """The days from the first order to the last."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    d = spine_of(orders, "o_orderdate").withColumnRenamed("day", "d")
     return d.select(
         fn.date_key("d").alias("date_key"), F.date_format("d", "yyyy-MM-dd").alias("day"), F.year("d").alias("year"), F.quarter("d").alias("quarter"), F.month("d").alias("month"),
         F.dayofmonth("d").alias("day_of_month"), F.weekofyear("d").alias("week"), fn.day_of_week("d").alias("day_of_week"), fn.day_of_week("d").isin(0, 6).alias("is_weekend"),

@@ -16,7 +16,7 @@ from tidewell import marts
 from tidewell import operators as op
 from tidewell.registry import query
 from tidewell.session import tables
-from tidewell.sources import date_spine
+from tidewell.sources import spine_of
 
 SPLIT_DAYS = 1500
 
@@ -119,9 +119,10 @@ def _text(df):
 @query("mart_dim_date", """
 SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_sk, strftime(d, '%Y-%m-%d') AS calendar_date, CAST(year(d) AS INTEGER) AS calendar_year, CAST(quarter(d) AS INTEGER) AS calendar_quarter, CAST(month(d) AS INTEGER) AS calendar_month, strftime(d, '%b') AS month_name,
   CAST(day(d) AS INTEGER) AS day_of_month, CAST(dayofweek(d) AS INTEGER) AS day_of_week, strftime(d, '%a') AS day_name, CAST(week(d) AS INTEGER) AS week_of_year, dayofweek(d) IN (0, 6) AS is_weekend
-FROM (SELECT unnest(generate_series(DATE '2026-06-01', DATE '2026-12-30', INTERVAL 1 DAY))::DATE AS d)""")
+FROM (SELECT unnest(generate_series((SELECT min(l_shipdate)::DATE FROM lineitem), (SELECT max(l_shipdate)::DATE FROM lineitem), INTERVAL 1 DAY))::DATE AS d)""")
 def mart_dim_date(spark, sf_dir):
-    return _text(marts.dim_date(date_spine(spark, "2026-06-01", "2026-12-31")))
+    (line,) = tables(spark, sf_dir, "lineitem")
+    return _text(marts.dim_date(spine_of(line, "l_shipdate")))
 
 
 @query("mart_dim_store", f"WITH {DOMAIN} SELECT * FROM dim_store")

@@ -75,6 +75,12 @@ def date_spine(spark: SparkSession, first: str, end: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.date_sub(F.lit(end).cast("date"), 1))).alias("day"))
 
 
+def spine_of(df: DataFrame, column: str) -> DataFrame:
+    """The days from a column's first to its last; none of an empty table."""
+    ends = df.agg(F.min(column).cast("date").alias("a"), F.max(column).cast("date").alias("b"))
+    return ends.where("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
+
+
 def unload(df: DataFrame, path: str, fmt: str = "parquet", single: bool = False, header: bool = True) -> None:
     out = df.coalesce(1) if single else df
     out.write.mode("overwrite").options(header=header).format(fmt).save(path)
