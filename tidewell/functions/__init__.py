@@ -47,6 +47,11 @@ def day_of_week(d: Column | str) -> Column:
     return F.dayofweek(col(d)) - 1
 
 
+def day_text(d: Column | str) -> Column:
+    """A day as year-month-day; years past 9999 without the plus sign that a ``yyyy`` pattern puts before them."""
+    return F.when(F.year(col(d)) > 9999, F.concat(F.year(col(d)), F.date_format(col(d), "-MM-dd"))).otherwise(F.date_format(col(d), "yyyy-MM-dd"))
+
+
 def date_key(d: Column | str) -> Column:
     return F.date_format(col(d), "yyyyMMdd").cast("int")
 
