@@ -40,3 +40,8 @@ def test_days_past_the_year_9999(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet").limit(20)
     last = (dt.date(9999, 12, 31) - dt.date(1970, 1, 1)).days
     assert same_as_sql(spark, "date_arithmetic", str(tmp_path), events=events.withColumn("event_id", F.col("event_id") % 20 + last - 9)) == 20
+
+
+def test_orders_that_share_a_ticket(spark, tmp_path):
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").where("o_orderkey between 10 and 99").withColumn("o_orderkey", F.explode(F.array(F.col("o_orderkey") * 10_000, F.col("o_orderkey") * 100_000 + 10, F.col("o_orderkey") * 100_000)))
+    assert same_as_sql(spark, "complaint_parse", str(tmp_path), orders=orders) == orders.count() > 200

@@ -178,8 +178,9 @@ def sla_rates(state: DataFrame) -> DataFrame:
     )
 
 
-def parse_complaint(docs: DataFrame, labels: DataFrame, order_offset: int = 899_999, body: str = "body") -> DataFrame:
-    """Complaint documents as columns, with their hand label where there is one; what can't be parsed is null."""
+def parse_complaint(docs: DataFrame, labels: DataFrame, order_offset: int = 899_999, body: str = "body", on: tuple[str, ...] = ("ticket_id",)) -> DataFrame:
+    """Complaint documents as columns, with their hand label where there is one; what can't be parsed is null.
+    ``on``: the parsed columns by which ``labels`` are found, more than the ticket where tickets repeat."""
     raw = F.expr(f"try_cast(nullif(regexp_extract({body}, 'Order ([0-9]+)', 1), '') as bigint)")
     text = F.trim(F.regexp_replace(F.regexp_extract(body, r"(?s)City: [A-Za-z]+\s*(.*)$", 1), r"\s+", " "))
     parsed = docs.select(
@@ -187,7 +188,7 @@ def parse_complaint(docs: DataFrame, labels: DataFrame, order_offset: int = 899_
         F.try_to_timestamp(fn.extract(body, "Raised ([0-9-]+T[0-9:]+)Z")).alias("raised_ts"), fn.extract(body, "Channel: ([a-z_]+)").alias("channel"), fn.extract(body, "City: ([A-Za-z]+)").alias("city"),
         text.alias("complaint_text"), F.length(text).alias("text_chars"), F.size(F.split(text, " ")).alias("word_count"),
     )
-    return parsed.join(labels.select("ticket_id", "reason_code"), "ticket_id", "left").withColumn("is_labelled", F.col("reason_code").isNotNull())
+    return parsed.join(labels.select(*on, "reason_code"), list(on), "left").select(*parsed.columns, "reason_code").withColumn("is_labelled", F.col("reason_code").isNotNull())
 
 
 def triage(predictions: DataFrame, reasons: DataFrame, threshold: float = 0.235) -> DataFrame:

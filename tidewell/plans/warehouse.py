@@ -309,7 +309,7 @@ def _complaints(spark, sf_dir):
         F.lit("Z    Channel: "), F.when(F.col("order_id") % 3 == 0, "call_centre").otherwise("app"), F.lit("    City: Pune\n\nThe order came\nlate   again, "), F.col("payment_method"), F.lit(" paid.\n"),
     )
     docs = h.select(F.concat(F.lit("CMP-"), F.lpad(F.col("order_id").cast("string"), 6, "0")).alias("ticket_id"), body.alias("body"), "order_id")
-    labels = docs.where("order_id % 100 = 0").select("ticket_id", F.when(F.col("order_id") % 200 == 0, "LATE").otherwise("RUDE").alias("reason_code"))
+    labels = docs.where("order_id % 100 = 0").select("ticket_id", F.col("order_id").alias("source_order_id"), F.when(F.col("order_id") % 200 == 0, "LATE").otherwise("RUDE").alias("reason_code"))
     return docs.drop("order_id"), labels
 
 
@@ -319,8 +319,8 @@ p AS (SELECT *, trim(regexp_replace(regexp_extract(body, 'City: [A-Za-z]+\\s*(.*
 SELECT ticket_id, o + 899999 AS order_id, o AS source_order_id, regexp_extract(body, 'Store (DS[0-9]+)', 1) AS store_code, replace(regexp_extract(body, 'Raised ([0-9-]+T[0-9:]+)Z', 1), 'T', ' ') AS raised_ts, regexp_extract(body, 'Channel: ([a-z_]+)', 1) AS channel,
   regexp_extract(body, 'City: ([A-Za-z]+)', 1) AS city, t AS complaint_text, CAST(length(t) AS INTEGER) AS text_chars, CAST(len(string_split(t, ' ')) AS INTEGER) AS word_count, reason_code, reason_code IS NOT NULL AS is_labelled FROM p""")
 def complaint_parse(spark, sf_dir):
-    """Complaint texts, made for every order, parsed back."""
-    return _text(marts.parse_complaint(*_complaints(spark, sf_dir)))
+    """Complaint texts, made for every order, parsed back. A ticket has six digits of its order, so longer orders share one."""
+    return _text(marts.parse_complaint(*_complaints(spark, sf_dir), on=("ticket_id", "source_order_id")))
 
 
 @query("triage_routing", """
