@@ -45,3 +45,19 @@ def test_days_past_the_year_9999(spark, tmp_path):
 def test_orders_that_share_a_ticket(spark, tmp_path):
     orders = spark.read.parquet(f"{DATA}/orders.parquet").where("o_orderkey between 10 and 99").withColumn("o_orderkey", F.explode(F.array(F.col("o_orderkey") * 10_000, F.col("o_orderkey") * 100_000 + 10, F.col("o_orderkey") * 100_000)))
     assert same_as_sql(spark, "complaint_parse", str(tmp_path), orders=orders) == orders.count() > 200
+
+
+def test_lifecycles_share_calls_to_the_state_by_bucket(spark, tmp_path):
+    from tidewell.streaming import stateful
+
+    steps, told = ["PLACED", "PACKED", "PICKED_UP", "DELIVERED"], []
+    log = spark.range(1200).selectExpr("id div 4 AS order_id", "id AS event_id", "timestamp_seconds(id % 4) AS event_ts", f"element_at(array{tuple(steps)}, cast(id % 4 as int) + 1) AS status")
+    for run in (log.where("event_id % 4 <> 1"), log.where("order_id % 3 = 0")):
+        run.write.mode("append").parquet(f"{tmp_path}/in")
+        out = stateful.lifecycles(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in"), "order_id", steps, "CANCELLED", 1, buckets=8)
+        stateful.run_stateful(out, lambda b, n: told.append({(r.order_id, r.outcome, r.overdue) for r in b.collect()}), f"{tmp_path}/state")
+    assert told[0] == {(o, "MISSING_PACKED", False) for o in range(300)}
+    assert told[1] == {(o, "CLEAN", False) for o in range(0, 300, 3)} | {(o, "MISSING_PACKED", True) for o in range(300) if o % 3}
+    end = {r.order_id: (r.outcome, r.n_events, r.expected, r.overdue) for r in stateful.state_of(spark, f"{tmp_path}/state", "order").collect()}
+    assert end == {o: ("MISSING_PACKED", 3, "PACKED", True) if o % 3 else ("CLEAN", 4, None, False) for o in range(300)}
+    assert spark.read.format("statestore").option("stateVarName", "order").load(f"{tmp_path}/state").count() == 8

@@ -37,8 +37,13 @@ def run_stateful(out: DataFrame, sink: Callable[[DataFrame, int], None], state:
 
 
 def state_of(spark: SparkSession, state: str, name: str) -> DataFrame:
-    """The keys and values of a state variable as of the last batch."""
-    return spark.read.format("statestore").option("stateVarName", name).load(state).select("key.*", "value.*")
+    """The keys and values of a state variable as of the last batch. Where keys share buckets, the value is arrays of
+    them, which are laid out; those whose names begin with ``__`` are the operator's own."""
+    held = spark.read.format("statestore").option("stateVarName", name).load(state)
+    if held.schema["key"].dataType.names != ["__bucket"]:
+        return held.select("key.*", "value.*")
+    columns = [c for c in held.schema["value"].dataType.names if not c.startswith("__")]
+    return held.select("value.*").select(F.inline(F.arrays_zip(*columns)))
 
 
 def latest_rows(log: DataFrame, key: str, tombstone_ms: int) -> DataFrame:
@@ -81,7 +86,7 @@ def latest_rows(log: DataFrame, key: str, tombstone_ms: int) -> DataFrame:
     return keyed.groupBy(key).transformWithState(Latest(), f"`{key}` {kind}, {row}", "Update", "ProcessingTime")
 
 
-def lifecycles(events: DataFrame, key: str, steps: list[str], stop: str, wait_ms: int) -> DataFrame:
+def lifecycles(events: DataFrame, key: str, steps: list[str], stop: str, wait_ms: int, buckets: int = 4096) -> DataFrame:
     """Each key's outcome whenever it changes: key, outcome, n_events, expected (the first step not seen), overdue.
 
     ``events`` has key, event_id, event_ts (timestamp), status. An outcome is ``CLEAN`` (all ``steps`` in their order of
@@ -89,55 +94,91 @@ def lifecycles(events: DataFrame, key: str, steps: list[str], stop: str, wait_ms
     there) or ``OUT_OF_ORDER``. Events of a key are told apart by id, so one delivered twice counts once. A key with
     a step missing may yet get it: only when ``wait_ms`` have gone by without one is it reported as overdue, once,
     by a timer; an event that comes after all the same changes the outcome again. A key's state is its few events.
+
+    Every call to the state store is a message between Python and the JVM, so keys share their calls by ``buckets``: a bucket's
+    state is arrays of its keys and of their events one key after another, its timer the earliest of its keys'. A stream
+    keeps the number of buckets that it began with.
     """
     made = Row(key, "outcome", "n_events", "expected", "overdue")
     kind, size = events.schema[key].dataType.simpleString(), len(steps)
-    value = "outcome string, n_events int, expected string, overdue boolean, ids array<string>, times array<long>, statuses array<string>"
+    value = f"`{key}` array<{kind}>, outcome array<string>, n_events array<int>, expected array<string>, overdue array<boolean>, __due array<long>, __ids array<string>, __times array<long>, __statuses array<string>, __timer boolean"
 
     class Lifecycle(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle, self.state = handle, handle.getValueState("order", value)
+            self.judged: dict[tuple, tuple] = {}
 
-        def _judge(self, seen: dict) -> tuple[str, str | None]:
-            path = [status for _, _, status in sorted((t, i, s) for i, (t, s) in seen.items())]
+        def _judge(self, path: tuple) -> tuple[str, str | None]:
             absent = next((s for s in steps if s not in path), None)
-            if path == steps:
+            if list(path) == steps:
                 return "CLEAN", absent
-            if path[-1] == stop and path[:-1] == steps[: len(path) - 1] and 2 <= len(path) <= size - 1:
+            if path[-1] == stop and list(path[:-1]) == steps[: len(path) - 1] and 2 <= len(path) <= size - 1:
                 return "CANCELLED", absent
             later = next((s for s in steps[1:] if s not in path), None)
             return (f"MISSING_{later}" if later else "OUT_OF_ORDER"), absent
 
-        def _put(self, key, seen: dict, overdue: bool) -> Row:
-            outcome, absent = self._judge(seen)
-            ids = sorted(seen)
-            self.state.update((outcome, len(ids), absent, overdue, ids, [seen[i][0] for i in ids], [seen[i][1] for i in ids]))
-            return made(key[0], outcome, len(ids), absent, overdue)
-
-        def _seen(self) -> dict:
-            now = self.state.get()
-            return {i: (t, s) for i, t, s in zip(now[4], now[5], now[6], strict=True)}
+        def _told(self, seen: dict) -> tuple[str, str | None]:
+            path = tuple(s for _, _, s in sorted((t, i, s) for i, (t, s) in seen.items()))
+            if len(self.judged) > 10_000:
+                self.judged.clear()
+            return self.judged.get(path) or self.judged.setdefault(path, self._judge(path))
+
+        def _get(self) -> tuple[dict, bool]:
+            """The bucket's keys with [outcome, expected, overdue, due, events], and whether it has a timer."""
+            held = self.state.get()
+            if held is None:
+                return {}, False
+            of, at = {}, 0
+            for k, outcome, n, expected, overdue, due in zip(*list(held)[:6], strict=True):
+                of[k] = [outcome, expected, overdue, due, dict(zip(held[6][at : at + n], zip(held[7][at : at + n], held[8][at : at + n], strict=True), strict=True))]
+                at += n
+            return of, held[9]
+
+        def _put(self, of: dict, timer: bool) -> None:
+            all_of = [(i, t, s) for v in of.values() for i, (t, s) in v[4].items()]
+            ids, times, statuses = (list(x) for x in zip(*all_of, strict=True))
+            outcome, expected, overdue, due, seen = (list(x) for x in zip(*of.values(), strict=True))
+            self.state.update((list(of), outcome, [len(x) for x in seen], expected, overdue, due, ids, times, statuses, timer))
 
         def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-            old = self.state.get() if self.state.exists() else None
-            seen, before = (self._seen(), old[1]) if old else ({}, 0)
-            for r in rows:
-                seen.setdefault(r.id, (r.at, r.status))
-            if len(seen) == before:
+            of, timer = self._get()
+            fresh = set()
+            for _, k, i, t, s in rows:
+                if k not in of:
+                    of[k] = [None, None, False, None, {}]
+                seen = of[k][4]
+                if i not in seen:
+                    seen[i] = (t, s)
+                    fresh.add(k)
+            if not fresh:
                 return
-            out = self._put(key, seen, False)
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            if out.outcome.startswith("MISSING_"):
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + wait_ms)
-            if old is None or old[0] != out.outcome or old[3]:
-                yield out
+            due = timerValues.getCurrentProcessingTimeInMs() + wait_ms
+            for k in fresh:
+                held = of[k]
+                outcome, absent = self._told(held[4])
+                if held[0] != outcome or held[2]:
+                    yield made(k, outcome, len(held[4]), absent, False)
+                held[:4] = outcome, absent, False, due if outcome.startswith("MISSING_") else None
+            # later keys come due later, so a timer that is there is early enough
+            if not timer and any(of[k][3] is not None for k in fresh):
+                self.handle.registerTimer(due)
+                timer = True
+            self._put(of, timer)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-            yield self._put(key, self._seen(), True)
+            now, (of, _) = timerValues.getCurrentProcessingTimeInMs(), self._get()
+            for k, held in of.items():
+                if held[3] is not None and held[3] <= now:
+                    held[2:4] = True, None
+                    yield made(k, held[0], len(held[4]), held[1], True)
+            left = min((held[3] for held in of.values() if held[3] is not None), default=None)
+            if left is not None:
+                self.handle.registerTimer(left)
+            self._put(of, left is not None)
 
         def close(self) -> None:
             pass
 
-    rows = events.where(F.col(key).isNotNull()).select(key, F.col("event_id").cast("string").alias("id"), F.unix_micros(F.col("event_ts").cast("timestamp")).alias("at"), "status")
-    return rows.groupBy(key).transformWithState(Lifecycle(), f"`{key}` {kind}, outcome string, n_events int, expected string, overdue boolean", "Update", "ProcessingTime")
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("__bucket")
+    rows = events.where(F.col(key).isNotNull()).select(bucket, key, F.col("event_id").cast("string").alias("id"), F.unix_micros(F.col("event_ts").cast("timestamp")).alias("at"), "status")
+    return rows.groupBy("__bucket").transformWithState(Lifecycle(), f"`{key}` {kind}, outcome string, n_events int, expected string, overdue boolean", "Update", "ProcessingTime")
