@@ -61,3 +61,10 @@ def test_lifecycles_share_calls_to_the_state_by_bucket(spark, tmp_path):
     end = {r.order_id: (r.outcome, r.n_events, r.expected, r.overdue) for r in stateful.state_of(spark, f"{tmp_path}/state", "order").collect()}
     assert end == {o: ("MISSING_PACKED", 3, "PACKED", True) if o % 3 else ("CLEAN", 4, None, False) for o in range(300)}
     assert spark.read.format("statestore").option("stateVarName", "order").load(f"{tmp_path}/state").count() == 8
+
+
+def test_features_read_no_status_events(spark):
+    from tidewell.plans import warehouse
+
+    plan = warehouse._features(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "__slice" in plan  # orders alone, a store's hours among many tasks

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell import functions as fn
 from tidewell import operators as op
+from tidewell.operators import timed
 
 PEAK_HOURS = (12, 13, 19, 20, 21)
 OPEN_END = "9999-12-31 00:00:00"
@@ -89,19 +90,27 @@ def order_anomaly(events: DataFrame, funnel: DataFrame, cancelled: DataFrame) ->
     return found.select("order_id", kind.alias("anomaly_type"), F.array_join("path", ">").alias("path"))
 
 
-def fct_order(headers: DataFrame, funnel: DataFrame, cancelled: DataFrame, anomaly: DataFrame) -> DataFrame:
-    """The accumulating order fact: legs, outcome of the lifecycle, breach of the promise."""
-    outcome = funnel.select("order_id", F.lit("CLEAN").alias("o")).unionByName(cancelled.select("order_id", F.lit("CANCELLED").alias("o"))).unionByName(anomaly.select("order_id", F.col("anomaly_type").alias("o")))
+def placed_orders(headers: DataFrame) -> DataFrame:
+    """What the order fact has from the headers alone: keys, times, breach of the promise, money."""
     late = F.col("delivered_ts").isNotNull() & (F.col("delivered_ts") > F.col("promised_ts"))
-    return headers.join(funnel, "order_id", "left").join(outcome, "order_id", "left").select(
+    return headers.select(
         fn.surrogate_key("order_id").alias("order_sk"), "order_id", fn.date_key("placed_ts").alias("placed_date_sk"), fn.surrogate_key("customer_id").alias("customer_sk"),
-        fn.surrogate_key("store_id").alias("store_sk"), fn.surrogate_key("rider_id").alias("rider_sk"), "placed_ts", "promised_ts", "delivered_ts", "pack_sec", "pick_sec", "ride_sec", "total_sec",
-        "status", F.coalesce("o", F.lit("NO_EVENTS")).alias("lifecycle_outcome"), late.alias("is_breached"),
+        fn.surrogate_key("store_id").alias("store_sk"), fn.surrogate_key("rider_id").alias("rider_sk"), "placed_ts", "promised_ts", "delivered_ts", "status", late.alias("is_breached"),
         F.when(F.col("delivered_ts").isNotNull(), fn.seconds_between("promised_ts", "delivered_ts")).alias("breach_sec"),
         "payment_method", "item_count", "gross_paise", "discount_paise", "delivery_fee_paise", "order_total_paise",
     )
 
 
+def fct_order(headers: DataFrame, funnel: DataFrame, cancelled: DataFrame, anomaly: DataFrame) -> DataFrame:
+    """The accumulating order fact: legs, outcome of the lifecycle, breach of the promise."""
+    outcome = funnel.select("order_id", F.lit("CLEAN").alias("o")).unionByName(cancelled.select("order_id", F.lit("CANCELLED").alias("o"))).unionByName(anomaly.select("order_id", F.col("anomaly_type").alias("o")))
+    return placed_orders(headers).join(funnel, "order_id", "left").join(outcome, "order_id", "left").select(
+        "order_sk", "order_id", "placed_date_sk", "customer_sk", "store_sk", "rider_sk", "placed_ts", "promised_ts", "delivered_ts", "pack_sec", "pick_sec", "ride_sec", "total_sec",
+        "status", F.coalesce("o", F.lit("NO_EVENTS")).alias("lifecycle_outcome"), "is_breached", "breach_sec",
+        "payment_method", "item_count", "gross_paise", "discount_paise", "delivery_fee_paise", "order_total_paise",
+    )
+
+
 def fct_order_item(items: DataFrame, headers: DataFrame, products: DataFrame) -> DataFrame:
     """Order lines at the price that the catalogue had when the order was placed."""
     lines = items.join(headers.select("order_id", "placed_ts"), "order_id")
@@ -131,15 +140,17 @@ def fct_inventory_daily(stock: DataFrame) -> DataFrame:
 
 
 def order_features(fact: DataFrame, stores: DataFrame, customers: DataFrame, split_days: int = 45) -> DataFrame:
-    """Delivered orders with what was known when they were placed, the label, and a split by time:
+    """Delivered orders (of :func:`placed_orders` or the whole fact) with what was known when they were placed, the label, and a split by time:
     TRAIN before the first day plus ``split_days``, else TEST. The store's load counts the orders of
     the hour before, not those of the same millisecond."""
     cutoff = fact.agg(F.date_add(F.min("placed_ts").cast("date"), split_days).alias("split_day"))
-    base = fact.where("status = 'DELIVERED'").join(stores.select("store_sk", "city", "lat", "lon"), "store_sk").join(customers.select("customer_sk", "segment", "home_lat", "home_lon"), "customer_sk")
+    placed = fact.where("status = 'DELIVERED'").select("order_id", "store_sk", "customer_sk", "placed_ts", "payment_method", "item_count", "gross_paise", "is_breached")
+    base = placed.join(stores.select("store_sk", "city", "lat", "lon"), "store_sk").join(customers.select("customer_sk", "segment", "home_lat", "home_lon"), "customer_sk")
     base = base.withColumns({
-        "dist_km": fn.haversine_km("lat", "lon", "home_lat", "home_lon"), "ist_hour": fn.ist_hour("placed_ts"), "store_load_60m": op.trailing_count(base, ["store_sk"], "placed_ts", 3_600_000),
+        "dist_km": fn.haversine_km("lat", "lon", "home_lat", "home_lon"), "ist_hour": fn.ist_hour("placed_ts"),
         "is_weekend": fn.day_of_week("placed_ts").isin(0, 6).cast("int"), "is_cod": (F.col("payment_method") == "COD").cast("int"),
     })
+    base = timed.trailing_counts(base, ["store_sk"], "placed_ts", 3_600_000, "store_load_60m")
     base = base.withColumn("is_peak_hour", F.col("ist_hour").isin(*PEAK_HOURS).cast("int"))
     scaled = {
         "f_dist_5": F.col("dist_km") / 5.0, "f_peak": F.col("is_peak_hour").cast("double"), "f_load_15": F.least(F.col("store_load_60m"), F.lit(15)) / 15.0,

@@ -201,7 +201,7 @@ def order_features(spark, sf_dir):
 def _features(spark, sf_dir):
     marts.assert_no_leakage(marts.FEATURES)
     d = _dims(domain(spark, sf_dir))
-    return marts.order_features(d.fact, d.dim_store, d.dim_customer, SPLIT_DAYS)
+    return marts.order_features(marts.placed_orders(d.headers), d.dim_store, d.dim_customer, SPLIT_DAYS)
 
 
 def _rounded(df, places: int = 6):
@@ -252,8 +252,9 @@ def risk_queue(spark, sf_dir):
     from tidewell.plans.aggregates import global_ntile
 
     d = _dims(domain(spark, sf_dir))
-    f = marts.order_features(d.fact, d.dim_store, d.dim_customer, SPLIT_DAYS).where("split = 'TEST'").select("order_id", "store_load_60m", "is_peak_hour", _risk().alias("p"))
-    out = f.join(d.fact, "order_id").join(d.dim_store.select("store_sk", "store_code", "city"), "store_sk")
+    placed = marts.placed_orders(d.headers)
+    f = marts.order_features(placed, d.dim_store, d.dim_customer, SPLIT_DAYS).where("split = 'TEST'").select("order_id", "store_load_60m", "is_peak_hour", _risk().alias("p"))
+    out = f.join(placed, "order_id").join(d.dim_store.select("store_sk", "store_code", "city"), "store_sk")
     out = out.select(
         "order_id", "store_code", "city", fn.minutes_between("placed_ts", "promised_ts").alias("promised_min"), "item_count", "store_load_60m", (F.col("is_peak_hour") == 1).alias("is_peak_hour"),
         "p", F.col("is_breached").alias("actual_breached"), "breach_sec",
