@@ -68,3 +68,12 @@ def test_features_read_no_status_events(spark):
 
     plan = warehouse._features(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan and "__slice" in plan  # orders alone, a store's hours among many tasks
+
+
+def test_blocks_are_not_shuffled_once_a_pair(spark):
+    from tidewell import operators as op
+
+    df = spark.range(500).selectExpr("id AS vec_id", "cast(id % 3 as int) AS label", "array(cast(id % 17 as double), 1.0D, cast(id % 5 as double)) AS embedding")
+    pairs = op.pair_units(df, rows_per_block=64)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and pairs.groupBy().sum("n").first()[0] == 500 * 499 // 2

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import millis
+from tidewell.session import scratch
 
 FOREVER = "9999-12-31"
 
@@ -196,7 +197,10 @@ def pivot_metrics(df: DataFrame, by: list[str], name: str, value: str, names: li
 
 
 def _block_pairs(vectors: DataFrame, rows_per_block: int) -> DataFrame:
-    """Every pair of blocks of (vec_id, label, embedding), each side as bytes; null ids take no part."""
+    """Every pair of blocks of (vec_id, label, embedding), each side as bytes; null ids take no part.
+
+    Blocks are written once. A task of the Cartesian product reads its files of both sides, so no block is shuffled once a pair.
+    """
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
     blocks = max(1, math.ceil(rows.count() / rows_per_block))
 
@@ -211,10 +215,11 @@ def _block_pairs(vectors: DataFrame, rows_per_block: int) -> DataFrame:
         return pd.DataFrame([{"b": key[0], "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "labels": pdf["label"].to_numpy(float).tobytes(), "m": m.tobytes()}])
 
     built = rows.withColumn("b", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)).cast("int")).groupBy("b").applyInPandas(build, "b int, ids binary, labels binary, m binary")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = built.select(F.col("b").alias("i"), *[F.col(c).alias(f"{c}_a") for c in ("ids", "labels", "m")]).withColumn("j", every)
-    right = built.select(F.col("b").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("ids", "labels", "m")]).withColumn("i", every)
-    return left.join(right, ["i", "j"])
+    path = scratch(vectors.sparkSession, "blocks")
+    built.write.parquet(path)
+    held = vectors.sparkSession.read.parquet(path)
+    left, right = (held.select(F.col("b").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "labels", "m")]) for k, s in (("i", "a"), ("j", "b")))
+    return left.hint("shuffle_replicate_nl").crossJoin(right)
 
 
 def _on_similarities(work, schema):
