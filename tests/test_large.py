@@ -77,3 +77,15 @@ def test_blocks_are_not_shuffled_once_a_pair(spark):
     pairs = op.pair_units(df, rows_per_block=64)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and pairs.groupBy().sum("n").first()[0] == 500 * 499 // 2
+
+
+def test_a_vector_keeps_few_rows_of_the_blocks_it_meets(spark):
+    from tidewell.operators import neighbours
+
+    df = spark.range(1200).selectExpr("id AS vec_id", "cast(id % 3 as int) AS label", "transform(sequence(1, 8), i -> sin(id * i * 1.7D)) AS embedding")
+    got = neighbours.nearest(df, 2, 32, 8)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "rj" not in plan  # what is ranked holds no block and compares none again
+    from tidewell import operators as op
+
+    assert {tuple(r) for r in got.select("vec_id", "neighbour").collect()} == {tuple(r) for r in op.nearest(df, 2).select("vec_id", "neighbour").collect()}

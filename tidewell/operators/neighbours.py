@@ -43,6 +43,33 @@ def _best(a: dict, b: dict, k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(i[q]), pa.array(la[q], from_pandas=True), pa.array(j[o]), pa.array(lb[o], from_pandas=True), pa.array(s.astype(float)), pa.array(np.full(len(q), a["block"], np.int32))], schema=_NEAR)
 
 
+def _kept(found: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
+    """The k best of each vector of one block among what was found in several others."""
+    if len(found) < 2:
+        return found
+    t = pa.Table.from_batches(found).combine_chunks()
+    ids, other, sim = (t[c].to_numpy() for c in ("vec_id", "neighbour", "sim"))
+    order = np.lexsort((other, -sim, ids))
+    first = np.r_[True, ids[order][1:] != ids[order][:-1]] if len(order) else np.zeros(0, bool)
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return t.take(pa.array(order[rank < k])).combine_chunks().to_batches()
+
+
+def _best_of_many(batches, k: int, most: int = 16):
+    """The k best of each left block in all right blocks that follow one another beside it: one result, not one a pair."""
+    held, block = [], None
+    for batch in batches:
+        for at in range(len(batch)):
+            (r,) = batch.slice(at, 1).to_pylist()
+            if r["ri"]["block"] != block or len(held) >= most:
+                held = _kept(held, k)
+                if r["ri"]["block"] != block:
+                    yield from held
+                    held, block = [], r["ri"]["block"]
+            held.append(_best(r["ri"], r["rj"], k))
+    yield from _kept(held, k)
+
+
 class Blocks:
     """The blocks of (vec_id, label, embedding), written once, with what is known of each."""
 
@@ -116,10 +143,19 @@ def nearest(vectors: DataFrame, k: int, rows_per_block: int = 2048, pivots: int
     if vectors.limit(rows_per_block + 1).count() <= rows_per_block:
         return all_pairs(vectors, k, rows_per_block)
     blocks = Blocks(vectors, rows_per_block, pivots)
-    first = blocks.itself(k)
-    side = lambda s: blocks.packed.select(F.col("block").alias(s), F.struct("block", "ids", "labels", "m", "dims").alias(f"r{s}"))
-    met = blocks.pairs(first, k).join(side("i"), "i").join(side("j"), "j").select("ri", "rj")
-    near = first.unionByName(met.mapInArrow(lambda it: (_best(r["ri"], r["rj"], k) for b in it for r in b.to_pylist()), _NEAR_DDL)).drop("block")
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(blocks.spark, name)
+        df.write.parquet(path)
+        return blocks.spark.read.schema(df.schema).parquet(path)
+
+    first = once(blocks.itself(k), "first")
+    side = lambda df, s, *more: df.select(F.col("block").alias(s), F.struct("block", "ids", "labels", "m", "dims").alias(f"r{s}"), *more)
+    # each block goes, once, beside the list of those that it meets; a task of the product then reads its files of both sides
+    lists = blocks.pairs(first, k).groupBy("i").agg(F.collect_list("j").alias("js"))
+    left = once(side(blocks.packed, "i").join(lists, "i").select("i", "ri", "js"), "meets")
+    met = left.hint("shuffle_replicate_nl").join(side(blocks.packed, "j"), F.array_contains("js", F.col("j"))).select("ri", "rj")
+    near = once(first.unionByName(met.mapInArrow(lambda it: _best_of_many(it, k), _NEAR_DDL)).drop("block"), "near")
     every = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("double").alias("label"))
     # a null similarity is met where there are not k others: then the smallest ids come last
     small = every.orderBy("vec_id").limit(2 * k + 2).select(F.col("vec_id").alias("neighbour"), F.col("label").alias("neighbour_label"))
