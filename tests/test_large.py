@@ -89,3 +89,15 @@ def test_a_vector_keeps_few_rows_of_the_blocks_it_meets(spark):
     from tidewell import operators as op
 
     assert {tuple(r) for r in got.select("vec_id", "neighbour").collect()} == {tuple(r) for r in op.nearest(df, 2).select("vec_id", "neighbour").collect()}
+
+
+def test_hash_vectors_are_made_in_slices():
+    import pyarrow as pa
+
+    from tidewell import functions as fn
+
+    texts = pa.array([None if i % 7 == 0 else "late order " * (i % 5) + "rider" for i in range(1000)])
+    got = list(fn.hash_slices(64)(iter([texts, texts.slice(0, 0), texts.slice(3, 100)])))
+    assert max(map(len, got)) == 64 and sum(map(len, got)) == 1100  # no batch of vectors is held whole
+    rows = [v for a in got for v in a.to_pylist()]
+    assert rows[1000:] == rows[3:103] and rows[7] == [0.0] * 256 and all(len(v) == 256 for v in rows)

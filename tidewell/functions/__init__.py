@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+import math
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,29 +126,34 @@ def hash_slot(token: Column | str) -> Column:
     return F.struct(slot.alias("slot"), F.when(odd == 1, 1).otherwise(-1).alias("sign"))
 
 
-def hash_vector(c: Column | str) -> Column:
-    """Text to 256 doubles: words and word pairs hashed with a sign (as :func:`hash_slot`), L2-normalised; all zero without words."""
-
-    @F.pandas_udf("array<double>")
-    def vec(texts: pd.Series) -> pd.Series:
-        import hashlib
-        import math
-        import re
+def hash_slices(rows: int = 256):
+    """Arrays of texts to arrays of their hash vectors, ``rows`` at a time: a batch's vectors are never held together."""
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = re.compile("[a-z]{2,}")
 
-        def one(text: str | None) -> list[float]:
-            words = token.findall((text or "").lower())
-            v = [0.0] * 256
-            for gram in words + [f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)]:
-                h = int(hashlib.md5(gram.encode(), usedforsecurity=False).hexdigest()[:16], 16)
-                v[h % 256] += 1.0 if h >> 32 & 1 else -1.0
-            norm = math.sqrt(sum(x * x for x in v))
-            return [x / norm for x in v] if norm else v
+        def digest(gram: str) -> bytes:
+            return hashlib.md5(gram.encode(), usedforsecurity=False).digest()
+
+        known = lru_cache(1 << 16)(digest)  # words come again, most pairs don't
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                texts = batch.slice(at, rows).to_pylist()
+                out = np.zeros((len(texts), 256))
+                for v, text in zip(out, texts, strict=True):
+                    words = token.findall((text or "").lower())
+                    if words:
+                        h = np.frombuffer(b"".join([*map(known, words), *[digest(f"{a}_{b}") for a, b in zip(words, words[1:], strict=False)]]), np.uint8).reshape(-1, 16)
+                        v += np.bincount(h[:, 7], np.where(h[:, 3] & 1, 1.0, -1.0), 256)
+                        v /= math.sqrt(v @ v) or 1.0
+                yield pa.ListArray.from_arrays(pa.array(range(0, out.size + 1, 256), pa.int32()), out.ravel())
 
-        return texts.map(one)
+    return run
 
-    return vec(col(c))
+
+def hash_vector(c: Column | str) -> Column:
+    """Text to 256 doubles: words and word pairs hashed with a sign (as :func:`hash_slot`), L2-normalised; all zero without words."""
+    return F.arrow_udf(hash_slices(), "array<double>")(col(c))
 
 
 def hits(words: Column, lexicon: list[str]) -> Column:
