@@ -101,3 +101,13 @@ def test_hash_vectors_are_made_in_slices():
     assert max(map(len, got)) == 64 and sum(map(len, got)) == 1100  # no batch of vectors is held whole
     rows = [v for a in got for v in a.to_pylist()]
     assert rows[1000:] == rows[3:103] and rows[7] == [0.0] * 256 and all(len(v) == 256 for v in rows)
+
+
+def test_a_text_is_cut_into_words_once(spark):
+    docs = spark.createDataFrame([(1, "RUDE, wrong: refund"), (2, None), (7, "rude")], "doc_id long, text string")
+    from tidewell import functions as fn
+    from tidewell.plans.relational import ESCALATION, STRONG
+
+    got = docs.select("doc_id", fn.tone("text", STRONG, ESCALATION).alias("t")).select("doc_id", "t.*")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, 2, 1, 3, 4, "MEDIUM"), (2, 0, 0, 0, None, "UNKNOWN"), (7, 1, 0, 1, 1, "LOW")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -156,6 +156,11 @@ def hash_vector(c: Column | str) -> Column:
     return F.arrow_udf(hash_slices(), "array<double>")(col(c))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hits(words: Column, lexicon: list[str]) -> Column:
     """How many of the words the lexicon has."""
     return F.size(F.filter(words, lambda w: w.isin(lexicon)))
@@ -164,11 +169,17 @@ def hits(words: Column, lexicon: list[str]) -> Column:
 def tone(c: Column | str, strong, escalation) -> Column:
     """How strong a text's words are: struct of intensity, escalation, words, score and band. An empty
     or null text has no score and the band UNKNOWN."""
-    words = tokens(F.coalesce(col(c), F.lit("")))
-    a, b = hits(words, list(strong)), hits(words, list(escalation))
-    score, blank = a + 2 * b, F.coalesce(col(c), F.lit("")) == ""
-    band = F.when(blank, "UNKNOWN").when(score >= 6, "HIGH").when(score >= 3, "MEDIUM").otherwise("LOW")
-    return F.struct(a.alias("intensity"), b.alias("escalation"), F.size(words).alias("words"), F.when(~blank, score).alias("score"), band.alias("band"))
+    a, b = list(strong), list(escalation)
+    words = let(tokens(F.coalesce(col(c), F.lit(""))), lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin([*a, *b])).alias("told")))
+    counts = let(words, lambda w: F.struct(hits(w["told"], a).alias("a"), hits(w["told"], b).alias("b"), w["n"].alias("n")))
+    blank = F.coalesce(col(c), F.lit("")) == ""
+
+    def scored(x: Column) -> Column:
+        score = x["a"] + 2 * x["b"]
+        band = F.when(blank, "UNKNOWN").when(score >= 6, "HIGH").when(score >= 3, "MEDIUM").otherwise("LOW")
+        return F.struct(x["a"].alias("intensity"), x["b"].alias("escalation"), x["n"].alias("words"), F.when(~blank, score).alias("score"), band.alias("band"))
+
+    return let(counts, scored)
 
 
 def mask_email(c: Column | str, role: str) -> Column:
