@@ -111,3 +111,15 @@ def test_a_text_is_cut_into_words_once(spark):
     got = docs.select("doc_id", fn.tone("text", STRONG, ESCALATION).alias("t")).select("doc_id", "t.*")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, 2, 1, 3, 4, "MEDIUM"), (2, 0, 0, 0, None, "UNKNOWN"), (7, 1, 0, 1, 1, "LOW")]
+
+
+def test_order_lines_shuffle_no_text(spark):
+    df = registry.QUERIES["mart_fct_order_item"](spark, DATA)
+    top, *below = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "yyyyMMdd" in top and not any("yyyyMMdd" in x for x in below)  # a line's id is made above the joins
+
+
+def test_order_lines_with_odd_days_and_keys(spark, tmp_path):
+    line = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    odd = line.withColumn("l_shipdate", F.when(F.col("l_linenumber") % 2 == 0, F.expr("l_shipdate + interval 3599 seconds")).otherwise(F.col("l_shipdate"))).withColumn("l_partkey", F.when(F.col("l_suppkey") == 3, F.col("l_partkey") + 10**12).otherwise(F.col("l_partkey")))
+    assert same_as_sql(spark, "mart_fct_order_item", str(tmp_path), lineitem=odd) == line.count()

@@ -6,7 +6,7 @@ their versions, order headers and items, status events, stock snapshots) and ret
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell import functions as fn
@@ -111,12 +111,13 @@ def fct_order(headers: DataFrame, funnel: DataFrame, cancelled: DataFrame, anoma
     )
 
 
-def fct_order_item(items: DataFrame, headers: DataFrame, products: DataFrame) -> DataFrame:
-    """Order lines at the price that the catalogue had when the order was placed."""
+def fct_order_item(items: DataFrame, headers: DataFrame, products: DataFrame, item_id: Column | str = "order_item_id") -> DataFrame:
+    """Order lines at the price that the catalogue had when the order was placed. ``item_id`` may be made of the
+    items' other columns: it is made after the joins, so that they shuffle no long text."""
     lines = items.join(headers.select("order_id", "placed_ts"), "order_id")
     out = op.validity_join(lines, products.select("product_id", "product_sk", "price_paise", "valid_from", "valid_to"), "product_id", "placed_ts")
     return out.select(
-        fn.surrogate_key("order_item_id").alias("order_item_sk"), "order_item_id", "order_id", fn.surrogate_key("order_id").alias("order_sk"), "product_sk", "product_id",
+        fn.surrogate_key(item_id).alias("order_item_sk"), fn.col(item_id).alias("order_item_id"), "order_id", fn.surrogate_key("order_id").alias("order_sk"), "product_sk", "product_id",
         fn.date_key("placed_ts").alias("placed_date_sk"), "qty", "unit_price_paise", "line_total_paise", F.col("price_paise").alias("catalogue_price_paise"),
         (F.col("unit_price_paise") - F.col("price_paise")).alias("price_variance_paise"),
     )

@@ -92,14 +92,15 @@ def domain(spark, sf_dir) -> SimpleNamespace:
     seconds = F.when((oid % 40 == 9) & (F.col("k") == 2), 900).otherwise(F.col("k") * 110)
     before = F.when(F.col("pos") > 0, F.element_at(names, F.element_at("steps", F.greatest("pos", F.lit(1))) + 1))
     events = events.select("order_id", "store_id", "rider_id", (oid * 10 + F.col("k")).alias("event_id"), F.element_at(names, F.col("k") + 1).alias("to_status"), before.alias("from_status"), plus(F.col("placed_ts"), seconds).alias("event_ts"))
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
-    items = line.select(
-        F.concat_ws("-", *[F.col(c).cast("string") for c in order[:4]], F.date_format("l_shipdate", "yyyyMMdd")).alias("order_item_id"), F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+    lines = line.select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supplier_id"), F.col("l_shipdate").cast("date").alias("ship_day"),
         F.col("l_quantity").cast("long").alias("qty"), F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long").alias("unit_price_paise"), fn.cents("l_extendedprice").alias("line_total_paise"),
     )
+    item_id = F.concat_ws("-", *[F.col(c).cast("string") for c in ("order_id", "line_number", "product_id", "supplier_id")], F.date_format("ship_day", "yyyyMMdd"))
+    items = lines.select(item_id.alias("order_item_id"), "order_id", "product_id", "qty", "unit_price_paise", "line_total_paise")
     stock = line.groupBy(F.col("l_shipdate").cast("date").alias("snapshot_date"), (F.col("l_suppkey") % 10).alias("store_id"), F.col("l_partkey").alias("product_id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("on_hand_qty"))
     stock = stock.withColumn("reorder_level", F.col("product_id") % 30)
-    return SimpleNamespace(stores=stores, customers=customers, riders=riders, products=products, headers=headers, events=events, items=items, stock=stock)
+    return SimpleNamespace(stores=stores, customers=customers, riders=riders, products=products, headers=headers, events=events, lines=lines, item_id=item_id, items=items, stock=stock)
 
 
 def _dims(d: SimpleNamespace) -> SimpleNamespace:
@@ -161,7 +162,7 @@ SELECT md5(order_item_id) AS order_item_sk, order_item_id, i.order_id, md5(i.ord
 FROM i JOIN oh USING (order_id) LEFT JOIN dim_product p ON p.product_id = i.product_id AND placed_ts >= p.valid_from AND placed_ts < p.valid_to""")
 def mart_fct_order_item(spark, sf_dir):
     d = domain(spark, sf_dir)
-    return marts.fct_order_item(d.items, d.headers, marts.dim_product(d.products))
+    return marts.fct_order_item(d.lines, d.headers, marts.dim_product(d.products), d.item_id)
 
 
 @query("mart_fct_order_status_event", f"""
