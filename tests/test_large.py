@@ -123,3 +123,16 @@ def test_order_lines_with_odd_days_and_keys(spark, tmp_path):
     line = spark.read.parquet(f"{DATA}/lineitem.parquet")
     odd = line.withColumn("l_shipdate", F.when(F.col("l_linenumber") % 2 == 0, F.expr("l_shipdate + interval 3599 seconds")).otherwise(F.col("l_shipdate"))).withColumn("l_partkey", F.when(F.col("l_suppkey") == 3, F.col("l_partkey") + 10**12).otherwise(F.col("l_partkey")))
     assert same_as_sql(spark, "mart_fct_order_item", str(tmp_path), lineitem=odd) == line.count()
+
+
+@pytest.mark.parametrize("name", ["conformed_inventory", "mart_fct_inventory_daily"])
+def test_stock_is_dealt_by_its_rows(spark, tmp_path, monkeypatch, name):
+    from tidewell.plans import warehouse
+
+    monkeypatch.setattr(warehouse, "STOCK_ROWS", 500)
+    line = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    one = line.where("l_linenumber = 1").withColumns({"l_partkey": F.lit(7).cast("long"), "l_suppkey": F.lit(3).cast("long"), "l_shipdate": F.lit("1998-09-01").cast("timestamp_ntz")})
+    both = line.where("l_linenumber > 1").unionByName(one)
+    assert same_as_sql(spark, name, str(tmp_path), lineitem=both) < both.count()
+    plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-both.count() // 500)}), REPARTITION_BY_NUM" in plan and plan.count("Sort [") == (name == "conformed_inventory")

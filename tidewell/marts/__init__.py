@@ -34,15 +34,19 @@ CONFORMED = {
 }
 
 
-def conformed(landed: DataFrame, table: str) -> DataFrame:
+def conformed(landed: DataFrame, table: str, parts: int | None = None) -> DataFrame:
     """The current rows of one of CONFORMED from its landed change log (``payload``, ``offset``): the latest
-    record of each key, none whose latest is a delete, dates and times as such."""
+    record of each key, none whose latest is a delete, dates and times as such. ``parts``: how many tasks the keys are
+    dealt to, for a log with few records a key; records are then sorted once, behind the shuffle alone."""
     key, columns = CONFORMED[table]
     fields = [c.split(" ") for c in columns.split(", ")]
     raw = ", ".join(f"{n}: {({'day': 'int', 'time': 'string'}).get(t, t)}" for n, t in fields)
     log = landed.select(F.from_json("payload", f"before struct<{raw}>, after struct<{raw}>, op string, ts_ms long").alias("p"), "offset").select("p.*", "offset")
     keys = [F.coalesce(F.col(f"after.{k}"), F.col(f"before.{k}")).alias(f"__{k}") for k in key.split(",")]
-    latest = op.dedupe_latest(log.select("*", *keys), [f"__{k}" for k in key.split(",")], [F.desc("ts_ms"), F.desc("offset")]).where("after is not null and op <> 'd'")
+    keyed = log.select("*", *keys)
+    if parts:
+        keyed = keyed.repartition(parts, *[f"__{k}" for k in key.split(",")])
+    latest = op.dedupe_latest(keyed, [f"__{k}" for k in key.split(",")], [F.desc("ts_ms"), F.desc("offset")]).where("after is not null and op <> 'd'")
     typed = {"day": lambda c: F.date_from_unix_date(c), "time": lambda c: F.to_timestamp_ntz(c)}
     return latest.select(*[typed.get(t, lambda c: c)(F.col(f"after.{n}")).alias(n) for n, t in fields], F.timestamp_millis("ts_ms").alias("cdc_ts"))
 

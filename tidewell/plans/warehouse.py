@@ -7,6 +7,7 @@ by arithmetic on their keys. The SQL does the same, and then each table by its d
 
 from __future__ import annotations
 
+import math
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -98,9 +99,21 @@ def domain(spark, sf_dir) -> SimpleNamespace:
     )
     item_id = F.concat_ws("-", *[F.col(c).cast("string") for c in ("order_id", "line_number", "product_id", "supplier_id")], F.date_format("ship_day", "yyyyMMdd"))
     items = lines.select(item_id.alias("order_item_id"), "order_id", "product_id", "qty", "unit_price_paise", "line_total_paise")
-    stock = line.groupBy(F.col("l_shipdate").cast("date").alias("snapshot_date"), (F.col("l_suppkey") % 10).alias("store_id"), F.col("l_partkey").alias("product_id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("on_hand_qty"))
-    stock = stock.withColumn("reorder_level", F.col("product_id") % 30)
-    return SimpleNamespace(stores=stores, customers=customers, riders=riders, products=products, headers=headers, events=events, lines=lines, item_id=item_id, items=items, stock=stock)
+    return SimpleNamespace(stores=stores, customers=customers, riders=riders, products=products, headers=headers, events=events, lines=lines, item_id=item_id, items=items)
+
+
+#: Of one task of the stock snapshots.
+STOCK_ROWS = 500_000
+
+
+def _stock(spark, sf_dir):
+    """Stock by day, store and product, and over how many tasks it is dealt. Nearly every line has a key of its own: summed
+    before the shuffle, they would fill a task's memory and come out as many."""
+    (line,) = tables(spark, sf_dir, "lineitem")
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(line.count() / STOCK_ROWS))
+    rows = line.select(F.col("l_shipdate").cast("date").alias("snapshot_date"), (F.col("l_suppkey") % 10).alias("store_id"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("long").alias("qty"))
+    stock = rows.repartition(parts, "snapshot_date", "store_id", "product_id").groupBy("snapshot_date", "store_id", "product_id").agg(F.sum("qty").alias("on_hand_qty"))
+    return stock.withColumn("reorder_level", F.col("product_id") % 30), parts
 
 
 def _dims(d: SimpleNamespace) -> SimpleNamespace:
@@ -177,7 +190,7 @@ WITH s AS (SELECT l_shipdate::DATE AS d, l_suppkey % 10 AS store_id, l_partkey A
 SELECT md5(strftime(d, '%Y-%m-%d') || '-' || store_id || '-' || product_id) AS inventory_sk, CAST(strftime(d, '%Y%m%d') AS INTEGER) AS snapshot_date_sk, strftime(d, '%Y-%m-%d') AS snapshot_date, md5(store_id::VARCHAR) AS store_sk, store_id, product_id, on_hand_qty, reorder_level,
   on_hand_qty <= reorder_level AS is_below_reorder, greatest(reorder_level - on_hand_qty, 0) AS units_short FROM s""")
 def mart_fct_inventory_daily(spark, sf_dir):
-    return _text(marts.fct_inventory_daily(domain(spark, sf_dir).stock))
+    return _text(marts.fct_inventory_daily(_stock(spark, sf_dir)[0]))
 
 
 @query("lifecycle_partition", f"""
@@ -395,10 +408,10 @@ def conformed_orders(spark, sf_dir):
 SELECT strftime(l_shipdate, '%Y-%m-%d') AS snapshot_date, CAST(l_suppkey % 10 AS INTEGER) AS store_id, CAST(l_partkey AS INTEGER) AS product_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS INTEGER) AS on_hand_qty FROM lineitem GROUP BY ALL""")
 def conformed_inventory(spark, sf_dir):
     """Stock snapshots, whose key is three columns and whose day comes as a number."""
-    stock = domain(spark, sf_dir).stock
+    stock, parts = _stock(spark, sf_dir)
     row = F.struct(F.datediff("snapshot_date", F.lit("1970-01-01").cast("date")).alias("snapshot_date"), "store_id", "product_id", "on_hand_qty", "reorder_level")
     log = stock.select(F.to_json(F.struct(F.lit(None).cast("string").alias("before"), row.alias("after"), F.lit("r").alias("op"), F.lit(5).alias("ts_ms"))).alias("payload"), F.lit(0).cast("long").alias("offset"))
-    return _text(marts.conformed(log, "inventory_daily").select("snapshot_date", "store_id", "product_id", "on_hand_qty"))
+    return _text(marts.conformed(log, "inventory_daily", parts).select("snapshot_date", "store_id", "product_id", "on_hand_qty"))
 
 
 @query("late_model")
