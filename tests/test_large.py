@@ -136,3 +136,15 @@ def test_stock_is_dealt_by_its_rows(spark, tmp_path, monkeypatch, name):
     assert same_as_sql(spark, name, str(tmp_path), lineitem=both) < both.count()
     plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert f", {-(-both.count() // 500)}), REPARTITION_BY_NUM" in plan and plan.count("Sort [") == (name == "conformed_inventory")
+
+
+def test_tone_of_null_empty_and_turkish_texts(spark, tmp_path):
+    texts = [None, "", " ", "wrong again", "İİ İRUDE xİ", "RUDE, never! refund third"]
+    docs = spark.createDataFrame([(i, t) for i in [None, -7, -3, *range(20), 10**12 + 7] for t in texts], "doc_id long, text string")
+    assert same_as_sql(spark, "tone_object", str(tmp_path), documents=docs) == 144
+
+
+@pytest.mark.parametrize("name", ["hash_vector_tokens", "hash_vector_text"])
+def test_words_with_a_dotted_capital_i(spark, tmp_path, name):
+    docs = spark.createDataFrame([(1, "İzmir, DİYARBAKIR xİ"), (2, None), (3, "")], "doc_id long, text string")
+    assert same_as_sql(spark, name, str(tmp_path), documents=docs) > 2

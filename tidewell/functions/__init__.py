@@ -115,7 +115,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def tokens(c: Column | str, pattern: str = "[a-z]{2,}") -> Column:
-    return F.regexp_extract_all(F.lower(col(c)), F.lit(pattern), F.lit(0))
+    """A text's words in small letters; of the dotted capital I a plain i (``lower`` leaves a mark behind it, at which a word would end)."""
+    return F.regexp_extract_all(F.lower(F.replace(col(c), F.lit("\u0130"), F.lit("i"))), F.lit(pattern), F.lit(0))
 
 
 def hash_slot(token: Column | str) -> Column:
@@ -141,7 +142,7 @@ def hash_slices(rows: int = 256):
                 texts = batch.slice(at, rows).to_pylist()
                 out = np.zeros((len(texts), 256))
                 for v, text in zip(out, texts, strict=True):
-                    words = token.findall((text or "").lower())
+                    words = token.findall((text or "").replace("\u0130", "i").lower())  # as in tokens
                     if words:
                         h = np.frombuffer(b"".join([*map(known, words), *[digest(f"{a}_{b}") for a, b in zip(words, words[1:], strict=False)]]), np.uint8).reshape(-1, 16)
                         v += np.bincount(h[:, 7], np.where(h[:, 3] & 1, 1.0, -1.0), 256)
@@ -163,16 +164,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def hits(words: Column, lexicon: list[str]) -> Column:
     """How many of the words the lexicon has."""
-    return F.size(F.filter(words, lambda w: w.isin(lexicon)))
+    return F.array_size(F.filter(words, lambda w: w.isin(lexicon)))
 
 
-def tone(c: Column | str, strong, escalation) -> Column:
-    """How strong a text's words are: struct of intensity, escalation, words, score and band. An empty
-    or null text has no score and the band UNKNOWN."""
+def tone(c: Column | str, strong, escalation, blank: Column | None = None) -> Column:
+    """How strong a text's words are: struct of intensity, escalation, words, score and band. A blank
+    text has no score and the band UNKNOWN: an empty or null one, unless ``blank`` tells which are. Then
+    an empty text has the score 0, a null one no counts at all, and neither is above LOW."""
     a, b = list(strong), list(escalation)
-    words = let(tokens(F.coalesce(col(c), F.lit(""))), lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin([*a, *b])).alias("told")))
+    text = col(c)
+    if blank is None:
+        text = F.coalesce(text, F.lit(""))
+        blank = text == ""
+    words = let(tokens(text), lambda w: F.struct(F.array_size(w).alias("n"), F.filter(w, lambda x: x.isin([*a, *b])).alias("told")))
     counts = let(words, lambda w: F.struct(hits(w["told"], a).alias("a"), hits(w["told"], b).alias("b"), w["n"].alias("n")))
-    blank = F.coalesce(col(c), F.lit("")) == ""
 
     def scored(x: Column) -> Column:
         score = x["a"] + 2 * x["b"]
